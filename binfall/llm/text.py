@@ -64,13 +64,17 @@ class Words:
         return np.bincount(self.row, minlength=self.rows)
 
 
-def words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
+#: ASCII apart from letters and digits, as word separators.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(data: np.ndarray, bounds: np.ndarray, lower: bool = False, separators: np.ndarray = _SPACE) -> Words:
     """Hash the words of the rows whose bytes lie at ``data[bounds[i]:bounds[i + 1]]`` (``bounds[0] == 0``)."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(len(bounds) - 1, none, none, none, none.astype(np.uint64))
-    is_word = ~_SPACE[data]
+    is_word = ~separators[data]
     breaks = np.zeros(n + 1, bool)
     breaks[bounds] = True
     first = is_word.copy()
