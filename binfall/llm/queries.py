@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, substrings, toxicity
+from . import bpe, jaccard, mixing, pii, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/binfall-checkpoints")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -50,6 +55,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_mix": op3_mix,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard": op6_jaccard,
