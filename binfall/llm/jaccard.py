@@ -9,10 +9,11 @@ Documents with equal shingle sets are one class from the start. Between classes:
   frequent shingles to the end of the order, level by level, which keeps the lists short.
 * The boundary is where enumerating subsets starts to cost more rows than scanning lists (``cost_boundary``).
 
-Lists are never expanded to all pairs. In a first round each member of a list is verified against one hub of the list, picked by hash
-anew for every list, and against its neighbour in hash order. That joins groups of copies. In the second round only
-pairs whose ends are still in different components are verified; pairs inside a component cannot change it. Every linked pair
-shares a list, so after the second round no link between components is left out.
+Lists are never expanded to all pairs. In a first round each member of a list is tried with one hub of the list, picked by hash,
+and with its neighbour in hash order; another round takes other hubs. That joins groups of copies. In the last round only
+pairs whose ends are still in different components are tried; pairs inside a component cannot change it. Every linked pair
+shares a list, so after the last round no link between components is left out. Before sets are compared, 512-bit
+parity signatures, which bound the difference of two sets from below, drop the pairs that only share a passage.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle is one shingle;
 equal sets are linked; repeated rows and rows that share an id are one node; an empty table gives an empty table;
@@ -34,10 +35,16 @@ from .components import components
 
 #: Counters of the sketch, and how many rows carry one task's counters.
 WIDTH, PARTS = 1 << 18, 16
+#: Bits of a set's signature.
+BITS = 512
 #: What a row of an inverted list costs, with its share of verification, in rows of subsets.
 LIST_COST = 8
 #: Longest small set whose subsets are enumerated: at most one shingle may be missing.
 LIGHT_LIMIT = 19
+#: Rounds of hubs before the round of all open pairs, and in how many orders a round's lists pick their hubs.
+ROUNDS, ORDERS = 2, 2
+#: Most ids (8 bytes each) that are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,26 +75,35 @@ def _salted(found: np.ndarray, salt: int) -> np.ndarray:
     return tx.mix(found ^ np.uint64(salt))
 
 
+def _signatures(row: np.ndarray, found: np.ndarray, rows: int) -> np.ndarray:
+    """``BITS`` parities for each row: every shingle flips one bit, so sets differ in as many shingles as bits at least."""
+    spot = (_salted(found, 0x1B873593) >> np.uint64(64 - 9)).astype(np.int64)
+    flips = np.zeros(rows * BITS, np.uint8)
+    np.bitwise_xor.at(flips, row * BITS + spot, 1) if len(row) < 64 else np.bitwise_and(np.bincount(row * BITS + spot, minlength=rows * BITS), 1, out=flips, casting="unsafe")
+    return np.packbits(flips.reshape(rows, BITS), axis=1, bitorder="little").view(np.int64)
+
+
 def _profiles(frame: DataFrame, k: int) -> DataFrame:
-    """Per row doc_id, tkey, n and two 64-bit sums that name the set; at a task's end its counters, in rows with ``part``."""
+    """Per row doc_id, n, two 64-bit sums that name the set, and its signature; at a task's end its counters, in rows with ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(WIDTH, np.int64)
-        names = ["doc_id", "tkey", "n", "k1", "k2", "part", "counts"]
+        names = ["doc_id", "n", "k1", "k2", "sig", "part", "counts"]
         for batch in batches:
-            for a, b, data, bounds in tx.slices(batch.column(2)):
+            for a, b, data, bounds in tx.slices(batch.column(1)):
                 row, found = shingle_sets(data, bounds, k)
-                np.add.at(counts, (found >> np.uint64(46)).astype(np.int64), 1) if len(found) < 1000 else counts.__iadd__(np.bincount((found >> np.uint64(46)).astype(np.int64), minlength=WIDTH))
+                counts += np.bincount((found >> np.uint64(46)).astype(np.int64), minlength=WIDTH)
                 n = np.bincount(row, minlength=b - a)
                 keys = [_sums(row, _salted(found, s), b - a).view(np.int64) for s in (0x51ED270B, 0x2545F4914F6CDD1D)]
                 none = [pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), *map(pa.array, keys), *none], names=names)
+                sig = pa.FixedSizeListArray.from_arrays(pa.array(_signatures(row, found, b - a).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, keys), sig, *none], names=names)
         if counts.any():
-            null = pa.nulls(PARTS, pa.int64())
+            null, unsigned = pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.list_(pa.int64()))
             blocks = [x.tobytes() for x in np.split(counts, PARTS)]
-            yield pa.RecordBatch.from_arrays([null, null, null, null, null, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(blocks, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([null, null, null, null, unsigned, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(blocks, pa.binary())], names=names)
 
-    return frame.mapInArrow(run, "doc_id long, tkey long, n long, k1 long, k2 long, part int, counts binary")
+    return frame.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig array<long>, part int, counts binary")
 
 
 def _levels(profiles: DataFrame) -> np.ndarray:
@@ -157,7 +173,7 @@ def _postings(frame: DataFrame, k: int, threshold: int, boundary: int, levels: n
 def _sets(frame: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, bounds in tx.slices(batch.column(2)):
+            for a, b, data, bounds in tx.slices(batch.column(1)):
                 row, found = shingle_sets(data, bounds, k)
                 edges = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
                 k1 = _sums(row, _salted(found, 0x51ED270B), b - a).view(np.int64)
@@ -170,50 +186,82 @@ def _sizes_fit(a: Column, b: Column, threshold: int) -> Column:
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, ak, b, bk) whose sets reach the threshold, as (a, b)."""
+PAIR = ["a", "ak", "b", "bk"]
+
+
+def _named(left: str, right: str) -> list[Column]:
+    """A pair's ends (id and class key) in one order, from two structs (d, k1, n)."""
+    p, q = F.least(left, right), F.greatest(left, right)
+    return [p["d"].alias("a"), p["k1"].alias("ak"), q["d"].alias("b"), q["k1"].alias("bk")]
+
+
+def _plausible(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataFrame:
+    """Drop the pairs whose signatures prove that they differ in too many shingles."""
+
+    def end(id_name: str, key: str, n: str, sig: str) -> DataFrame:
+        return signatures.select(F.col("doc_id").alias(id_name), F.col("k1").alias(key), F.col("n").alias(n), F.col("sig").alias(sig))
+
+    both = pairs.join(end("a", "ak", "n", "s"), ["a", "ak"]).join(end("b", "bk", "m", "t"), ["b", "bk"])
+    differ = F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return both.where(differ * (100 + threshold) <= (F.col("n") + F.col("m")) * (100 - threshold)).select(*PAIR)
+
+
+def _verified(pairs: DataFrame, known: DataFrame, threshold: int, k: int) -> DataFrame:
+    """The pairs whose sets reach the threshold, as (a, b). Only texts that a pair names are read again."""
+    ends = pairs.select(F.col("a").alias("doc_id"), F.col("ak").alias("k1")).union(pairs.select("b", "bk")).distinct()
+    # counted first: a short list of ids goes to the texts, a long one meets them in a shuffle
+    ids = ends.select("doc_id").distinct()
+    texts = known.join(F.broadcast(ids) if ends.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    sets = _sets(texts.select("doc_id", "text"), k).join(ends, ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id", "k1"]).checkpoint()
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("k1").alias("ak"), F.col("items").alias("x")), ["a", "ak"])
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("k1").alias("bk"), F.col("items").alias("y")), ["b", "bk"])
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.where(100 * common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b").checkpoint()
 
 
 def groups(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id. ``threshold`` is in hundredths, 80 to 99."""
     if not 80 <= threshold <= 99:
         raise ValueError("threshold must be from 80 to 99 hundredths")
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text")
-    known = frame.where("doc_id is not null")
-    profiles = _profiles(frame, k).checkpoint()
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    profiles = _profiles(known, k).checkpoint()
     rows = profiles.where("part is null").select("doc_id", "n", "k1", "k2")
+    known = known.where("doc_id is not null")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     postings = _postings(known, k, threshold, cost_boundary(threshold), _levels(profiles))
-    # one shuffle by key serves the distinct step and both windows
+    # one shuffle by key serves the distinct step and the windows
     entries = postings.repartition("key").groupBy("key", "k1", "n").agg(F.min("doc_id").alias("d"))
     by_key = Window.partitionBy("key")
-    lists = entries.withColumn("members", F.count("*").over(by_key)).where("members > 1").withColumn("r", F.xxhash64("key", "d", "k1")).checkpoint()
-    ordered = by_key.orderBy("r", "d", "k1")
-    me, hub, near = F.struct("d", "k1", "n"), F.first(F.struct("d", "k1", "n")).over(ordered), F.lag(F.struct("d", "k1", "n")).over(ordered)
-    met = lists.select(me.alias("p"), F.array(hub, near).alias("qs")).select("p", F.explode("qs").alias("q")).where("q is not null")
-    pairs = met.where((F.col("p.k1") != F.col("q.k1")) & _sizes_fit(F.col("p.n"), F.col("q.n"), threshold))
-    pair = [F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")]
-    named = [F.col("p.d").alias("a"), F.col("p.k1").alias("ak"), F.col("q.d").alias("b"), F.col("q.k1").alias("bk")]
-    first = pairs.select(*pair).select(*named).distinct().checkpoint()
-    wanted = lists.select(F.col("d").alias("doc_id"), "k1").distinct()
-    sets = _sets(known.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "tkey", "text"), k)
-    sets = sets.join(wanted, ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id", "k1"]).checkpoint()
-    links = _verified(first, sets, threshold).checkpoint()
-    joined = components(links).withColumnRenamed("node", "d")
-    open_ = lists.join(joined, "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component", "r", "members")
-    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_ = open_.join(mixed, "key").checkpoint()
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _sizes_fit(F.col("x.n"), F.col("y.n"), threshold))
-    across = across.select(F.struct("x.d", "x.k1", "x.n").alias("p"), F.struct("y.d", "y.k1", "y.n").alias("q")).select(*pair).select(*named).distinct()
-    rest = across.join(first, ["a", "ak", "b", "bk"], "left_anti")
-    late = _verified(rest, sets, threshold)
-    all_links = links.unionByName(late)
+    lists = entries.withColumn("members", F.count("*").over(by_key)).where("members > 1").drop("members").checkpoint()
+    signatures = profiles.where("n > 0").select("doc_id", "k1", "n", "sig").dropDuplicates(["doc_id", "k1"])
+    links, tried, joined = None, None, None
+    for salt in range(ROUNDS + 1):
+        open_ = _open(lists, joined)
+        if salt < ROUNDS:
+            ordered = by_key.orderBy(F.xxhash64("me.d", "me.k1", F.pmod("key", F.lit(ORDERS)), F.lit(salt)), "me.d", "me.k1")
+            ends = open_.withColumn("hub", F.first("me").over(ordered)).withColumn("near", F.lag("me").over(ordered))
+            met = ends.select("me", F.explode(F.array("hub", "near")).alias("other")).where("other is not null and me.c <> other.c")
+        else:
+            x, y = open_.select("key", F.col("me").alias("me")).alias("x"), open_.select("key", F.col("me").alias("other")).alias("y")
+            met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("me.c") < F.col("other.c")) & _sizes_fit(F.col("me.n"), F.col("other.n"), threshold)).select("me", "other")
+        pairs = met.where(_sizes_fit(F.col("me.n"), F.col("other.n"), threshold)).select(*_named("me", "other")).distinct()
+        pairs = pairs if tried is None else pairs.join(tried, PAIR, "left_anti")
+        pairs = _plausible(pairs, signatures, threshold).checkpoint()
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = _verified(pairs, known, threshold, k)
+        links = found if links is None else links.unionByName(found)
+        if salt < ROUNDS:
+            joined = components(links)
     # the representative of a class, and the documents of one class, in one component
     same = rows.join(classes, ["n", "k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(all_links.unionByName(same)).withColumnRenamed("node", "doc_id")
+    found = components(links.unionByName(same)).withColumnRenamed("node", "doc_id")
     return rows.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _open(lists: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """List entries (key, me) of the lists whose members are in more than one component; ``me`` has d, k1, n, c."""
+    if joined is None:
+        return lists.select("key", F.struct("d", "k1", "n", F.col("d").alias("c")).alias("me"))
+    now = lists.join(joined.withColumnRenamed("node", "d"), "d", "left").select("key", F.struct("d", "k1", "n", F.coalesce("component", "d").alias("c")).alias("me"))
+    mixed = now.groupBy("key").agg(F.min("me.c").alias("lo"), F.max("me.c").alias("hi")).where("lo < hi").select("key")
+    return now.join(mixed, "key")
