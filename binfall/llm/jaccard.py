@@ -12,8 +12,8 @@ Documents with equal shingle sets are one class from the start. Between classes:
 Lists are never expanded to all pairs. In a first round each member of a list is tried with one hub of the list, picked by hash,
 and with its neighbour in hash order; another round takes other hubs. That joins groups of copies. In the last round only
 pairs whose ends are still in different components are tried; pairs inside a component cannot change it. Every linked pair
-shares a list, so after the last round no link between components is left out. Before sets are compared, 512-bit
-parity signatures, which bound the difference of two sets from below, drop the pairs that only share a passage.
+shares a list, so after the last round no link between components is left out. Before sets are compared, parity
+signatures, which bound the difference of two sets from below, drop the pairs that only share a passage.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle is one shingle;
 equal sets are linked; repeated rows and rows that share an id are one node; an empty table gives an empty table;
@@ -35,14 +35,14 @@ from .components import components
 
 #: Counters of the sketch, and how many rows carry one task's counters.
 WIDTH, PARTS = 1 << 18, 16
-#: Bits of a set's signature.
-BITS = 512
+#: Bits of a set's signature, by the largest set that has so many.
+SIGNATURE_SIZES, SIGNATURE_BITS = np.array([1200, 9000]), np.array([512, 4096, 32768])
 #: What a row of an inverted list costs, with its share of verification, in rows of subsets.
 LIST_COST = 8
 #: Longest small set whose subsets are enumerated: at most one shingle may be missing.
 LIGHT_LIMIT = 19
 #: Rounds of hubs before the round of all open pairs, and in how many orders a round's lists pick their hubs.
-ROUNDS, ORDERS = 2, 2
+ROUNDS, ORDERS = 2, 1
 #: Most ids (8 bytes each) that are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -75,12 +75,14 @@ def _salted(found: np.ndarray, salt: int) -> np.ndarray:
     return tx.mix(found ^ np.uint64(salt))
 
 
-def _signatures(row: np.ndarray, found: np.ndarray, rows: int) -> np.ndarray:
-    """``BITS`` parities for each row: every shingle flips one bit, so sets differ in as many shingles as bits at least."""
-    spot = (_salted(found, 0x1B873593) >> np.uint64(64 - 9)).astype(np.int64)
-    flips = np.zeros(rows * BITS, np.uint8)
-    np.bitwise_xor.at(flips, row * BITS + spot, 1) if len(row) < 64 else np.bitwise_and(np.bincount(row * BITS + spot, minlength=rows * BITS), 1, out=flips, casting="unsafe")
-    return np.packbits(flips.reshape(rows, BITS), axis=1, bitorder="little").view(np.int64)
+def _signatures(row: np.ndarray, found: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parities for each row, more for larger sets: every shingle flips one bit, so two sets with as many bits differ in as many
+    shingles as bits at least."""
+    bits = SIGNATURE_BITS[np.searchsorted(SIGNATURE_SIZES, n)]
+    start = np.r_[0, np.cumsum(bits)]
+    spot = start[row] + (_salted(found, 0x1B873593) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    flips = (np.bincount(spot, minlength=start[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array((start // 64).astype(np.int32)), pa.array(np.packbits(flips, bitorder="little").view(np.int64)))
 
 
 def _profiles(frame: DataFrame, k: int) -> DataFrame:
@@ -96,7 +98,7 @@ def _profiles(frame: DataFrame, k: int) -> DataFrame:
                 n = np.bincount(row, minlength=b - a)
                 keys = [_sums(row, _salted(found, s), b - a).view(np.int64) for s in (0x51ED270B, 0x2545F4914F6CDD1D)]
                 none = [pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())]
-                sig = pa.FixedSizeListArray.from_arrays(pa.array(_signatures(row, found, b - a).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+                sig = _signatures(row, found, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, keys), sig, *none], names=names)
         if counts.any():
             null, unsigned = pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.list_(pa.int64()))
@@ -202,10 +204,15 @@ def _plausible(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataF
         return signatures.select(F.col("doc_id").alias(id_name), F.col("k1").alias(key), F.col("n").alias(n), F.col("sig").alias(sig))
 
     both = pairs.join(end("a", "ak", "n", "s"), ["a", "ak"]).join(end("b", "bk", "m", "t"), ["b", "bk"])
-    differ = F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # signatures of different lengths say nothing
+    differ = F.when(F.size("s") != F.size("t"), 0).otherwise(_differ())
     return both.where(differ * (100 + threshold) <= (F.col("n") + F.col("m")) * (100 - threshold)).select(*PAIR)
 
 
+def _differ() -> Column:
+    return F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+
 def _verified(pairs: DataFrame, known: DataFrame, threshold: int, k: int) -> DataFrame:
     """The pairs whose sets reach the threshold, as (a, b). Only texts that a pair names are read again."""
     ends = pairs.select(F.col("a").alias("doc_id"), F.col("ak").alias("k1")).union(pairs.select("b", "bk")).distinct()
