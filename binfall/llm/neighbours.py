@@ -27,7 +27,7 @@ from . import text as tx
 from .components import components
 
 #: Queries searched together, first beam width, queries audited per batch, nodes that a shard holds about.
-BATCH, BEAM, AUDIT, SHARD_NODES = 1024, 32, 32, 100_000
+BATCH, BEAM, AUDIT, SHARD_NODES = 1024, 48, 64, 100_000
 
 
 class Graph:
@@ -255,6 +255,8 @@ def _linked(dealt: DataFrame, threshold: float) -> DataFrame:
                     many.append(size)
                     parts.append(x)
                     continue
+                if not ids:
+                    continue
                 if graph is None:
                     ids, many, exact = [np.concatenate(ids)], [np.concatenate(many)], np.concatenate(parts)
                     graph = Graph(exact)

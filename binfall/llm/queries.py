@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, pii, substrings, toxicity
+from . import bpe, htmlmain, jaccard, mixing, neighbours, pii, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/binfall-checkpoints")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -43,6 +48,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), k=3, threshold=90)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,10 +64,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_pii": op2_pii,
     "op3_mix": op3_mix,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard": op6_jaccard,
+    "op8_html": op8_html,
     "op9_bpe": op9_bpe,
     "op10_substrings": op10_substrings,
 }
