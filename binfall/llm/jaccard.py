@@ -22,7 +22,7 @@ extra columns are ignored. A null doc_id takes no part and is its own component,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ SIGNATURE_SIZES, SIGNATURE_BITS = np.array([1200, 9000]), np.array([512, 4096, 3
 LIST_COST = 8
 #: Longest small set whose subsets are enumerated: at most one shingle may be missing.
 LIGHT_LIMIT = 19
-#: Rounds of hubs before the round of all open pairs, and in how many orders a round's lists pick their hubs.
-ROUNDS, ORDERS = 2, 1
+#: Rounds of hubs before the round of all open pairs.
+ROUNDS = 2
 #: Most ids (8 bytes each) that are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -241,11 +241,22 @@ def groups(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
     by_key = Window.partitionBy("key")
     lists = entries.withColumn("members", F.count("*").over(by_key)).where("members > 1").drop("members").checkpoint()
     signatures = profiles.where("n > 0").select("doc_id", "k1", "n", "sig").dropDuplicates(["doc_id", "k1"])
+    links = link_in_rounds(lists, threshold, lambda pairs: _plausible(pairs, signatures, threshold), lambda pairs: _verified(pairs, known, threshold, k))
+    # the representative of a class, and the documents of one class, in one component
+    same = rows.join(classes, ["n", "k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = components(links.unionByName(same)).withColumnRenamed("node", "doc_id")
+    return rows.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def link_in_rounds(lists: DataFrame, threshold: int, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
+    """Links (a, b) among members of the same list (key, d, k1, n) that keep all components: ``rounds`` rounds of hubs, then
+    a round of all pairs whose ends are still in different components. ``plausible`` drops pairs (a, ak, b, bk) cheaply, ``verified`` decides."""
+    by_key = Window.partitionBy("key")
     links, tried, joined = None, None, None
-    for salt in range(ROUNDS + 1):
+    for salt in range(rounds + 1):
         open_ = _open(lists, joined)
-        if salt < ROUNDS:
-            ordered = by_key.orderBy(F.xxhash64("me.d", "me.k1", F.pmod("key", F.lit(ORDERS)), F.lit(salt)), "me.d", "me.k1")
+        if salt < rounds:
+            ordered = by_key.orderBy(F.xxhash64("me.d", "me.k1", F.lit(salt)), "me.d", "me.k1")
             ends = open_.withColumn("hub", F.first("me").over(ordered)).withColumn("near", F.lag("me").over(ordered))
             met = ends.select("me", F.explode(F.array("hub", "near")).alias("other")).where("other is not null and me.c <> other.c")
         else:
@@ -253,16 +264,13 @@ def groups(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
             met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("me.c") < F.col("other.c")) & _sizes_fit(F.col("me.n"), F.col("other.n"), threshold)).select("me", "other")
         pairs = met.where(_sizes_fit(F.col("me.n"), F.col("other.n"), threshold)).select(*_named("me", "other")).distinct()
         pairs = pairs if tried is None else pairs.join(tried, PAIR, "left_anti")
-        pairs = _plausible(pairs, signatures, threshold).checkpoint()
+        pairs = plausible(pairs).checkpoint()
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = _verified(pairs, known, threshold, k)
+        found = verified(pairs)
         links = found if links is None else links.unionByName(found)
-        if salt < ROUNDS:
+        if salt < rounds:
             joined = components(links)
-    # the representative of a class, and the documents of one class, in one component
-    same = rows.join(classes, ["n", "k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(same)).withColumnRenamed("node", "doc_id")
-    return rows.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return links
 
 
 def _open(lists: DataFrame, joined: DataFrame | None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmlmain, jaccard, mixing, neighbours, pii, substrings, toxicity
+from . import bpe, chroma, htmlmain, jaccard, licenses, mixing, neighbours, pii, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -48,6 +52,15 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), k=3, threshold=90)
 
 
+def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds media: every conversation is rendered as sound, a chord for each word, turns in order."""
+    ensure_checkpoint_dir(spark)
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null")
+    texts = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    texts = texts.select(F.col("conv_id").alias("media_id"), F.array_join(F.col("turns.text"), " ").alias("text"))
+    return chroma.alike(chroma.rendered(texts, "media_id", "text"), rate=2000)
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.main_text(table(spark, sf_dir, "pages"))
 
@@ -67,8 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_pii": op2_pii,
     "op3_mix": op3_mix,
+    "op4_licenses": op4_licenses,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard": op6_jaccard,
+    "op7_chroma": op7_chroma,
     "op8_html": op8_html,
     "op9_bpe": op9_bpe,
     "op10_substrings": op10_substrings,
