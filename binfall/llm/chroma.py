@@ -112,13 +112,12 @@ def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 def bands(codes: np.ndarray) -> np.ndarray:
     """``BANDS`` list keys: each hashes the ``ROWS`` least landmarks of one order; the landmarks are the distinct codes."""
     marks = np.unique(codes).astype(np.uint64)
-    out = []
-    for band in range(BANDS):
-        key = np.uint64(band + 1)
-        for row in range(ROWS):
-            key = tx.mix(np.array([key * np.uint64(0x9E3779B97F4A7C15) + tx.mix(marks ^ tx.mix(np.array([31 * band + row + 1], np.uint64))).min()]))[0]
-        out.append(key)
-    return np.array(out, np.uint64)
+    orders = tx.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+    least = np.array([tx.mix(marks ^ o).min() for o in orders]).reshape(BANDS, ROWS)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.T:
+        keys = tx.mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+    return keys
 
 
 def fingerprints(recordings: DataFrame, *, id_column: str = "media_id", column: str = "pcm", rate: int = 4000) -> DataFrame:

@@ -5,8 +5,9 @@ Documents with equal shingle sets are one class from the start. Between classes:
 * Light: two sets of at most ``boundary`` shingles are linked only if they agree after deleting a tenth of each, so the small
   sets enumerate those subsets of fixed size (themselves, and each set less one shingle) and meet on equal subsets.
 * Heavy: larger sets, and small ones that a larger one may link to, put the first tenth of their shingles, in an order common to
-  all documents, on inverted lists; two linked sets share a list. A count sketch over all shingles of the corpus moves
-  frequent shingles to the end of the order, level by level, which keeps the lists short.
+  all documents, on inverted lists; two linked sets share a list. First in the order is a fixed quarter of all possible
+  shingles, by the number of sets that have them in the whole corpus, then the others by hash. A shingle of one set
+  only needs no list, so a set that has enough of them is on none, whatever passages it shares with others.
 * The boundary is where enumerating subsets starts to cost more rows than scanning lists (``cost_boundary``).
 
 Lists are never expanded to all pairs. In a first round each member of a list is tried with one hub of the list, picked by hash,
@@ -33,8 +34,8 @@ from pyspark.sql.window import Window
 from . import text as tx
 from .components import components
 
-#: Counters of the sketch, and how many rows carry one task's counters.
-WIDTH, PARTS = 1 << 18, 16
+#: The shingles whose hash has so many leading zero bits are put in order of their frequency.
+COUNTED_BITS = 2
 #: Bits of a set's signature, by the largest set that has so many.
 SIGNATURE_SIZES, SIGNATURE_BITS = np.array([1200, 9000]), np.array([512, 4096, 32768])
 #: What a row of an inverted list costs, with its share of verification, in rows of subsets.
@@ -86,45 +87,18 @@ def _signatures(row: np.ndarray, found: np.ndarray, n: np.ndarray) -> pa.Array:
 
 
 def _profiles(frame: DataFrame, k: int) -> DataFrame:
-    """Per row doc_id, n, two 64-bit sums that name the set, and its signature; at a task's end its counters, in rows with ``part``."""
+    """Per row doc_id, n, two 64-bit sums that name the set, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(WIDTH, np.int64)
-        names = ["doc_id", "n", "k1", "k2", "sig", "part", "counts"]
+        names = ["doc_id", "n", "k1", "k2", "sig"]
         for batch in batches:
             for a, b, data, bounds in tx.slices(batch.column(1)):
                 row, found = shingle_sets(data, bounds, k)
-                counts += np.bincount((found >> np.uint64(46)).astype(np.int64), minlength=WIDTH)
                 n = np.bincount(row, minlength=b - a)
                 keys = [_sums(row, _salted(found, s), b - a).view(np.int64) for s in (0x51ED270B, 0x2545F4914F6CDD1D)]
-                none = [pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())]
-                sig = _signatures(row, found, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, keys), sig, *none], names=names)
-        if counts.any():
-            null, unsigned = pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.list_(pa.int64()))
-            blocks = [x.tobytes() for x in np.split(counts, PARTS)]
-            yield pa.RecordBatch.from_arrays([null, null, null, null, unsigned, pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(blocks, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, keys), _signatures(row, found, n)], names=names)
 
-    return frame.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig array<long>, part int, counts binary")
-
-
-def _levels(profiles: DataFrame) -> np.ndarray:
-    """Level of each counter: 0 up to one and a half times the mean count, then one more for each doubling. The counters have a
-    fixed size whatever the corpus; they are summed by part, streaming, before they come here."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(block, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
-
-    rows = profiles.where("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(run, "part int, counts binary").collect()
-    counts = np.zeros((PARTS, WIDTH // PARTS), np.int64)
-    for r in rows:
-        counts[r.part] = np.frombuffer(r.counts, np.int64)
-    counts = counts.ravel()
-    return np.clip(np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1e-9) / 0.75, 1))), 0, 15).astype(np.uint8)
+    return frame.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig array<long>")
 
 
 def cost_boundary(threshold: int) -> int:
@@ -137,14 +111,13 @@ def cost_boundary(threshold: int) -> int:
     return best
 
 
-def _postings(frame: DataFrame, k: int, threshold: int, boundary: int, levels: np.ndarray) -> DataFrame:
-    """Rows (key, doc_id, k1, n): subsets of small sets and list entries of larger ones. A task puts equal sets down once."""
-    shared = frame.sparkSession.sparkContext.broadcast(levels)
+def _postings(frame: DataFrame, k: int, threshold: int, boundary: int) -> DataFrame:
+    """Rows (key, doc_id, k1, n, counted): subsets of small sets (counted -1), all counted shingles of larger ones (counted: how many
+    they have), and, of a set with too few of these, the next in order (counted -1). A task puts equal sets down once."""
     reach = boundary + 1 - (boundary + 1) * (100 - threshold) // 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        levels = shared.value
         for batch in batches:
             for a, b, data, bounds in tx.slices(batch.column(1)):
                 row, found = shingle_sets(data, bounds, k)
@@ -158,18 +131,31 @@ def _postings(frame: DataFrame, k: int, threshold: int, boundary: int, levels: n
                     if n[i] and key not in seen:
                         new[i] = True
                         seen.add(key)
-                order = np.lexsort((found, levels[(found >> np.uint64(46)).astype(np.int64)], row))
-                row, found, salted = row[order], found[order], salted[order]
+                size, first = n[row], (found >> np.uint64(64 - COUNTED_BITS)) == 0
+                # hashes ascend in a row, so the counted ones come first
+                counted = np.bincount(row[first], minlength=b - a)
                 place = np.arange(len(row)) - np.searchsorted(row, np.arange(b - a))[row]
-                size = n[row]
-                listed = new[row] & (size >= reach) & (place <= size * (100 - threshold) // 100)
+                listed = new[row] & (size >= reach) & (first | (place <= size * (100 - threshold) // 100))
                 small = new & (n > 0) & (n <= boundary)
                 cut = small[row] & (size * (100 - threshold) // 100 >= 1)
                 keys = [found[listed], _salted(k1[small], 0x7A646E19), _salted(k1[row[cut]] - salted[cut], 0x7A646E19)]
                 at = np.concatenate([row[listed], np.flatnonzero(small), row[cut]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(at + a)), pa.array(k1[at].view(np.int64)), pa.array(n[at])], names=["key", "doc_id", "k1", "n"])
+                number = np.full(len(at), -1)
+                number[: listed.sum()] = np.where(first, counted[row], -1)[listed]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(at + a)), pa.array(k1[at].view(np.int64)), pa.array(n[at]), pa.array(number)], names=["key", "doc_id", "k1", "n", "counted"])
 
-    return frame.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, k1 long, n long")
+    return frame.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, k1 long, n long, counted long")
+
+
+def _lists(postings: DataFrame, threshold: int) -> DataFrame:
+    """(key, d, k1, n): what every set puts on lists, without keys of one set only."""
+    # one shuffle by key serves the distinct step and the count
+    entries = postings.repartition("key").groupBy("key", "k1", "n").agg(F.min("doc_id").alias("d"), F.max("counted").alias("counted"))
+    shared = entries.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1")
+    by_set = Window.partitionBy("d", "k1", F.col("counted") >= 0)
+    # shingles of one set only come first in its order; after them, these
+    rank = F.row_number().over(by_set.orderBy("members", "key")) + F.col("counted") - F.count("*").over(by_set)
+    return shared.withColumn("rank", rank).where((F.col("counted") < 0) | (F.col("rank") <= F.floor(F.col("n") * (100 - threshold) / 100) + 1)).select("key", "d", "k1", "n")
 
 
 def _sets(frame: DataFrame, k: int) -> DataFrame:
@@ -204,13 +190,13 @@ def _plausible(pairs: DataFrame, signatures: DataFrame, threshold: int) -> DataF
         return signatures.select(F.col("doc_id").alias(id_name), F.col("k1").alias(key), F.col("n").alias(n), F.col("sig").alias(sig))
 
     both = pairs.join(end("a", "ak", "n", "s"), ["a", "ak"]).join(end("b", "bk", "m", "t"), ["b", "bk"])
-    # signatures of different lengths say nothing
-    differ = F.when(F.size("s") != F.size("t"), 0).otherwise(_differ())
-    return both.where(differ * (100 + threshold) <= (F.col("n") + F.col("m")) * (100 - threshold)).select(*PAIR)
+    return both.where(_may_reach(F.col("n"), F.col("m"), threshold)).select(*PAIR)
 
 
-def _differ() -> Column:
-    return F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+def _may_reach(n: Column, m: Column, threshold: int) -> Column:
+    """Whether the signatures ``s`` and ``t`` leave room for the threshold; those of different lengths say nothing."""
+    differ = F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return F.when(F.size("s") != F.size("t"), True).otherwise(differ * (100 + threshold) <= (n + m) * (100 - threshold))
 
 
 def _verified(pairs: DataFrame, known: DataFrame, threshold: int, k: int) -> DataFrame:
@@ -232,47 +218,59 @@ def groups(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
         raise ValueError("threshold must be from 80 to 99 hundredths")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiles = _profiles(known, k).checkpoint()
-    rows = profiles.where("part is null").select("doc_id", "n", "k1", "k2")
+    rows = profiles.select("doc_id", "n", "k1", "k2")
     known = known.where("doc_id is not null")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    postings = _postings(known, k, threshold, cost_boundary(threshold), _levels(profiles))
-    # one shuffle by key serves the distinct step and the windows
-    entries = postings.repartition("key").groupBy("key", "k1", "n").agg(F.min("doc_id").alias("d"))
-    by_key = Window.partitionBy("key")
-    lists = entries.withColumn("members", F.count("*").over(by_key)).where("members > 1").drop("members").checkpoint()
+    lists = _lists(_postings(known, k, threshold, cost_boundary(threshold)), threshold).checkpoint()
     signatures = profiles.where("n > 0").select("doc_id", "k1", "n", "sig").dropDuplicates(["doc_id", "k1"])
-    links = link_in_rounds(lists, threshold, lambda pairs: _plausible(pairs, signatures, threshold), lambda pairs: _verified(pairs, known, threshold, k))
+    links = link_in_rounds(lists, threshold, lambda pairs: _plausible(pairs, signatures, threshold), lambda pairs: _verified(pairs, known, threshold, k), signatures)
     # the representative of a class, and the documents of one class, in one component
     same = rows.join(classes, ["n", "k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(same)).withColumnRenamed("node", "doc_id")
     return rows.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def link_in_rounds(lists: DataFrame, threshold: int, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """Links (a, b) among members of the same list (key, d, k1, n) that keep all components: ``rounds`` rounds of hubs, then
-    a round of all pairs whose ends are still in different components. ``plausible`` drops pairs (a, ak, b, bk) cheaply, ``verified`` decides."""
+def link_in_rounds(lists: DataFrame, threshold: int, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], signatures: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among members of the same list (key, d, k1, n) that keep all components: ``ROUNDS`` rounds of hubs, then a
+    round of all pairs whose ends are still in different components. ``plausible`` drops pairs (a, ak, b, bk) cheaply, ``verified``
+    decides; with ``signatures`` the last round drops pairs of smaller sets before they leave their list."""
     by_key = Window.partitionBy("key")
     links, tried, joined = None, None, None
-    for salt in range(rounds + 1):
+    for salt in range(ROUNDS + 1):
         open_ = _open(lists, joined)
-        if salt < rounds:
+        if salt < ROUNDS:
             ordered = by_key.orderBy(F.xxhash64("me.d", "me.k1", F.lit(salt)), "me.d", "me.k1")
             ends = open_.withColumn("hub", F.first("me").over(ordered)).withColumn("near", F.lag("me").over(ordered))
             met = ends.select("me", F.explode(F.array("hub", "near")).alias("other")).where("other is not null and me.c <> other.c")
+            met = met.where(_sizes_fit(F.col("me.n"), F.col("other.n"), threshold))
         else:
-            x, y = open_.select("key", F.col("me").alias("me")).alias("x"), open_.select("key", F.col("me").alias("other")).alias("y")
-            met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("me.c") < F.col("other.c")) & _sizes_fit(F.col("me.n"), F.col("other.n"), threshold)).select("me", "other")
-        pairs = met.where(_sizes_fit(F.col("me.n"), F.col("other.n"), threshold)).select(*_named("me", "other")).distinct()
+            met = _across(open_, signatures, threshold)
+        pairs = met.select(*_named("me", "other")).distinct()
         pairs = pairs if tried is None else pairs.join(tried, PAIR, "left_anti")
         pairs = plausible(pairs).checkpoint()
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = verified(pairs)
         links = found if links is None else links.unionByName(found)
-        if salt < rounds:
+        if salt < ROUNDS:
             joined = components(links)
     return links
 
 
+def _across(open_: DataFrame, signatures: DataFrame | None, threshold: int) -> DataFrame:
+    """Pairs (me, other) of members of one list that are in different components, of sizes and signatures that fit."""
+    short = F.lit(None).cast("array<bigint>")
+    if signatures is not None:
+        # long signatures would weigh too much on every list; their pairs are sifted one by one later
+        small = signatures.where(F.size("sig") <= SIGNATURE_BITS[0] // 64).select(F.col("doc_id").alias("d"), "k1", "sig")
+        open_ = open_.withColumn("d", F.col("me.d")).withColumn("k1", F.col("me.k1")).join(small, ["d", "k1"], "left").select("key", "me", "sig")
+        short = F.col("sig")
+    open_ = open_.select("key", "me", short.alias("sig"))
+    x = open_.select("key", "me", F.col("sig").alias("s"))
+    y = open_.select(F.col("key").alias("its"), F.col("me").alias("other"), F.col("sig").alias("t"))
+    likely = F.col("s").isNull() | F.col("t").isNull() | _may_reach(F.col("me.n"), F.col("other.n"), threshold)
+    return x.join(y, (F.col("key") == F.col("its")) & (F.col("me.c") < F.col("other.c")) & _sizes_fit(F.col("me.n"), F.col("other.n"), threshold) & likely).select("me", "other")
+
+
 def _open(lists: DataFrame, joined: DataFrame | None) -> DataFrame:
     """List entries (key, me) of the lists whose members are in more than one component; ``me`` has d, k1, n, c."""
     if joined is None:
