@@ -6,10 +6,19 @@ edges of every round are checkpointed, so a lost executor costs one round at mos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files that nothing needs after a checkpoint: it does so when the driver's garbage collectors find them
+    unused, which else may be long after an iterative job has filled the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -32,4 +41,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         state = now
         e = _small_star(_large_star(e)).distinct().checkpoint()
+        release(edges.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -11,7 +11,7 @@ Documents with equal shingle sets are one class from the start. Between classes:
 * The boundary is where enumerating subsets starts to cost more rows than scanning lists (``cost_boundary``).
 
 Lists are never expanded to all pairs. In a first round each member of a list is tried with one hub of the list, picked by hash,
-and with its neighbour in hash order; another round takes other hubs. That joins groups of copies. In the last round only
+and with its neighbour in hash order. That joins groups of copies. In the last round only
 pairs whose ends are still in different components are tried; pairs inside a component cannot change it. Every linked pair
 shares a list, so after the last round no link between components is left out. Before sets are compared, parity
 signatures, which bound the difference of two sets from below, drop the pairs that only share a passage.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import text as tx
-from .components import components
+from .components import components, release
 
 #: The shingles whose hash has so many leading zero bits are put in order of their frequency.
 COUNTED_BITS = 2
@@ -43,7 +43,7 @@ LIST_COST = 8
 #: Longest small set whose subsets are enumerated: at most one shingle may be missing.
 LIGHT_LIMIT = 19
 #: Rounds of hubs before the round of all open pairs.
-ROUNDS = 2
+ROUNDS = 1
 #: Most ids (8 bytes each) that are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -222,6 +222,7 @@ def groups(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
     known = known.where("doc_id is not null")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     lists = _lists(_postings(known, k, threshold, cost_boundary(threshold)), threshold).checkpoint()
+    release(docs.sparkSession)
     signatures = profiles.where("n > 0").select("doc_id", "k1", "n", "sig").dropDuplicates(["doc_id", "k1"])
     links = link_in_rounds(lists, threshold, lambda pairs: _plausible(pairs, signatures, threshold), lambda pairs: _verified(pairs, known, threshold, k), signatures)
     # the representative of a class, and the documents of one class, in one component
@@ -251,6 +252,7 @@ def link_in_rounds(lists: DataFrame, threshold: int, plausible: Callable[[DataFr
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = verified(pairs)
         links = found if links is None else links.unionByName(found)
+        release(lists.sparkSession)
         if salt < ROUNDS:
             joined = components(links)
     return links
