@@ -1,0 +1 @@
+"""Log-linear histograms as DataFrame operators: bucketing, counting, merging, quantiles, conversions and streaming."""
