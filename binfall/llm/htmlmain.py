@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import boosting
 
@@ -386,7 +387,7 @@ def main_text(pages: DataFrame, *, column: str = "html", carry: tuple[str, ...]
     """The columns in ``carry``, text and n_chars, one row per row of ``pages``."""
     model = pages.sparkSession.sparkContext.broadcast(trees or forest())
     frame = pages.select(*carry, pages[column].alias("__html"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]), "text string, n_chars long"])
+    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

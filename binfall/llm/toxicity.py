@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as tx
 
@@ -139,7 +140,7 @@ def score(docs: DataFrame, model: Model | None, *, threshold: float = 0.3, carry
     """The columns in ``carry``, score and predicted (1 if score >= threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     frame = docs.select(*carry, docs["text"].alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]), "score double, predicted int"])
+    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
