@@ -16,6 +16,7 @@ gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +46,11 @@ class Graph:
         sizes = sorted({int((level >= k).sum()) for k in range(9)} - {0})
         self.sizes = [s for s in sizes if s > 4 * degree or s == n]
         self.layers: list[np.ndarray] = []
+        self.filled: list[list[int]] = []
         for size in self.sizes:
             links = np.full((size, 2 * degree), -1, np.int32)
             self.layers.append(links)
+            self.filled.append([0] * size)
             at = min(size, 256)
             self._insert(links, np.arange(at), None, beam)
             while at < size:
@@ -92,16 +95,18 @@ class Graph:
         return out
 
     def _link_back(self, links: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> None:
-        """Put the rows on the lists of their neighbours; a full list drops its farthest entry or, of equals, the last."""
-        for to, back in zip(np.repeat(rows, self.degree)[(flat := chosen.ravel()) >= 0], flat[flat >= 0], strict=True):
-            spots = links[back]
-            free = np.flatnonzero(spots < 0)
-            if len(free):
-                spots[free[0]] = to
+        """Put the rows on the lists of their neighbours; a full list drops its farthest entry."""
+        flat = chosen.ravel()
+        counts, d = self.filled[len(self.layers) - 1], self.degree
+        for to, back in zip(np.repeat(rows, d)[flat >= 0].tolist(), flat[flat >= 0].tolist(), strict=True):
+            c = counts[back]
+            if c < d:
+                links[back, d + c] = to
+                counts[back] = c + 1
                 continue
-            half = spots[self.degree :]
+            half = links[back, d:]
             sims = self.vectors[half] @ self.vectors[back]
-            worst = int(np.argmin(sims))
+            worst = sims.argmin()
             if sims[worst] < self.vectors[to] @ self.vectors[back]:
                 half[worst] = to
 
@@ -237,6 +242,27 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
 
 
+def _units(rows: DataFrame) -> DataFrame:
+    """Sound vectors at length one, with a digest of their bytes: (vec_id, x, key). The largest component is scaled to one before the
+    squares, which else might leave the range of a double."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sound, units, keys = [], [], []
+            for v in batch.column(1):
+                x = v.values.to_numpy(zero_copy_only=False)
+                top = np.abs(x).max(initial=0.0) if v.values.null_count == 0 else np.nan
+                sound.append(bool(0 < top < np.inf))
+                if sound[-1]:
+                    x = x / top
+                    x = x / np.sqrt((x * x).sum()) + 0.0
+                    units.append(x)
+                    keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(sound, pa.bool_())), pa.array(units, pa.list_(pa.float64())), pa.array(keys, pa.binary())], names=["vec_id", "x", "key"])
+
+    return rows.mapInArrow(run, "vec_id long, x array<double>, key binary")
+
+
 def _linked(dealt: DataFrame, threshold: float) -> DataFrame:
     """Rows (a, n, b): node ``a`` has links to ``n`` vectors of the shard (b null), or an edge of the forest (n null)."""
 
@@ -295,17 +321,11 @@ def _answers(graph: Graph, exact: np.ndarray, ids: np.ndarray, many: np.ndarray,
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_column: str = "vec_id", column: str = "embedding", shards: int | None = None) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
-    x = F.col(column).cast("array<double>")
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), x.alias("x"))
-    sound = F.coalesce(F.size("x") > 0, F.lit(False)) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)
-    good = rows.where("vec_id is not null").where(sound).groupBy("vec_id").agg(F.min("x").alias("x"))
-    # the largest component is scaled to one before the squares, which else might leave the range of a double
-    top = F.aggregate("x", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
-    scaled = good.withColumn("top", top).select("vec_id", F.transform("x", lambda v: v / F.col("top") + 0.0).alias("x"))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    unit = scaled.withColumn("norm", norm).select("vec_id", F.transform("x", lambda v: v / F.col("norm")).alias("x"))
-    nodes = unit.groupBy("x").agg(F.min("vec_id").alias("node"), F.count("*").alias("many")).checkpoint()
-    named = unit.join(nodes, "x").select("vec_id", "node", "many")
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("x"))
+    unit = _units(rows.where("vec_id is not null and x is not null")).groupBy("vec_id").agg(F.min(F.struct("x", "key")).alias("v"))
+    unit = unit.select("vec_id", "v.key", "v.x").checkpoint()
+    nodes = unit.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("many"), F.first("x").alias("x")).checkpoint()
+    named = unit.select("vec_id", "key").join(nodes.select("key", "node", "many"), "key").select("vec_id", "node", "many")
     total = nodes.count()
     s = shards or max(6, -(-total // SHARD_NODES))
     shard = F.pmod(F.xxhash64("node"), F.lit(s)).cast("int")
