@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,9 +84,8 @@ class Ftrl:
 
 
 def fit_arrays(examples: list[tuple[np.ndarray, float]], s: Settings) -> Model:
-    """``examples``: distinct coordinates and label, in the order to visit them."""
+    """``examples``: distinct coordinates, the intercept's among them, and label, in the order to visit them."""
     ftrl = Ftrl(s)
-    examples = [(np.append(np.unique(at), ftrl.size), y) for at, y in examples]
     for _ in range(s.epochs):
         for at, y in examples:
             ftrl.learn(at, y)
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
                 row, at = features(data, bounds, settings.bits)
                 order = np.argsort(row, kind="stable")
                 parts = np.split(at[order], np.searchsorted(row[order], np.arange(1, b - a)))
-                examples += zip((np.unique(p).astype(np.int32) for p in parts), labels[a:b], strict=True)
+                examples += zip((np.append(np.unique(p), 1 << settings.bits).astype(np.int32) for p in parts), labels[a:b], strict=True)
         if examples:
             m = fit_arrays(examples, settings)
             yield pa.RecordBatch.from_arrays([pa.array([m.intercept]), pa.array([m.index.tolist()], pa.list_(pa.int64())), pa.array([m.weight.tolist()], pa.list_(pa.float64()))], names=["intercept", "places", "weights"])
@@ -136,15 +136,17 @@ def score_column(column: pa.Array, model: Model | None) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def score(docs: DataFrame, model: Model | None, *, threshold: float = 0.3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``carry``, score and predicted (1 if score >= threshold)."""
+def score(docs: DataFrame, model: Model | None, *, threshold: float = 0.3, whole: bool = False) -> DataFrame:
+    """doc_id, or with ``whole`` the struct ``row`` of all columns, then score and predicted (1 if score >= threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.select(*carry, docs["text"].alias("__text"))
-    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    frame = docs.select(F.struct(*(docs.columns if whole else ["doc_id", "text"])).alias("row"))
+    kept = frame.schema["row"] if whole else T.StructField("doc_id", docs.schema["doc_id"].dataType)
+    schema = T.StructType([kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = score_column(batch.column(len(carry)), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*carry, "score", "predicted"])
+            rows = batch.column(0)
+            scores = score_column(pc.struct_field(rows, "text"), shared.value)
+            yield pa.RecordBatch.from_arrays([rows if whole else pc.struct_field(rows, "doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=schema.names)
 
     return frame.mapInArrow(run, schema)
