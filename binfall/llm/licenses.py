@@ -26,7 +26,7 @@ SPELLINGS = (
     ("whilst", "while"), ("wilful", "wilfull"),
 )
 #: Lines that state a copyright, by their first words.
-COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)\s|\x{a9})[^\n]*$"
+COPYRIGHT = r"(?imd)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)\s|\x{a9})[^\n]*$"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
 "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,

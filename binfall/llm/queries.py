@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chroma, htmlmain, jaccard, licenses, mixing, neighbours, pii, substrings, toxicity
+from . import bpe, chroma, htmlmain, jaccard, licenses, mixing, neighbours, oracles, pii, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_neighbours": oracles.OP1, "op3_mix": oracles.OP3, "op4_licenses": oracles.OP4, "op6_jaccard": oracles.OP6, "op10_substrings": oracles.OP10}
