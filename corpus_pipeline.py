@@ -16,7 +16,7 @@ from binfall.llm.queries import ensure_checkpoint_dir, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled rows of ``docs`` that are not held out."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, carry=("row",))
+    scored = toxicity.score(docs, model, whole=True)
     return scored.where("predicted = 0").select("row.*")
 
 
