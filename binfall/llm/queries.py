@@ -18,7 +18,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names; set one only where there is none, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/binfall-checkpoints")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/binfall-checkpoints")
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
