@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 #: One chunk ends at about every sixteenth space.
 CHUNK_MASK = 15
 #: Entries of the tables of a task; a full table is emptied.
-CHUNKS, PIECES = 100_000, 500_000
+CHUNKS, PIECES = 50_000, 400_000
 #: Marks, controls, white space other than the plain space, and the letter whose lower case depends on what follows it:
 #: a normaliser might look past a space beside one of them.
 DOUBTFUL = regex.compile(r"[\p{M}\p{C}\p{Zl}\p{Zp}\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\u03a3]")
@@ -156,7 +156,8 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", carry: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path)
         for batch in batches:
-            out: dict[str, list] = {a: [] for a in add}
+            at = 0
+            # small batches go out as they are made, so ids never pile up
             for texts in _batches(batch.column(len(carry))):
                 ids = encoder.encode(texts)
                 decoded = encoder.decode(ids) if decodes else []
@@ -167,8 +168,8 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", carry: tuple[str,
                     "ids_sha256": lambda: [hashlib.sha256(x).hexdigest() for x in ids],
                     "decoded_sha256": lambda: [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded],
                 }
-                for a in add:
-                    out[a].extend(made[a]())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *(pa.array(out[a], kinds[a]) for a in add)], names=schema.names)
+                kept = [c.slice(at, len(texts)) for c in batch.columns[: len(carry)]]
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(made[a](), kinds[a]) for a in add)], names=schema.names)
 
     return frame.mapInArrow(run, schema)
