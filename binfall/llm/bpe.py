@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut after spaces at which a rolling hash of the bytes before it hits a mask, so equal passages of different
-documents are cut at equal places. Each distinct chunk is encoded once per task and kept in a bounded table, together with
+documents are cut at equal places. Each distinct chunk is encoded once per worker and kept in a bounded table, together with
 a table of the space-separated pieces that chunks consist of. A chunk's ids are those of its pieces.
 
 Joins (between chunks, and between the pieces of a chunk) lie at a plain space or line feed, which the tokenizer drops and
@@ -15,7 +15,10 @@ rule; extra columns pass through.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +29,13 @@ from pyspark.sql import types as T
 
 #: One chunk ends at about every sixteenth space.
 CHUNK_MASK = 15
-#: Entries of the tables of a task; a full table is emptied.
-CHUNKS, PIECES = 50_000, 400_000
+#: Entries of the tables of a worker; a full table is emptied.
+CHUNKS, PIECES = 20_000, 300_000
 #: Marks, controls, white space other than the plain space, and the letter whose lower case depends on what follows it:
 #: a normaliser might look past a space beside one of them.
 DOUBTFUL = regex.compile(r"[\p{M}\p{C}\p{Zl}\p{Zp}\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\u03a3]")
+#: The place between an ASCII letter or digit and an ASCII sign other than the apostrophe.
+SIGN_AFTER_WORD = re.compile(r"(?<=[A-Za-z0-9])(?=[!-&(-/:-@\[-`{-~])")
 _TABLE = np.random.default_rng(9).integers(0, 1 << 32, 256, dtype=np.uint64)
 
 
@@ -49,6 +54,7 @@ class ChunkEncoder:
     """Encodes texts as the library would, reusing chunks. ids are kept as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,8 +86,9 @@ class ChunkEncoder:
         missing = [p for p in pieces if p not in self.pieces]
         if len(self.pieces) + len(missing) > PIECES:
             self.pieces, missing = {"": b""}, [p for p in pieces if p]
-        if missing:
-            self.pieces.update(zip(missing, self.apart(missing), strict=True))
+        for at in range(0, len(missing), 4096):
+            some = missing[at : at + 4096]
+            self.pieces.update(zip(some, self.apart(some), strict=True))
 
     def apart(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece, from one call: a special token between two pieces keeps them apart and marks their ends."""
@@ -117,6 +124,8 @@ class ChunkEncoder:
             elif DOUBTFUL.search(text := text.replace("\n", " ")):
                 out[i] = self.joined(text.split(" "))
             else:
+                # the tokenizer parts letters from signs and lowers A-Z anyway: done first, fewer pieces differ
+                text = SIGN_AFTER_WORD.sub(" ", text.lower() if text.isascii() else text)
                 at = [0, *cuts(text), len(text) + 1]
                 cut[i] = [text[a : b - 1] for a, b in zip(at, at[1:], strict=False)]
         self.learn([c for chunks in cut.values() for c in chunks])
@@ -130,6 +139,12 @@ class ChunkEncoder:
         return self.tokenizer.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
 
 
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a worker, so that its tables serve all of them and exist once."""
+    return ChunkEncoder(path)
+
+
 def _batches(column: pa.Array, rows: int = 256) -> Iterator[list[str]]:
     for at in range(0, len(column), rows):
         yield ["" if x is None else x for x in column.slice(at, rows).to_pylist()]
@@ -154,7 +169,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", carry: tuple[str,
     decodes = any(a.startswith("decoded") for a in add)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = shared_encoder(path)
         for batch in batches:
             at = 0
             # small batches go out as they are made, so ids never pile up
