@@ -3,13 +3,14 @@
 Every document gets the exponential key ``-ln(u) / quality`` with ``u`` from a digest of its id, so documents of higher
 quality tend to have smaller keys. A source's target in words is met by whole epochs first; what is left is a prefix of
 the source in key order, cut where the words taken come nearest to the budget.
+A plan of one row per source, with the key of the last document that is taken, then decides on every document.
 
 Nothing is sorted or windowed by source alone. Keys fall in ``buckets`` equal slices of the exponential distribution;
 words are summed by source and bucket, and only the documents of the one bucket per source that the budget's end lies in
 are put in order.
 
 Edge cases: null or empty texts have size 0 and are taken 0 times; a null source is a source (the last); equal keys are
-ordered by id and size; repeated rows are sampled as rows; an empty table gives an empty table; extra columns pass through.
+ordered by id and size; repeated rows are taken alike; an empty table gives an empty table; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -53,25 +54,16 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(
-    docs: DataFrame,
-    *,
-    weights: tuple[float, ...] = (5, 2, 1),
-    share: float = 1.5,
-    most: float = 2.0,
-    quality: Column | None = None,
-    buckets: int = 4096,
-    seed: str = "mix",
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """One row per document: doc_id, the columns in ``keep`` as struct ``kept``, size, source, source_size, target and
-    times (how often the mix takes the document whole)."""
-    text = F.col("text")
-    key = sampling_key(F.col("doc_id"), quality if quality is not None else letter_quality(text), seed)
-    kept = [F.struct(*keep).alias("kept")] if keep else []
-    d = docs.select("doc_id", "source", word_count(text).alias("size"), key.alias("key"), *kept)
-    d = d.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)))
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+def _measured(docs: DataFrame, quality: Column | None, seed: str, *kept: Column) -> DataFrame:
+    key = sampling_key(F.col("doc_id"), quality if quality is not None else letter_quality(F.col("text")), seed)
+    return docs.select(*kept, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
+
+
+def _plan(measured: DataFrame, weights: tuple[float, ...], share: float, most: float, buckets: int) -> DataFrame:
+    """One row per source: source, source_size, target, epochs, and where the fractional epoch ends: all buckets before ``last``, and of ``last`` the
+    documents up to ``cut`` (key, doc_id, size; null: none)."""
+    d = measured.withColumn("bucket", _bucket(buckets))
+    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     budget = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), list(weights), share, most)
     budget = budget.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     budget = budget.withColumn("left", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
@@ -80,18 +72,39 @@ def mix(
     whole = F.col("end") <= F.col("left")
     ends = ends.groupBy(F.col("b.source").alias("source")).agg(F.min(F.when(~whole, F.col("bucket"))).alias("last"), F.max(F.when(whole, F.col("end"))).alias("done"))
     budget = budget.alias("b").join(ends.alias("e"), F.col("b.source").eqNullSafe(F.col("e.source")), "left")
-    budget = budget.select("b.*", F.coalesce("last", F.lit(buckets)).alias("last"), (F.col("left") - F.coalesce("done", F.lit(0))).alias("open"))
-    d = d.alias("d").join(budget.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source"))).select("d.*", *(f"b.{c}" for c in budget.columns if c != "source"))
-    inner, outer = d.where(F.col("bucket") == F.col("last")), d.where(F.col("bucket") != F.col("last"))
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    inner = inner.withColumn("chosen", (run - F.col("size") / 2 <= F.col("open")) & (F.col("left") > 0))
-    outer = outer.withColumn("chosen", F.col("bucket") < F.col("last"))
-    times = F.col("epochs") + F.when(F.col("chosen") & (F.col("size") > 0) & (F.col("epochs") < most), 1).otherwise(0)
-    return inner.unionByName(outer).select("doc_id", *(["kept"] if keep else []), "source", "size", "source_size", "target", F.when(F.col("size") > 0, times).otherwise(0).cast("int").alias("times"))
-
-
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, with the columns of ``docs``."""
-    mixed = mix(docs, keep=tuple(docs.columns), **options).where("times > 0")
-    copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return copies.select(*(F.col(f"kept.`{c}`").alias(c) for c in docs.columns))
+    budget = budget.select("b.*", "last", (F.col("left") - F.coalesce("done", F.lit(0))).alias("open"))
+    # only the documents of the bucket that the budget ends in are put in order; equal keys of equal documents stay together
+    inner = d.alias("d").join(budget.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("bucket") == F.col("last"))).select("d.*", "open", "left")
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size"))
+    place = F.struct("key", "doc_id", "size")
+    inner = inner.withColumn("run", run).withColumn("taken", (F.col("run") - F.col("size") / 2 <= F.col("open")) & (F.col("left") > 0))
+    inner = inner.groupBy("source").agg(F.max(F.when(F.col("taken"), place)).alias("cut"))
+    both = budget.alias("b").join(inner.alias("i"), F.col("b.source").eqNullSafe(F.col("i.source")), "left")
+    return both.select("b.source", "source_size", "target", "epochs", F.when(F.col("left") > 0, F.col("last")).alias("last"), "cut")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1))
+
+
+def _times(measured: DataFrame, plan: DataFrame, most: float, buckets: int) -> DataFrame:
+    """``measured`` with source_size, target and times, how often the mix takes each document."""
+    rows = measured.alias("d").join(plan.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source"))).select("d.*", *(f"b.{c}" for c in plan.columns if c != "source"))
+    inside = F.coalesce(F.struct("key", "doc_id", "size") <= F.col("cut"), F.lit(False))
+    chosen = F.coalesce((_bucket(buckets) < F.col("last")) | ((_bucket(buckets) == F.col("last")) & inside), F.lit(False)) & (F.col("epochs") < most)
+    times = F.when(F.col("size") > 0, F.col("epochs") + F.when(chosen, 1).otherwise(0)).otherwise(0).cast("int")
+    return rows.withColumn("times", times).drop("epochs", "last", "cut", "key")
+
+
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, quality: Column | None = None, buckets: int = 4096, seed: str = "mix") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target and times (how often the mix takes the document whole). Texts are read once."""
+    measured = _measured(docs, quality, seed).checkpoint()
+    return _times(measured, _plan(measured, weights, share, most, buckets), most, buckets)
+
+
+def take(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, quality: Column | None = None, buckets: int = 4096, seed: str = "mix") -> DataFrame:
+    """The mix itself: every document as many times as it is taken, with the columns of ``docs``. Texts are read twice and never shuffled."""
+    plan = _plan(_measured(docs, quality, seed).checkpoint(), weights, share, most, buckets)
+    mixed = _times(_measured(docs, quality, seed, F.struct(*docs.columns).alias("kept")), plan, most, buckets).where("times > 0")
+    copies = mixed.select("kept", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select("kept.*")

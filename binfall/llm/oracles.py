@@ -29,7 +29,7 @@ t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM l WHERE
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
 x AS (
   SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS run
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size) AS run
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN rest > 0 AND epochs < 2 AND run - size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
 """
