@@ -122,10 +122,11 @@ def record_weighted(spark, sf_dir):
     return cells.record(rows, ["l_returnflag"], F.col("v"), MONEY, weight=F.col("l_quantity").cast("long")).withColumn("cnt", F.col("cnt").cast("long"))
 
 
-@query(f"SELECT c_mktsegment, CASE WHEN v < 0 THEN NULL ELSE {_index('v', 7)} END AS idx, count(*) AS cnt FROM (SELECT c_mktsegment, {CENTS.format('c_acctbal')} AS v FROM customer) GROUP BY 1, 2")
+@query(f"SELECT c_mktsegment, CASE WHEN v < 0 THEN -1 ELSE {_index('v', 7)} END AS idx, count(*) AS cnt FROM (SELECT c_mktsegment, {CENTS.format('c_acctbal')} AS v FROM customer) GROUP BY 1, 2")
 def out_of_range_split(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_mktsegment", cents("c_acctbal").alias("v"))
-    return cells.record(rows, ["c_mktsegment"], F.col("v"), MONEY, invalid="flag")
+    flagged = cells.record(rows, ["c_mktsegment"], F.col("v"), MONEY, invalid="flag")
+    return flagged.withColumn("idx", F.coalesce("idx", F.lit(-1).cast("long")))
 
 
 @query(
