@@ -11,7 +11,7 @@ Documents with equal shingle sets are one class from the start. Between classes:
 * The boundary is where enumerating subsets starts to cost more rows than scanning lists (``cost_boundary``).
 
 Lists are never expanded to all pairs. In a first round each member of a list is tried with one hub of the list, picked by hash,
-and with its neighbour in hash order. That joins groups of copies. In the last round only
+and with its neighbour in hash order; below a threshold of 90, two more rounds take other hubs. That joins groups of copies. In the last round only
 pairs whose ends are still in different components are tried; pairs inside a component cannot change it. Every linked pair
 shares a list, so after the last round no link between components is left out. Before sets are compared, parity
 signatures, which bound the difference of two sets from below, drop the pairs that only share a passage.
@@ -42,8 +42,9 @@ SIGNATURE_SIZES, SIGNATURE_BITS = np.array([1200, 9000]), np.array([512, 4096, 3
 LIST_COST = 8
 #: Longest small set whose subsets are enumerated: at most one shingle may be missing.
 LIGHT_LIMIT = 19
-#: Rounds of hubs before the round of all open pairs.
-ROUNDS = 1
+#: Rounds of hubs before the round of all open pairs: one where nearly equal sets are linked, more where copies of copies may each miss
+#: a hub.
+ROUNDS, MORE_ROUNDS = 1, 3
 #: Most ids (8 bytes each) that are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -232,14 +233,15 @@ def groups(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
 
 
 def link_in_rounds(lists: DataFrame, threshold: int, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], signatures: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) among members of the same list (key, d, k1, n) that keep all components: ``ROUNDS`` rounds of hubs, then a
+    """Links (a, b) among members of the same list (key, d, k1, n) that keep all components: some rounds of hubs, then a
     round of all pairs whose ends are still in different components. ``plausible`` drops pairs (a, ak, b, bk) cheaply, ``verified``
     decides; with ``signatures`` the last round drops pairs of smaller sets before they leave their list."""
     by_key = Window.partitionBy("key")
     links, tried, joined = None, None, None
-    for salt in range(ROUNDS + 1):
+    rounds = ROUNDS if threshold >= 90 else MORE_ROUNDS
+    for salt in range(rounds + 1):
         open_ = _open(lists, joined)
-        if salt < ROUNDS:
+        if salt < rounds:
             ordered = by_key.orderBy(F.xxhash64("me.d", "me.k1", F.lit(salt)), "me.d", "me.k1")
             ends = open_.withColumn("hub", F.first("me").over(ordered)).withColumn("near", F.lag("me").over(ordered))
             met = ends.select("me", F.explode(F.array("hub", "near")).alias("other")).where("other is not null and me.c <> other.c")
@@ -253,7 +255,7 @@ def link_in_rounds(lists: DataFrame, threshold: int, plausible: Callable[[DataFr
         found = verified(pairs)
         links = found if links is None else links.unionByName(found)
         release(lists.sparkSession)
-        if salt < ROUNDS:
+        if salt < rounds:
             joined = components(links)
     return links
 
