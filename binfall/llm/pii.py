@@ -1,20 +1,24 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms around them.
 
 Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. Their values are the protected
-entities. A term ``t`` (a word of four letters or more, lower-cased) that stands within ``reach`` characters of an entity ``c`` may reveal
-it; how strongly is estimated from the whole corpus, in documents:
+entities. A term ``t`` (a word of any length, lower-cased) that stands anywhere in a text that holds an entity ``c`` may reveal it; how
+strongly is estimated from the whole corpus, in documents:
 
-    PMI(t; c) = log2(N * n(t, c) / (n(t) * n(c))),   IC(c) = log2(N / n(c)),   disclosure = PMI / IC, at most 1.
+    P(c) = n(c) / N,   P(c | t) = (n'(t, c) + P(c)) / (n'(t) + 1),   PMI(t; c) = log2(P(c | t) / P(c)),   IC(c) = -log2(P(c)),   disclosure = PMI / IC.
 
-Where at least ``support`` different texts show the pair, a term with a disclosure of ``remove`` or more is removed and one of
-``generalise`` or more is replaced by a general mark. Base spans always stay.
+The counts n' leave one text's documents out (of a pair's k texts, the share 1/k), and one document's weight goes to P(c): a text cannot testify
+for itself, and few texts say less than many. Every occurrence, in the texts that hold the entity, of a term with a disclosure of ``remove`` or
+more is removed, of ``generalise`` or more replaced by a general mark. Base spans always stay.
+
+With ``reach`` (the default of ``report`` alone) only terms of four letters or more within so many characters of an entity count and are
+marked, by plain PMI, where at least ``support`` different texts show the pair; that discloses what stands farther away.
 
 Everything is built-in SQL functions. Positions come from splitting a text at the same pattern that finds the matches:
 lengths of pieces and matches add up. The patterns are linear on any text: quantifiers are possessive where the next
 character decides, and a match only starts where a run of its characters starts.
 
 Edge cases: a null text is empty; equal texts get equal spans (they are found once); pairs are counted by documents, copies and repeated
-rows included, but supported by different texts only; an empty table gives an empty table; extra columns pass through.
+rows included, but borne out by different texts only; an empty table gives an empty table; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ PATTERNS = {
 #: What a text must contain for a pattern to be tried.
 GATES = {"email": "@", "phone": "+"}
 TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{3,}+"
+WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]*+"
 _OCTET = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 _BLOCK = 256
 
@@ -129,9 +134,9 @@ def _terms(windows: DataFrame) -> DataFrame:
     return whole.select("key", "entity", F.lower("t.value").alias("term"), (F.col("from") + F.col("t.start")).alias("start"), (F.col("from") + F.col("t.end")).alias("end"))
 
 
-def document_frequency(docs: DataFrame) -> DataFrame:
+def document_frequency(docs: DataFrame, term: str = TERM) -> DataFrame:
     """Number of documents with each term, over all documents; summed before the shuffle."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(term), F.lit(0)), F.lower))
     return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
@@ -149,17 +154,45 @@ def revealing_terms(docs: DataFrame, terms: DataFrame, weights: DataFrame, *, su
     return rated.select("entity", "term", kind.alias("kind")).where("kind is not null")
 
 
-def detect(docs: DataFrame, *, reach: int = 64, support: int = 2, generalise: float = 0.75, remove: float = 0.95) -> tuple[DataFrame, DataFrame]:
+def _whole(docs: DataFrame, found: DataFrame, generalise: float, remove: float) -> DataFrame:
+    """Places (key, start, end, kind) of the terms over the thresholds, in whole texts, from (key, text, base)."""
+    held = found.where(F.size("base") > 0).groupBy("key").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("rows"))
+    held = _found(held, "text", {"term": WORD})
+    places = F.transform("at_term", lambda x: F.struct(F.lower(x["value"]).alias("term"), x["start"].alias("start"), x["end"].alias("end")))
+    held = held.select("key", "rows", F.array_distinct(F.transform("base", _entity)).alias("entities"), places.alias("places")).checkpoint()
+    by_entity = held.select("key", "rows", F.explode("entities").alias("entity"))
+    # with one text left out, an entity or pair of one text has no witness: its disclosure is 0 at most
+    entities = by_entity.groupBy("entity").agg(F.sum("rows").alias("n_c"), F.count("*").alias("texts")).where("texts > 1").select("entity", "n_c").checkpoint()
+    shared = by_entity.join(entities, "entity").groupBy("key").agg(F.collect_set("entity").alias("entities"))
+    few = held.drop("entities").join(shared, "key").checkpoint()
+    pairs = few.select("key", "rows", F.explode("entities").alias("entity"), F.array_distinct("places.term").alias("terms")).select("key", "rows", "entity", F.explode("terms").alias("term"))
+    together = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_tc"), F.count("*").alias("texts")).where("texts > 1")
+    total = docs.agg(F.count("*").alias("n"))
+    rated = together.join(document_frequency(docs, WORD), "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
+    own, chance = F.col("n_tc") / F.col("texts"), F.col("n_c") / F.col("n")
+    given = (F.col("n_tc") - own + chance) / (F.col("n_t") - own + 1)
+    disclosure = F.when(chance < 1, F.log2(given / chance) / -F.log2(chance))
+    kind = F.when(disclosure >= remove, F.lit("remove")).when(disclosure >= generalise, F.lit("generalise"))
+    known = rated.select("entity", "term", kind.alias("kind")).where("kind is not null").checkpoint()
+    kinds = pairs.join(known, ["entity", "term"]).groupBy("key", "term").agg(F.max("kind").alias("kind"))
+    at = few.select("key", F.explode("places").alias("p")).select("key", "p.*")
+    return at.join(kinds, ["key", "term"]).select("key", "start", "end", "kind")
+
+
+def detect(docs: DataFrame, *, reach: int | None = None, support: int = 2, generalise: float = 0.75, remove: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """(rows with their base spans: all columns of ``docs`` but the text under ``row``, key, base; term spans by key)."""
     d = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text", text_key(F.col("text")).alias("key"))
     found = base_spans(d, "text")
     base = found.select("row", "key", "base")
-    held = contexts(found.select("key", "text", "base"), reach).groupBy("key").agg(F.collect_set(F.struct("entity", "left", "offset", "right", "end", "cut")).alias("w"), F.count("*").alias("seen"))
-    # copies add up to ``seen``: as many contexts as the text has, times its documents
-    held = held.select("key", (F.col("seen") / F.size("w")).cast("long").alias("rows"), "w").checkpoint()
-    terms = _terms(held.select("key", F.explode("w").alias("w")).select("key", "w.*"))
-    known = revealing_terms(docs.select("text"), terms, held.select("key", "rows"), support=support, generalise=generalise, remove=remove)
-    flagged = terms.join(known, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
+    if reach is None:
+        flagged = _whole(docs.select("text"), found.select("key", "text", "base"), generalise, remove)
+    else:
+        held = contexts(found.select("key", "text", "base"), reach).groupBy("key").agg(F.collect_set(F.struct("entity", "left", "offset", "right", "end", "cut")).alias("w"), F.count("*").alias("seen"))
+        # copies add up to ``seen``: as many contexts as the text has, times its documents
+        held = held.select("key", (F.col("seen") / F.size("w")).cast("long").alias("rows"), "w").checkpoint()
+        terms = _terms(held.select("key", F.explode("w").alias("w")).select("key", "w.*"))
+        known = revealing_terms(docs.select("text"), terms, held.select("key", "rows"), support=support, generalise=generalise, remove=remove)
+        flagged = terms.join(known, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
     rank = F.when(F.col("kind") == "remove", KINDS.index("remove")).otherwise(KINDS.index("generalise"))
     spans = flagged.groupBy("key").agg(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", F.lit("").alias("value"))).alias("more"))
     return base, spans
@@ -174,9 +207,9 @@ def listing(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
-    """Per document: its columns but the text, n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
-    base, more = detect(docs, **options)
+def report(docs: DataFrame, *, reach: int | None = 64, **options) -> DataFrame:
+    """Per document: its columns but the text, n_email, n_ip, n_card, n_phone, base_sha256 and spans; of whole texts with ``reach=None``."""
+    base, more = detect(docs, reach=reach, **options)
     both = base.join(more, "key", "left")
 
     def count(kind: str) -> Column:

@@ -28,7 +28,7 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"), reach=None)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,3 +155,36 @@ def test_empty_table_and_clashing_columns(spark, documents):
     odd = spark.createDataFrame([(1, "x a@b.co", "k", 3, "m")], "doc_id long, text string, key string, base int, more string")
     assert pii.sanitise(odd).columns == odd.columns
     assert pii.sanitise(odd).first().text == "x [EMAIL]"
+
+
+def brute_whole(rows, generalise=0.75, remove=0.95):
+    word = re.compile(r"(?<![^\W_])[^\W\d_][^\W_]*")
+    terms = [{m[0].lower() for m in word.finditer(t)} for _, t in rows]
+    held = [{(k, re.sub("[^0-9]", "", v) if k in ("card", "phone") else v.lower()) for *_, k, v in brute(t)} for _, t in rows]
+    out = {}
+    for k, (i, text) in enumerate(rows):
+        kinds = {}
+        for e in held[k]:
+            with_e = [j for j in range(len(rows)) if e in held[j]]
+            p = len(with_e) / len(rows)
+            for t in terms[k]:
+                both = [j for j in with_e if t in terms[j]]
+                own = len(both) / len({rows[j][1] for j in both})
+                given = (len(both) - own + p) / (sum(t in x for x in terms) - own + 1)
+                d = math.log2(given / p) / -math.log2(p) if p < 1 else 0
+                kinds[t] = max(kinds.get(t, ""), "remove" if d >= remove else "generalise" if d >= generalise else "")
+        spans = [(m.start(), 0, m.end(), kinds[m[0].lower()], "") for m in word.finditer(text) if kinds.get(m[0].lower())]
+        out[i] = listing(sorted(brute(text) + [(a, pii.KINDS.index(k), b, k, v) for a, _, b, k, v in spans if not any(a < y and x < b for x, _, y, _, _ in brute(text))]))
+    return out
+
+
+def test_terms_anywhere_in_the_text(spark, documents, prose):
+    far = [(200 + k, " ".join(["Bo", *prose(60), "far@corp.example", "Bo", *prose(60), "Mirabel"])) for k in range(6)]
+    rows = corpus(prose) + far + [(300 + k, " ".join(prose(20))) for k in range(60)]
+    df = documents([(i, t, "s") for i, t in rows])
+    want = brute_whole(rows)
+    assert {r.doc_id: r.spans for r in pii.report(df.select("doc_id", "text"), reach=None).collect()} == want
+    out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for i, _ in far:
+        assert not re.search("Bo|Mirabel|far@", out[i]) and want[i].count("generalise") + want[i].count("remove") >= 3
+    assert "Lonely" in out[len(corpus(prose)) - 1]
