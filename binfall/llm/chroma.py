@@ -4,9 +4,9 @@ A recording becomes frames of twelve pitch classes (short-time spectra folded ov
 evaluated on the integral image of the frames, are quantised to two bits each, Gray-coded, and packed in one 32-bit integer per
 frame: the fingerprint.
 
-Recordings with equal fingerprints are one class. Between classes, candidates share the ``ROWS`` least hashes of codes in one of
-``BANDS`` sets of orders (a list); lists are worked off in rounds of hubs and a last round of the pairs whose ends are still in
-different components; pairs that share few codes may so be missed. A pair is aligned by the histogram of the offsets at which codes agree: with each of the top offsets, the codes
+Recordings with equal fingerprints are one class. Between classes, candidates share a code: every distinct code is a list, and lists of the
+same members are one. As the offsets of a pair come from equal codes, no link is missed. Lists are worked off in rounds of hubs and a
+last round of the pairs whose ends are still in different components. A pair is aligned by the histogram of the offsets at which codes agree: with each of the top offsets, the codes
 that lie on each other are compared bit by bit, and a code is matched if some top offset leaves few bit errors. The pair is
 linked if enough of the longer recording is matched.
 
@@ -35,7 +35,6 @@ FILTERS = (
 )
 THRESHOLDS = (-0.12, 0.0, 0.12)
 SPAN = 16
-ROWS, BANDS = 3, 12
 #: Offsets tried, bit errors that a matched code may have, and hundredths of the longer recording that must be matched.
 TOP_OFFSETS, MAX_ERRORS, COVERAGE = 4, 4, 75
 
@@ -109,19 +108,8 @@ def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return int(top[0]), int(matched.sum()), len(a)
 
 
-def bands(codes: np.ndarray) -> np.ndarray:
-    """``BANDS`` list keys: each hashes the ``ROWS`` least landmarks of one order; the landmarks are the distinct codes."""
-    marks = np.unique(codes).astype(np.uint64)
-    orders = tx.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-    least = np.array([tx.mix(marks ^ o).min() for o in orders]).reshape(BANDS, ROWS)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.T:
-        keys = tx.mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
-    return keys
-
-
 def fingerprints(recordings: DataFrame, *, id_column: str = "media_id", column: str = "pcm", rate: int = 4000) -> DataFrame:
-    """media_id, codes (array of integers), k1 and keys, from 16-bit little-endian mono samples (binary)."""
+    """media_id, codes (array of integers) and k1, from 16-bit little-endian mono samples (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,14 +118,13 @@ def fingerprints(recordings: DataFrame, *, id_column: str = "media_id", column:
                 raw = x.as_py() or b""
                 codes.append(fingerprint(frames(np.frombuffer(raw[: len(raw) // 2 * 2], "<i2") / 32768, rate)))
             k1 = [int(tx.runs(c.astype(np.uint64), np.zeros(1, np.int64), np.array([len(c)]))[0].view(np.int64)) if len(c) else 0 for c in codes]
-            keys = [bands(c).view(np.int64) if len(c) else [] for c in codes]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([c.view(np.int32) for c in codes], pa.list_(pa.int32())), pa.array(k1, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["media_id", "codes", "k1", "keys"],
+                [batch.column(0), pa.array([c.view(np.int32) for c in codes], pa.list_(pa.int32())), pa.array(k1, pa.int64())],
+                names=["media_id", "codes", "k1"],
             )
 
     frame = recordings.select(F.col(id_column).cast("long").alias("media_id"), F.col(column).alias("pcm"))
-    return frame.mapInArrow(run, "media_id long, codes array<int>, k1 long, keys array<long>")
+    return frame.mapInArrow(run, "media_id long, codes array<int>, k1 long")
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
@@ -158,9 +145,11 @@ def alike(recordings: DataFrame, **options) -> DataFrame:
     """One row per recording: media_id, n_codes, class_id (least id of equal fingerprints) and component_id."""
     found = fingerprints(recordings, **options).checkpoint()
     n = F.size("codes").cast("long")
-    classes = found.where("size(codes) > 0 and media_id is not null").groupBy("k1", n.alias("n")).agg(F.min("media_id").alias("d"), F.min_by("keys", "media_id").alias("keys"))
-    entries = classes.select(F.explode(F.array_distinct("keys")).alias("key"), "d", "k1", "n")
-    lists = entries.join(entries.groupBy("key").count().where("count > 1").select("key"), "key").checkpoint()
+    classes = found.where("size(codes) > 0 and media_id is not null").groupBy("k1", n.alias("n")).agg(F.min("media_id").alias("d"), F.min_by("codes", "media_id").alias("codes"))
+    entries = classes.select(F.explode(F.array_distinct("codes")).alias("key"), "d", "k1", "n").checkpoint()
+    members = [F.sum(F.xxhash64("d", "k1", F.lit(salt)).cast("decimal(20,0)")).alias(f"h{salt}") for salt in (1, 2)]
+    sets = entries.groupBy("key").agg(F.count("*").alias("size"), *members).where("size > 1")
+    lists = entries.join(sets.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key").checkpoint()
     known = found.where("size(codes) > 0").select("media_id", "k1", "codes").dropDuplicates(["media_id", "k1"])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -168,7 +157,8 @@ def alike(recordings: DataFrame, **options) -> DataFrame:
         both = left.join(known.select(F.col("media_id").alias("b"), F.col("k1").alias("bk"), F.col("codes").alias("y")), ["b", "bk"])
         return _aligned(both.select("a", "b", "x", "y")).checkpoint()
 
-    links = link_in_rounds(lists, COVERAGE, lambda pairs: pairs, verified)
+    # a shorter recording matches its own length at each offset at most
+    links = link_in_rounds(lists, COVERAGE // TOP_OFFSETS, lambda pairs: pairs, verified)
     rows = found.select("media_id", n.alias("n_codes"), "k1")
     named = rows.join(classes.select(F.col("n").alias("n_codes"), "k1", F.col("d").alias("class")), ["n_codes", "k1"], "left").select("media_id", "n_codes", F.coalesce("class", "media_id").alias("class_id"))
     same = named.where("media_id <> class_id").select(F.col("media_id").alias("a"), F.col("class_id").alias("b"))

@@ -85,3 +85,18 @@ def test_components_equal_all_pairs(spark, recordings):
 
 def test_empty_table(spark):
     assert chroma.alike(spark.createDataFrame([], "media_id long, pcm binary")).count() == 0
+
+
+def test_few_equal_codes_and_repeated_recordings(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(12):
+        a = rng.integers(0, 2**32, 100, dtype=np.uint32)
+        b = a ^ np.uint32(1 << k)
+        b[k * 8] = a[k * 8]
+        rows += [(4 * k, a), (4 * k + 1, b), (4 * k + 2, np.r_[a, a]), (4 * k + 3, rng.integers(0, 2**32, 100, dtype=np.uint32))]
+        assert chroma.alignment(a, b)[1] == 100 and chroma.alignment(np.r_[a, a], a)[1] == 200
+    made = spark.createDataFrame([(i, x.view(np.int32).tolist(), i) for i, x in rows], "media_id long, codes array<int>, k1 long")
+    monkeypatch.setattr(chroma, "fingerprints", lambda recordings: made)
+    got = {r.media_id: r.component_id for r in chroma.alike(made).collect()}
+    assert got == {i: i if i % 4 == 3 else i // 4 * 4 for i, _ in rows}
