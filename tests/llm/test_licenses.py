@@ -51,3 +51,14 @@ def test_empty_table_and_clashing_columns(spark, documents):
     assert licenses.scan(documents([])).count() == 0
     odd = spark.createDataFrame([(1, "All rights reserved", 5, "c"), (1, "All rights reserved", 6, "d")], "doc_id long, text string, digest int, line string")
     assert [r.notices for r in licenses.scan(odd).collect()] == ["LicenseRef-Proprietary"] * 2
+
+
+def test_full_texts_later_versions_and_a_table_of_ones_own(spark, documents):
+    texts = [open(f"/usr/share/common-licenses/{x}", encoding="utf-8").read() for x in ("Apache-2.0", "GPL-3", "MPL-2.0")]
+    texts += ["prose\nSPDX-License-Identifier: LGPL-2.1-or-later\n", "This work is licensed under the GNU General Public License, version 3 or any later version.", "x\nFree for all!"]
+    got = sorted(licenses.scan(documents(texts)).collect())
+    assert [r.license_id for r in got] == ["Apache-2.0", "GPL-3.0-only", "MPL-2.0", None, "GPL-3.0-or-later", None]
+    assert [r.notices for r in got[3:]] == ["LGPL-2.1-or-later", "GPL-3.0-or-later", ""]
+    own = spark.createDataFrame([("Own", "free for ALL"), ("Z", "free for all."), ("E", " .")], "license_id string, text string")
+    got = sorted(licenses.scan(documents([*texts, ""]), own).collect())
+    assert [r.notices for r in got] == [""] * 5 + ["Own", ""] and got[-1].license_id is None
