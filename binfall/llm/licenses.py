@@ -152,5 +152,7 @@ def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     lines = lines.where(likely("line"))
     found = lines.select("doc_id", "tkey", digest(F.col("line")).alias("digest")).join(table, "digest").groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("license_id")).alias("ids"))
     whole = d.select("doc_id", "tkey", digest(F.col("text")).alias("digest")).join(table, "digest", "left")
-    both = whole.join(found, ["doc_id", "tkey"], "left")
+    # null ids meet too
+    found = found.select(F.col("doc_id").alias("its"), F.col("tkey").alias("tk"), "ids")
+    both = whole.join(found, F.col("doc_id").eqNullSafe(F.col("its")) & (F.col("tkey") == F.col("tk")), "left")
     return both.select("doc_id", F.col("digest").alias("text_digest"), "license_id", F.coalesce(F.array_join("ids", ","), F.lit("")).alias("notices"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_notices"))

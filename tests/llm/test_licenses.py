@@ -62,3 +62,8 @@ def test_full_texts_later_versions_and_a_table_of_ones_own(spark, documents):
     own = spark.createDataFrame([("Own", "free for ALL"), ("Z", "free for all."), ("E", " .")], "license_id string, text string")
     got = sorted(licenses.scan(documents([*texts, ""]), own).collect())
     assert [r.notices for r in got] == [""] * 5 + ["Own", ""] and got[-1].license_id is None
+
+
+def test_rows_without_an_id_keep_their_notices(spark, documents):
+    rows = licenses.scan(documents([(None, "x\nAll rights reserved.", "s"), (None, "y", "s"), (1, "z", "s")])).collect()
+    assert sorted((r.doc_id is None, r.notices, r.n_notices) for r in rows) == [(False, "", 0), (True, "", 0), (True, "LicenseRef-Proprietary", 1)]
