@@ -10,11 +10,16 @@ Documents with equal shingle sets are one class from the start. Between classes:
   only needs no list, so a set that has enough of them is on none, whatever passages it shares with others.
 * The boundary is where enumerating subsets starts to cost more rows than scanning lists (``cost_boundary``).
 
-Lists are never expanded to all pairs. In a first round each member of a list is tried with one hub of the list, picked by hash,
-and with its neighbour in hash order; below a threshold of 90, two more rounds take other hubs. That joins groups of copies. In the last round only
-pairs whose ends are still in different components are tried; pairs inside a component cannot change it. Every linked pair
-shares a list, so after the last round no link between components is left out. Before sets are compared, parity
-signatures, which bound the difference of two sets from below, drop the pairs that only share a passage.
+Links are found in rounds. First, classes whose sets agree in all the minima of a band (eight of 32 ranges of hash values) are tried with
+hubs: one of the band, and one of the members of it that also share the next band. Then each member of a list is tried with hubs of the list. Hubs are
+found by aggregation, so neither a popular band nor a popular shingle is gathered in one task, and a round makes a few pairs a member.
+In the last round only members of one list whose ends are still in different components are paired, each pair under one of its
+lists; pairs inside a component cannot change it. Every linked pair shares a list, so after the last round no link between components
+is left out. Before sets are compared, parity signatures, which bound the difference of two sets from below, drop the
+pairs that only share a passage.
+
+Shingles that a sample of documents shows to be frequent are last in the common order and only put down by sets that need them; the sample
+decides where work is spared, not which pairs are found.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle is one shingle;
 equal sets are linked; repeated rows and rows that share an id are one node; an empty table gives an empty table;
@@ -42,9 +47,19 @@ SIGNATURE_SIZES, SIGNATURE_BITS = np.array([1200, 9000]), np.array([512, 4096, 3
 LIST_COST = 8
 #: Longest small set whose subsets are enumerated: at most one shingle may be missing.
 LIGHT_LIMIT = 19
-#: Rounds of hubs before the round of all open pairs: one where nearly equal sets are linked, more where copies of copies may each miss
-#: a hub.
-ROUNDS, MORE_ROUNDS = 1, 3
+#: Bands of minima, and ranges of hash values in a band.
+BANDS, BAND_RANGES = 4, 8
+#: Sub-groups of a list or band that have hubs of their own.
+HUBS = 8
+#: Rounds of list hubs before the round of all open pairs.
+ROUNDS = 1
+#: Keys of a member, in order, in which a pair's first common list is looked up.
+FIRST_KEYS = 16
+#: Documents looked at for frequent shingles (about), and the share of them that makes a shingle frequent. There are at most so many
+#: frequent ones as the counted shingles of a document, on average, over the share.
+FREQUENT_SAMPLE, FREQUENT_SHARE = 20_000, 0.004
+#: Names of sets that a task remembers, to put equal sets down once.
+REMEMBERED = 500_000
 #: Most ids (8 bytes each) that are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -87,19 +102,32 @@ def _signatures(row: np.ndarray, found: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((start // 64).astype(np.int32)), pa.array(np.packbits(flips, bitorder="little").view(np.int64)))
 
 
+def _bands(row: np.ndarray, found: np.ndarray, rows: int) -> pa.Array:
+    """Hashes of the least shingle of each range of hash values, eight ranges together. ``found`` ascends in a row."""
+    ranges = BANDS * BAND_RANGES
+    cell = row * ranges + (found >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else cell
+    least = np.zeros(rows * ranges, np.uint64)
+    least[cell[first]] = found[first]
+    out = np.zeros((rows, BANDS), np.uint64)
+    for part in least.reshape(rows, BANDS, BAND_RANGES).transpose(2, 0, 1):
+        out = tx.mix(out * np.uint64(0x9FB21C651E98DF25) + part)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(out.reshape(-1).view(np.int64)))
+
+
 def _profiles(frame: DataFrame, k: int) -> DataFrame:
-    """Per row doc_id, n, two 64-bit sums that name the set, and its signature."""
+    """Per row doc_id, n, two 64-bit sums that name the set, its signature and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "k1", "k2", "sig"]
+        names = ["doc_id", "n", "k1", "k2", "sig", "bands"]
         for batch in batches:
             for a, b, data, bounds in tx.slices(batch.column(1)):
                 row, found = shingle_sets(data, bounds, k)
                 n = np.bincount(row, minlength=b - a)
                 keys = [_sums(row, _salted(found, s), b - a).view(np.int64) for s in (0x51ED270B, 0x2545F4914F6CDD1D)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, keys), _signatures(row, found, n)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), *map(pa.array, keys), _signatures(row, found, n), _bands(row, found, b - a)], names=names)
 
-    return frame.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig array<long>")
+    return frame.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig array<long>, bands array<long>")
 
 
 def cost_boundary(threshold: int) -> int:
@@ -112,13 +140,32 @@ def cost_boundary(threshold: int) -> int:
     return best
 
 
-def _postings(frame: DataFrame, k: int, threshold: int, boundary: int) -> DataFrame:
-    """Rows (key, doc_id, k1, n, counted): subsets of small sets (counted -1), all counted shingles of larger ones (counted: how many
-    they have), and, of a set with too few of these, the next in order (counted -1). A task puts equal sets down once."""
+def _frequent(frame: DataFrame, k: int, rows: int) -> np.ndarray:
+    """Counted shingles that are frequent in a sample of documents, most frequent last."""
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("frequent")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FREQUENT_SAMPLE / max(1, rows)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, bounds in tx.slices(batch.column(0)):
+                _, found = shingle_sets(data, bounds, k)
+                key, n = np.unique(found[found >> np.uint64(64 - COUNTED_BITS) == 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    least = max(32, int(FREQUENT_SHARE * min(rows, FREQUENT_SAMPLE)))
+    counts = frame.where(drawn).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.array([r.key for r in sorted(counts.collect(), key=lambda r: (r.n, r.key))], np.int64).view(np.uint64)
+
+
+def _postings(frame: DataFrame, k: int, threshold: int, boundary: int, frequent: np.ndarray) -> DataFrame:
+    """Rows (key, doc_id, k1, n, counted): subsets of small sets (counted -1), all counted shingles of larger ones that are not frequent
+    (counted: how many they have), and, of a set with too few of these, the next in order (counted -1). A task puts equal sets down once."""
     reach = boundary + 1 - (boundary + 1) * (100 - threshold) // 100
+    sorter = np.argsort(frequent, kind="stable")
+    shared = frame.sparkSession.sparkContext.broadcast((frequent[sorter], sorter))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        often, place_of = shared.value
         for batch in batches:
             for a, b, data, bounds in tx.slices(batch.column(1)):
                 row, found = shingle_sets(data, bounds, k)
@@ -131,25 +178,34 @@ def _postings(frame: DataFrame, k: int, threshold: int, boundary: int) -> DataFr
                 for i, key in enumerate(k1.tolist()):
                     if n[i] and key not in seen:
                         new[i] = True
-                        seen.add(key)
+                        if len(seen) < REMEMBERED:
+                            seen.add(key)
                 size, first = n[row], (found >> np.uint64(64 - COUNTED_BITS)) == 0
-                # hashes ascend in a row, so the counted ones come first
-                counted = np.bincount(row[first], minlength=b - a)
-                place = np.arange(len(row)) - np.searchsorted(row, np.arange(b - a))[row]
-                listed = new[row] & (size >= reach) & (first | (place <= size * (100 - threshold) // 100))
+                # the common order: counted shingles that are not frequent, frequent ones, others by hash
+                at = np.searchsorted(often, found) if len(often) else np.zeros(len(found), np.int64)
+                hot = first & (at < len(often)) & (often[np.minimum(at, len(often) - 1)] == found) if len(often) else np.zeros(len(found), bool)
+                cold = first & ~hot
+                group = np.where(cold, 0, np.where(hot, 1, 2))
+                within = np.where(hot, place_of[np.minimum(at, len(often) - 1)] if len(often) else 0, 0)
+                order = np.lexsort((within, group, row))
+                place = np.empty(len(row), np.int64)
+                place[order] = np.arange(len(row)) - np.searchsorted(row, np.arange(b - a))[row[order]]
+                counted = np.bincount(row[cold], minlength=b - a)
+                listed = new[row] & (size >= reach) & (cold | (place <= size * (100 - threshold) // 100))
                 small = new & (n > 0) & (n <= boundary)
                 cut = small[row] & (size * (100 - threshold) // 100 >= 1)
                 keys = [found[listed], _salted(k1[small], 0x7A646E19), _salted(k1[row[cut]] - salted[cut], 0x7A646E19)]
                 at = np.concatenate([row[listed], np.flatnonzero(small), row[cut]])
                 number = np.full(len(at), -1)
-                number[: listed.sum()] = np.where(first, counted[row], -1)[listed]
+                number[: listed.sum()] = np.where(cold, counted[row], -1)[listed]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(at + a)), pa.array(k1[at].view(np.int64)), pa.array(n[at]), pa.array(number)], names=["key", "doc_id", "k1", "n", "counted"])
 
     return frame.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, k1 long, n long, counted long")
 
 
 def _lists(postings: DataFrame, threshold: int) -> DataFrame:
-    """(key, d, k1, n): what every set puts on lists, without keys of one set only."""
+    """(key, d, k1, n): what every set puts on lists, without keys of one set only. Frequent shingles are put down by sets that need them
+    alone, so that no key has a large share of the rows that meet here."""
     # one shuffle by key serves the distinct step and the count
     entries = postings.repartition("key").groupBy("key", "k1", "n").agg(F.min("doc_id").alias("d"), F.max("counted").alias("counted"))
     shared = entries.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1")
@@ -221,58 +277,78 @@ def groups(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
     profiles = _profiles(known, k).checkpoint()
     rows = profiles.select("doc_id", "n", "k1", "k2")
     known = known.where("doc_id is not null")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    lists = _lists(_postings(known, k, threshold, cost_boundary(threshold)), threshold).checkpoint()
+    with_words = profiles.where("n > 0 and doc_id is not null")
+    classes = with_words.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    frequent = _frequent(known, k, profiles.count())
+    lists = _lists(_postings(known, k, threshold, cost_boundary(threshold), frequent), threshold).checkpoint()
     release(docs.sparkSession)
-    signatures = profiles.where("n > 0").select("doc_id", "k1", "n", "sig").dropDuplicates(["doc_id", "k1"])
-    links = link_in_rounds(lists, threshold, lambda pairs: _plausible(pairs, signatures, threshold), lambda pairs: _verified(pairs, known, threshold, k), signatures)
+    signatures = with_words.select("doc_id", "k1", "n", "sig").dropDuplicates(["doc_id", "k1"])
+    banded = with_words.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("d"), F.first("bands").alias("bands"))
+    links = link_in_rounds(lists, threshold, lambda pairs: _plausible(pairs, signatures, threshold), lambda pairs: _verified(pairs, known, threshold, k), _band_pairs(banded, threshold), signatures)
     # the representative of a class, and the documents of one class, in one component
     same = rows.join(classes, ["n", "k1", "k2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(same)).withColumnRenamed("node", "doc_id")
     return rows.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def link_in_rounds(lists: DataFrame, threshold: int, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], signatures: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) among members of the same list (key, d, k1, n) that keep all components: some rounds of hubs, then a
+def _with_hubs(entries: DataFrame, salt: int, threshold: int) -> DataFrame:
+    """Pairs of each member (key, me) with a hub of its key and with a hub of its part of the key. Members of one component are not tried."""
+    part = F.pmod(F.xxhash64("me.d", "me.k1", F.lit(salt), F.lit("part")), F.lit(HUBS))
+    turn = F.xxhash64("me.d", "me.k1", F.lit(salt))
+    entries = entries.withColumn("part", part)
+    hubs = entries.groupBy("key", "part").agg(F.min_by("me", turn).alias("other"), F.min(turn).alias("turn"))
+    whole = hubs.groupBy("key").agg(F.min_by("other", "turn").alias("top"))
+    met = entries.join(hubs.join(whole, "key").select("key", "part", "other", "top"), ["key", "part"])
+    met = met.select("me", F.explode(F.array_distinct(F.array("other", "top"))).alias("other"))
+    return met.where((F.col("me.c") != F.col("other.c")) & _sizes_fit(F.col("me.n"), F.col("other.n"), threshold))
+
+
+def _band_pairs(classes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of classes that share a band, or a band and the next, with the hubs of these."""
+    me = F.struct("d", "k1", "n", F.col("d").alias("c")).alias("me")
+    bands = [F.xxhash64(F.lit(i), F.col("bands")[i]) for i in range(BANDS)]
+    twice = [F.xxhash64(F.lit(i + BANDS), F.col("bands")[i], F.col("bands")[(i + 1) % BANDS]) for i in range(BANDS)]
+    return _with_hubs(classes.select(F.explode(F.array(*bands, *twice)).alias("key"), me), 0, threshold)
+
+
+def link_in_rounds(lists: DataFrame, threshold: int, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], ahead: DataFrame | None = None, signatures: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among members of the same list (key, d, k1, n) that keep all components: the pairs (me, other) ``ahead``, rounds of hubs, then a
     round of all pairs whose ends are still in different components. ``plausible`` drops pairs (a, ak, b, bk) cheaply, ``verified``
     decides; with ``signatures`` the last round drops pairs of smaller sets before they leave their list."""
-    by_key = Window.partitionBy("key")
     links, tried, joined = None, None, None
-    rounds = ROUNDS if threshold >= 90 else MORE_ROUNDS
-    for salt in range(rounds + 1):
-        open_ = _open(lists, joined)
-        if salt < rounds:
-            ordered = by_key.orderBy(F.xxhash64("me.d", "me.k1", F.lit(salt)), "me.d", "me.k1")
-            ends = open_.withColumn("hub", F.first("me").over(ordered)).withColumn("near", F.lag("me").over(ordered))
-            met = ends.select("me", F.explode(F.array("hub", "near")).alias("other")).where("other is not null and me.c <> other.c")
-            met = met.where(_sizes_fit(F.col("me.n"), F.col("other.n"), threshold))
-        else:
-            met = _across(open_, signatures, threshold)
-        pairs = met.select(*_named("me", "other")).distinct()
+    rounds = [] if ahead is None else [lambda: ahead]
+    rounds += [lambda salt=salt: _with_hubs(_open(lists, joined), salt, threshold) for salt in range(1, ROUNDS + 1)]
+    rounds.append(lambda: _across(_open(lists, joined), signatures, threshold))
+    for number, met in enumerate(rounds):
+        pairs = met().select(*_named("me", "other")).distinct()
         pairs = pairs if tried is None else pairs.join(tried, PAIR, "left_anti")
         pairs = plausible(pairs).checkpoint()
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = verified(pairs)
         links = found if links is None else links.unionByName(found)
         release(lists.sparkSession)
-        if salt < rounds:
+        if number + 1 < len(rounds):
             joined = components(links)
     return links
 
 
 def _across(open_: DataFrame, signatures: DataFrame | None, threshold: int) -> DataFrame:
-    """Pairs (me, other) of members of one list that are in different components, of sizes and signatures that fit."""
-    short = F.lit(None).cast("array<bigint>")
+    """Pairs (me, other) of members of one list that are in different components, of sizes and signatures that fit. A pair is made under the
+    least of the lists that both have among their first ``FIRST_KEYS``, or else under any list it shares."""
+    by = open_.select("key", "me", F.col("me.d").alias("d"), F.col("me.k1").alias("k1"))
+    own = by.groupBy("d", "k1").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
     if signatures is not None:
         # long signatures would weigh too much on every list; their pairs are sifted one by one later
         small = signatures.where(F.size("sig") <= SIGNATURE_BITS[0] // 64).select(F.col("doc_id").alias("d"), "k1", "sig")
-        open_ = open_.withColumn("d", F.col("me.d")).withColumn("k1", F.col("me.k1")).join(small, ["d", "k1"], "left").select("key", "me", "sig")
-        short = F.col("sig")
-    open_ = open_.select("key", "me", short.alias("sig"))
-    x = open_.select("key", "me", F.col("sig").alias("s"))
-    y = open_.select(F.col("key").alias("its"), F.col("me").alias("other"), F.col("sig").alias("t"))
+        own = own.join(small, ["d", "k1"], "left")
+    else:
+        own = own.withColumn("sig", F.lit(None).cast("array<bigint>"))
+    by = by.join(own, ["d", "k1"])
+    x = by.select("key", "me", F.col("sig").alias("s"), F.col("firsts").alias("f"))
+    y = by.select(F.col("key").alias("its"), F.col("me").alias("other"), F.col("sig").alias("t"), F.col("firsts").alias("g"))
     likely = F.col("s").isNull() | F.col("t").isNull() | _may_reach(F.col("me.n"), F.col("other.n"), threshold)
-    return x.join(y, (F.col("key") == F.col("its")) & (F.col("me.c") < F.col("other.c")) & _sizes_fit(F.col("me.n"), F.col("other.n"), threshold) & likely).select("me", "other")
+    once = F.coalesce(F.array_min(F.array_intersect("f", "g")) >= F.col("key"), F.lit(True))
+    return x.join(y, (F.col("key") == F.col("its")) & (F.col("me.c") < F.col("other.c")) & _sizes_fit(F.col("me.n"), F.col("other.n"), threshold) & likely & once).select("me", "other")
 
 
 def _open(lists: DataFrame, joined: DataFrame | None) -> DataFrame:
