@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from . import bpe, chroma, htmlmain, jaccard, licenses, mixing, neighbours, oracles, pii, substrings, toxicity
 
 
+BATCH_BYTES, BATCH_BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,27 +27,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or "/tmp/binfall-checkpoints")
 
 
-def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """What all operators here need of a session: a checkpoint folder, and Arrow batches of a few MB, as a batch of long texts is held by the
+    executor and its Python worker at once. A limit that the user has set stays."""
     ensure_checkpoint_dir(spark)
+    if spark.conf.get(BATCH_BYTES) == BATCH_BYTES_DEFAULT:
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"), reach=None)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
@@ -52,13 +65,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return jaccard.groups(table(spark, sf_dir, "documents"), k=3, threshold=90)
 
 
 def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds media: every conversation is rendered as sound, a chord for each word, turns in order."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     turns = table(spark, sf_dir, "conversations").where("conv_id is not null")
     texts = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     texts = texts.select(F.col("conv_id").alias("media_id"), F.array_join(F.col("turns.text"), " ").alias("text"))
@@ -66,17 +79,19 @@ def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return htmlmain.main_text(table(spark, sf_dir, "pages"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    prepare(spark)
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), add=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return substrings.removals(table(spark, sf_dir, "documents")).drop("kept_text")
 
 

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binfall.llm import bpe, jaccard, mixing, pii, toxicity
-from binfall.llm.queries import ensure_checkpoint_dir, table
+from binfall.llm.queries import prepare, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled rows of ``docs`` that are not held out."""
+    prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, whole=True)
     return scored.where("predicted = 0").select("row.*")
@@ -23,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by shared five-word shingles (Jaccard 0.8) the document of least id stays; of equal ids, one row.
     Documents without words, and rows without an id, stay."""
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     groups = jaccard.groups(docs, k=5, threshold=80)
     gone = groups.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -35,18 +36,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     return pii.sanitise(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
+    prepare(spark)
     return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    prepare(spark)
     encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), carry=("doc_id", "lang", "source"), add=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
     return encoded.withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
