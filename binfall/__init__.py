@@ -1 +1 @@
-"""Log-linear histograms as DataFrame operators: bucketing, counting, merging, quantiles, conversions and streaming."""
+"""Log-linear counts of values as DataFrame operators: bucketing, counting, merging, quantiles, conversions and streaming."""

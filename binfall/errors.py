@@ -3,41 +3,41 @@
 from __future__ import annotations
 
 
-class HistogramError(ValueError):
+class DistributionError(ValueError):
     """Base of all errors here."""
 
 
-class MaxPowerTooHigh(HistogramError):
+class MaxPowerTooHigh(DistributionError):
     """The largest value's power is above 64."""
 
 
-class MaxPowerTooLow(HistogramError):
+class MaxPowerTooLow(DistributionError):
     """The largest value's power is not above the grouping power."""
 
 
-class InvalidPercentile(HistogramError):
+class InvalidPercentile(DistributionError):
     """A percentile is not in 0 to 100."""
 
 
-class InvalidQuantile(HistogramError):
+class InvalidQuantile(DistributionError):
     """A quantile is not in 0 to 1."""
 
 
-class OutOfRange(HistogramError):
+class OutOfRange(DistributionError):
     """A value or bucket index is beyond the configuration's range."""
 
 
-class IncompatibleParameters(HistogramError):
+class IncompatibleParameters(DistributionError):
     """Configurations or lengths do not go together."""
 
 
-class Overflow(HistogramError):
+class Overflow(DistributionError):
     """A counter passes its width."""
 
 
-class Underflow(HistogramError):
+class Underflow(DistributionError):
     """A counter falls below zero."""
 
 
-class InvalidSubset(HistogramError):
+class InvalidSubset(DistributionError):
     """The right side of a subtraction has a bucket that the left side lacks."""

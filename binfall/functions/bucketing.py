@@ -37,12 +37,9 @@ class Config:
             raise IncompatibleParameters(f"{self.total_buckets} buckets are too many")
 
     @property
-    def cutoff_power(self) -> int:
-        return self.p + 1
-
-    @property
-    def cutoff_value(self) -> int:
-        return 1 << self.cutoff_power
+    def linear(self) -> int:
+        """Values below this have buckets of their own."""
+        return 2 << self.p
 
     @property
     def max_value(self) -> int:
@@ -65,7 +62,7 @@ class Config:
     def index(self, value: int) -> int:
         if not 0 <= value <= self.max_value:
             raise OutOfRange(value)
-        if value < self.cutoff_value:
+        if value < self.linear:
             return value
         w = value.bit_length() - 1 - self.p
         return (w << self.p) + (value >> w)
@@ -89,11 +86,11 @@ class Config:
         if not self.wide:
             v = value.cast("long")
             w = F.floor(F.log2(v)).cast("int") - self.p
-            return F.when(v < self.cutoff_value, v).otherwise(w.cast("long") * (1 << self.p) + F.call_function("shiftrightunsigned", v, w))
-        # the 64 bits of the value, as a signed long
+            return F.when(v < self.linear, v).otherwise(w.cast("long") * (1 << self.p) + F.call_function("shiftrightunsigned", v, w))
+        # the 64 bits of the value, as a signed long; a logarithm that is rounded up to the next octave gives the same index
         v = F.when(value >= _decimal(1 << 63), (value.cast("decimal(20,0)") - _decimal(1 << 64)).cast("long")).otherwise(value.cast("long"))
-        w = F.length(F.bin(v)) - 1 - self.p
-        return F.when((v >= 0) & (v < self.cutoff_value), v).otherwise(w.cast("long") * (1 << self.p) + F.call_function("shiftrightunsigned", v, w))
+        w = F.when(v < 0, F.lit(63)).otherwise(F.floor(F.log2(v)).cast("int")) - self.p
+        return F.when((v >= 0) & (v < self.linear), v).otherwise(w.cast("long") * (1 << self.p) + F.call_function("shiftrightunsigned", v, w))
 
     def _unsigned(self, bits: Column) -> Column:
         if not self.wide:

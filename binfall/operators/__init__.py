@@ -1,9 +1,10 @@
-from .algebra import add, downsample, subtract
+from .algebra import add, downsample, rolled_up, subtract
 from .cells import (
     dense_buckets,
     dense_to_cells,
     is_empty,
     non_zero,
+    overwrite,
     packed_to_cells,
     record,
     to_dense,
@@ -27,6 +28,7 @@ from .ranks import (
 
 __all__ = [
     "add", "bucket_quantile_range", "buckets", "cumulate", "cumulative_to_cells", "dense_buckets", "dense_to_cells", "downsample", "extremes", "individual_counts",
-    "is_empty", "mean", "narrow", "narrow_total", "non_zero", "packed_to_cells", "percentiles", "quantiles", "record", "subtract", "to_dense", "to_packed",
+    "is_empty", "mean", "narrow", "narrow_total", "non_zero", "overwrite", "packed_to_cells", "percentiles", "quantiles", "record", "rolled_up", "subtract", "to_dense",
+    "to_packed",
     "totals", "validate_packed", "widen", "with_quantile_ranges",
 ]

@@ -1,6 +1,6 @@
 """Merging, subtracting and downsampling cells.
 
-Checked forms tell trouble in one of two ways: ``errors="raise"`` fails the query, ``errors="status"`` gives one row per histogram, (keys..., status),
+Checked forms tell trouble in one of two ways: ``errors="raise"`` fails the query, ``errors="status"`` gives one row per distribution, (keys..., status),
 with the error of its lowest failing index or null. Both sides are summed before they meet.
 """
 
@@ -17,7 +17,8 @@ def _wide(cells: DataFrame, keys: list[str], name: str) -> DataFrame:
     return cells.groupBy(*keys, "idx").agg(F.sum(F.col("cnt").cast("decimal(20,0)")).alias(name))
 
 
-def _settled(rows: DataFrame, keys: list[str], value: Column, error: Column, kind: str, errors: str) -> DataFrame:
+def settled(rows: DataFrame, keys: list[str], value: Column, error: Column, kind: str, errors: str) -> DataFrame:
+    """``value`` of the rows as counters, or by ``errors`` what ``error`` says of them."""
     if errors == "status":
         found = rows.select(*keys, "idx", error.alias("error"))
         first = F.min(F.when(F.col("error").isNotNull(), F.struct("idx", "error")))
@@ -27,24 +28,25 @@ def _settled(rows: DataFrame, keys: list[str], value: Column, error: Column, kin
 
 
 def add(a: DataFrame, b: DataFrame, keys: list[str], config: Config, other: Config | None = None, *, checked: bool = True, width: CounterWidth = U64, errors: str = "raise") -> DataFrame:
-    """Sum of two sets of histograms. Unchecked sums wrap at the width; cells that wrap to zero go."""
+    """Sum of two sets of distributions. Unchecked sums wrap at the width; cells that wrap to zero go."""
     same_config(config, other or config)
     both = _wide(a.select(*keys, "idx", "cnt").unionByName(b.select(*keys, "idx", "cnt")), keys, "s")
     if not checked:
         return both.select(*keys, "idx", width.wrapped(F.col("s")).alias("cnt")).where("cnt <> 0")
     error = F.when(~width.fits(F.col("s")), F.lit("Overflow"))
-    return _settled(both, keys, F.col("s"), error, width.column_type, errors)
+    return settled(both, keys, F.col("s"), error, width.column_type, errors)
 
 
 def subtract(a: DataFrame, b: DataFrame, keys: list[str], config: Config, other: Config | None = None, *, form: str = "dense", checked: bool = True, width: CounterWidth = U64, errors: str = "raise") -> DataFrame:
-    """Difference of two sets of histograms. In the sparse form the right side's buckets must be among the left side's, wrapping or not, and zero
+    """Difference of two sets of distributions. In the sparse form the right side's buckets must be among the left side's, wrapping or not, and zero
     results go; in the dense form they stay and a missing bucket is a zero."""
     same_config(config, other or config)
     if form not in ("dense", "sparse"):
         raise ValueError(f"form={form!r}")
-    x, y = _wide(a, keys, "x"), _wide(b, keys, "y")
-    on = [*keys, "idx"]
-    both = x.join(y, on, "full_outer")
+    # both sides in one aggregation: one shuffle, and null keys meet as others do
+    wide, none = F.col("cnt").cast("decimal(20,0)"), F.lit(None).cast("decimal(20,0)")
+    sides = a.select(*keys, "idx", wide.alias("x"), none.alias("y")).unionByName(b.select(*keys, "idx", none.alias("x"), wide.alias("y")))
+    both = sides.groupBy(*keys, "idx").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     left, right = F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))
     value = left.cast("decimal(38,0)") - right.cast("decimal(38,0)")
     alone = F.col("x").isNull() & F.col("y").isNotNull() if form == "sparse" else F.lit(False)
@@ -53,12 +55,21 @@ def subtract(a: DataFrame, b: DataFrame, keys: list[str], config: Config, other:
         error = error.when(value < 0, F.lit("Underflow"))
     else:
         value = width.wrapped(value)
-    out = _settled(both, keys, value, error, width.column_type, errors)
+    out = settled(both, keys, value, error, width.column_type, errors)
     return out.where("cnt <> 0") if form == "sparse" and errors != "status" else out
 
 
+def rolled_up(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The distributions merged over the last keys, one after the other: (keys..., level, idx, cnt) with ``level`` keys kept and nulls for the
+    others. Merging cells is exact, so all levels come from the counted cells, in one aggregation."""
+    kinds = dict(cells.dtypes)
+    levels = [F.struct(*((F.col(k) if i < level else F.lit(None).cast(kinds[k])).alias(k) for i, k in enumerate(keys)), F.lit(level).alias("level")) for level in range(len(keys), -1, -1)]
+    spread = cells.select("idx", "cnt", F.explode(F.array(*levels)).alias("at")).select("at.*", "idx", "cnt")
+    return spread.groupBy(*keys, "level", "idx").agg(F.sum("cnt").alias("cnt"))
+
+
 def downsample(cells: DataFrame, keys: list[str], config: Config, p: int, *, width: CounterWidth = U64) -> DataFrame:
-    """The histograms at a lower grouping power, as if their values had been recorded at it. Sums wrap at the width."""
+    """The distributions at a lower grouping power, as if their values had been recorded at it. Sums wrap at the width."""
     coarse = config.downsampled(p)
     rows = cells.select(*keys, coarse.index_of(config.lower_of(F.col("idx"))).alias("idx"), "cnt")
     if dict(cells.dtypes)["cnt"] == "bigint" and width is U64:

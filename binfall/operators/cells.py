@@ -1,7 +1,7 @@
-"""Recording, and the forms of a histogram.
+"""Recording, and the forms of a distribution.
 
 The working form is *cells*: a row (keys..., idx, cnt) for every bucket that counts something, at most one per keys and index. Dense
-arrays and packed arrays are views of it. Keys name one histogram each; there may be none.
+arrays and packed arrays are views of it. Keys name one distribution each; there may be none.
 """
 
 from __future__ import annotations
@@ -38,23 +38,35 @@ def record(df: DataFrame, keys: list[str], value: Column, config: Config, *, wei
 
 
 def dense_buckets(cells: DataFrame, keys: list[str], config: Config) -> DataFrame:
-    """All buckets of every histogram, zeros included: (keys..., idx, cnt)."""
+    """All buckets of every distribution, zeros included: (keys..., idx, cnt)."""
+    return to_dense(cells, keys, config).select(*keys, F.posexplode("counts").alias("idx", "cnt")).withColumn("idx", F.col("idx").cast("long"))
+
+
+def to_dense(cells: DataFrame, keys: list[str], config: Config) -> DataFrame:
+    """One array of all counters per distribution, with its parameters: (keys..., p, n, counts). At most ``total_buckets`` values each. The
+    gaps between a distribution's cells are filled in place; without keys, no cells are one distribution of zeros."""
     if config.total_buckets >= ARRAY_LIMIT:
         raise IncompatibleParameters("too many buckets for a dense form")
-    owners = cells.select(*keys).distinct() if keys else cells.sparkSession.range(1).select()
-    every = owners.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(config.total_buckets - 1).cast("long"))).alias("idx"))
-    kind = dict(cells.dtypes)["cnt"]
-    if keys:
-        counted = every.join(cells.select(*keys, "idx", "cnt"), [*keys, "idx"], "left")
-    else:
-        counted = every.join(cells.select("idx", "cnt"), "idx", "left")
-    return counted.select(*keys, "idx", F.coalesce("cnt", F.lit(0).cast(kind)).alias("cnt"))
+    rows = cells.where("idx is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "cnt"))).alias("c"))
+    zero = F.lit(0).cast(dict(cells.dtypes)["cnt"])
+    end = F.coalesce(F.get("c", F.size("c") - 1)["idx"], F.lit(-1)).cast("int")
 
+    def upto(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("c", i - 1)["idx"], F.lit(-1))
+        return F.concat(F.array_repeat(zero, (x["idx"] - before - 1).cast("int")), F.array(x["cnt"]))
 
-def to_dense(cells: DataFrame, keys: list[str], config: Config) -> DataFrame:
-    """One array of all counters per histogram, with its parameters: (keys..., p, n, counts). At most ``total_buckets`` values each."""
-    rows = dense_buckets(cells, keys, config).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "cnt"))).alias("c"))
-    return rows.select(*keys, F.lit(config.p).cast("tinyint").alias("p"), F.lit(config.n).cast("tinyint").alias("n"), F.col("c.cnt").alias("counts"))
+    counts = F.flatten(F.concat(F.transform("c", upto), F.array(F.array_repeat(zero, F.lit(config.total_buckets - 1) - end))))
+    return rows.select(*keys, F.lit(config.p).cast("tinyint").alias("p"), F.lit(config.n).cast("tinyint").alias("n"), counts.alias("counts"))
+
+
+def overwrite(cells: DataFrame, changes: DataFrame, keys: list[str], config: Config) -> DataFrame:
+    """The cells with the counters of ``changes`` (keys..., idx, cnt) put in their places: a zero or null empties a bucket, of several
+    changes of one counter the largest counts. An index beyond the range fails the query. Types are those of ``cells``."""
+    inside = F.col("idx").between(0, config.total_buckets - 1)
+    index = F.when(inside, F.col("idx")).otherwise(F.raise_error(F.lit("OutOfRange")).cast("long"))
+    new = changes.select(*keys, index.alias("idx"), F.coalesce("cnt", F.lit(0)).cast(dict(cells.dtypes)["cnt"]).alias("cnt"), F.lit(1).alias("turn"))
+    both = cells.select(*keys, "idx", "cnt", F.lit(0).alias("turn")).unionByName(new)
+    return both.groupBy(*keys, "idx").agg(F.max(F.struct("turn", "cnt"))["cnt"].alias("cnt")).where("cnt <> 0")
 
 
 def dense_to_cells(df: DataFrame, keys: list[str], counts: str, config: Config, *, invalid: str = "raise") -> DataFrame:
@@ -70,7 +82,7 @@ def dense_to_cells(df: DataFrame, keys: list[str], counts: str, config: Config,
 
 
 def to_packed(cells: DataFrame, keys: list[str], config: Config, count: str = "cnt") -> DataFrame:
-    """Two parallel arrays per histogram, ascending by index: (keys..., p, n, idx, <count>)."""
+    """Two parallel arrays per distribution, ascending by index: (keys..., p, n, idx, <count>)."""
     rows = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", count))).alias("c"))
     return rows.select(*keys, F.lit(config.p).cast("tinyint").alias("p"), F.lit(config.n).cast("tinyint").alias("n"), F.col("c.idx").alias("idx"), F.col(f"c.{count}").alias(count))
 
@@ -104,5 +116,5 @@ def non_zero(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def is_empty(cells: DataFrame, owners: DataFrame, keys: list[str]) -> DataFrame:
-    """The histograms of ``owners`` that count nothing."""
-    return owners.select(*keys).distinct().join(cells.where("cnt <> 0").select(*keys).distinct(), keys, "left_anti")
+    """The distributions of ``owners`` that count nothing. A null key is a key."""
+    return owners.select(*keys).subtract(cells.where("cnt <> 0").select(*keys))

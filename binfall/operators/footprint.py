@@ -1,4 +1,4 @@
-"""How much room the forms take: per histogram, per column, rolled up; and layout tables of a configuration."""
+"""How much room the forms take: per distribution, per column, rolled up; and layout tables of a configuration."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ def sizes(counts: Column, buckets: Column) -> list[Column]:
 
 
 def sizes_of_cells(cells: DataFrame, keys: list[str], config: Config) -> DataFrame:
-    """(keys..., nnz, dense_bytes, sparse_bytes, cumulative_bytes), one row per histogram."""
+    """(keys..., nnz, dense_bytes, sparse_bytes, cumulative_bytes), one row per distribution."""
     per = cells.where("cnt <> 0").groupBy(*keys).agg(F.count("*").alias("nnz"))
     return per.select(
         *keys,
@@ -36,17 +36,26 @@ def sizes_of_cells(cells: DataFrame, keys: list[str], config: Config) -> DataFra
 
 
 def report(sized: DataFrame, levels: list[str]) -> DataFrame:
-    """Statistics of ``sizes`` rows rolled up over ``levels``: samples, sums, extremes, means, and the saving of each form in percent of dense.
-    Nulls in ``levels`` stand for all."""
+    """Statistics of ``sizes`` rows rolled up over ``levels``: samples, sums, extremes, means, the saving of each form in percent of dense and its
+    ratio to dense. Nulls in ``levels`` stand for all. Where the rows have the parameters p and n, these and ``buckets`` follow where all rows
+    agree on them, else null."""
+    same = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
+    forms = ("dense", "sparse", "cumulative")
+    given = [same(c) for c in ("p", "n") if c in sized.columns]
     s = sized.rollup(*levels).agg(
         F.count("*").alias("samples"),
         F.min("nnz").alias("min_nnz"),
         F.max("nnz").alias("max_nnz"),
         F.avg("nnz").alias("mean_nnz"),
-        *(F.sum(f"{f}_bytes").alias(f"{f}_bytes") for f in ("dense", "sparse", "cumulative")),
+        *(F.sum(f"{f}_bytes").alias(f"{f}_bytes") for f in forms),
+        *(g(f"{f}_bytes").alias(f"{name}_{f}_bytes") for f in forms for name, g in (("min", F.min), ("max", F.max), ("mean", F.avg))),
+        *given,
     )
+    if len(given) == 2:
+        s = s.withColumn("buckets", ((F.col("n") - F.col("p") + 1) * F.pow(F.lit(2.0), F.col("p"))).cast("long"))
+    ratio = lambda f: (F.col(f"{f}_bytes") / F.greatest(F.col("dense_bytes"), F.lit(1))).alias(f"{f}_ratio")
     saving = lambda f: (100 * (1 - F.col(f"{f}_bytes") / F.greatest(F.col("dense_bytes"), F.lit(1)))).alias(f"{f}_saving")
-    return s.select("*", saving("sparse"), saving("cumulative"))
+    return s.select("*", saving("sparse"), saving("cumulative"), ratio("sparse"), ratio("cumulative"))
 
 
 def layout(spark: SparkSession, config: Config) -> DataFrame:
@@ -69,7 +78,7 @@ def bytes_of(config: Config, counter: int = COUNTER) -> int:
 
 
 def truncation_saving(config: Config, lower_power: int) -> int:
-    """Buckets that a histogram spares that starts at 2 ** lower_power."""
+    """Buckets that a distribution spares that starts at 2 ** lower_power."""
     return 1 << lower_power if lower_power <= config.p + 1 else (lower_power - config.p + 1) << config.p
 
 
@@ -79,10 +88,11 @@ def truncated(cells: DataFrame, config: Config, lower_power: int) -> DataFrame:
 
 
 def human(size: Column) -> Column:
-    """Bytes as text with a binary unit."""
-    kib, mib = F.lit(1024), F.lit(1024 * 1024)
-    return F.when(size >= mib, F.format_string("%.1f MiB", size / mib)).when(size >= kib, F.format_string("%.1f KiB", size / kib)).otherwise(F.format_string("%d B", size.cast("long")))
+    """Bytes as text with a binary unit, in columns: eight places, two decimals from 1 KiB on, whole bytes below."""
+    kib, mib = F.lit(1024.0), F.lit(1024.0 * 1024.0)
+    return F.when(size >= mib, F.format_string("%8.2f MiB", size / mib)).when(size >= kib, F.format_string("%8.2f KiB", size / kib)).otherwise(F.format_string("%8.0f  B", size.cast("double")))
 
 
 def shortened(name: Column, width: int) -> Column:
-    return F.when(F.length(name) > width, F.concat(F.substring(name, 1, width - 1), F.lit("…"))).otherwise(name)
+    """The first ``width`` characters."""
+    return F.substring(name, 1, width)

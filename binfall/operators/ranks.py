@@ -1,6 +1,6 @@
 """Quantiles, means, ranges and iteration over cells.
 
-A histogram has at most ``total_buckets`` cells, so the running sums go over bounded groups, after counting. Requested quantiles are literals: a
+A distribution has at most ``total_buckets`` cells, so the running sums go over bounded groups, after counting. Requested quantiles are literals: a
 cell picks those that fall in it, without a join.
 """
 
@@ -46,7 +46,7 @@ def cumulative_to_cells(cumulative: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(cells: DataFrame, keys: list[str], values: list[float], config: Config, *, strict: bool = False) -> DataFrame:
-    """(keys..., q, bucket, total): the bucket of the value of rank max(1, ceil(q * total)), the product in double precision. Empty histograms give
+    """(keys..., q, bucket, total): the bucket of the value of rank max(1, ceil(q * total)), the product in double precision. Empty distributions give
     no rows. Ranks that rounding lifts above the total take the last bucket; with ``strict`` they give no row."""
     qs = checked_quantiles(values)
     rows = cumulate(cells, keys)
@@ -87,10 +87,15 @@ def totals(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mean(cells: DataFrame, keys: list[str], config: Config) -> DataFrame:
-    """(keys..., mean): count-weighted mean of bucket midpoints, null if nothing is counted. Sums are exact and divided once, as doubles."""
-    ends = (config.lower_of(F.col("idx")).cast("decimal(20,0)") + config.upper_of(F.col("idx"))) * F.col("cnt").cast("decimal(17,0)")
-    sums = _grouped(cells, keys).agg(F.sum(ends.cast("decimal(38,0)")).alias("s"), F.sum("cnt").alias("n"))
-    return sums.select(*keys, F.when(F.col("n") > 0, F.col("s").cast("double") / 2 / F.col("n").cast("double")).alias("mean"))
+    """(keys..., mean): count-weighted mean of bucket midpoints, null if nothing is counted. Sums are exact, of the counters' low and high
+    32 bits apart, and divided once, as doubles."""
+    ends = config.lower_of(F.col("idx")).cast("decimal(20,0)") + config.upper_of(F.col("idx")).cast("decimal(20,0)")
+    half, cnt = F.lit(1 << 32).cast("decimal(10,0)"), F.col("cnt").cast("decimal(20,0)")
+    low = F.pmod(cnt, half).cast("decimal(10,0)")
+    high = ((cnt - low) / half).cast("decimal(10,0)")
+    part = lambda x: F.sum((ends * x).cast("decimal(38,0)")).cast("double")
+    sums = _grouped(cells, keys).agg((part(high) * float(1 << 32) + part(low)).alias("s"), F.sum(cnt).alias("n"))
+    return sums.select(*keys, F.when(F.col("n") > 0, F.col("s") / 2 / F.col("n").cast("double")).alias("mean"))
 
 
 def buckets(cells: DataFrame, keys: list[str], config: Config) -> DataFrame:
@@ -107,7 +112,7 @@ def with_quantile_ranges(cells: DataFrame, keys: list[str], config: Config) -> D
 
 
 def bucket_quantile_range(cells: DataFrame, keys: list[str], position: int, config: Config) -> DataFrame:
-    """The range of the non-zero bucket at ``position`` (from 0); no row for a histogram with fewer buckets."""
+    """The range of the non-zero bucket at ``position`` (from 0); no row for a distribution with fewer buckets."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("idx")) - 1
     ranged = with_quantile_ranges(cells, keys, config).withColumn("position", place)
     return ranged.where(F.col("position") == position).select(*keys, "position", "lower_q", "upper_q")

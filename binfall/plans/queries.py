@@ -159,9 +159,57 @@ def non_zero_buckets(spark, sf_dir):
     return cells.non_zero(order_cells(spark, sf_dir), ["k"])
 
 
-@query(f"SELECT DISTINCT o_orderpriority AS k FROM orders WHERE o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE {TOTAL} >= 49000000)")
-def empty_histograms(spark, sf_dir):
-    return cells.is_empty(footprint.truncated(order_cells(spark, sf_dir, Config(13, 62)), Config(13, 62), 25).where(F.col("idx") >= Config(13, 62).index(49000000)), order_cells(spark, sf_dir), ["k"])
+_LARGE = MONEY.index(44_000)
+
+
+@query(f"SELECT DISTINCT event_type, user_id FROM events EXCEPT SELECT event_type, user_id FROM events WHERE {_index(VALUE, 7)} >= {_LARGE}")
+def empty_distributions(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", "user_id", cents("value").alias("v"))
+    counted = cells.record(rows, ["event_type", "user_id"], F.col("v"), MONEY)
+    return cells.is_empty(counted.where(F.col("idx") >= _LARGE), counted, ["event_type", "user_id"])
+
+
+_CHANGED = f"SELECT *, idx % 3 AS r FROM ({ORDER_COUNTS})"
+
+
+@query(f"SELECT k, CASE WHEN r = 2 THEN idx + 4000 ELSE idx END AS idx, CASE WHEN r = 0 THEN cnt ELSE 7 END AS cnt FROM ({_CHANGED}) WHERE r <> 1 UNION ALL SELECT k, idx, cnt FROM ({_CHANGED}) WHERE r = 2")
+def overwrite_counters(spark, sf_dir):
+    """Of the counters, a third stay, a third are emptied, and to the rest others are set that counted nothing."""
+    counted = order_cells(spark, sf_dir)
+    r = F.col("idx") % 3
+    changes = counted.where(r != 0).select("k", F.when(r == 2, F.col("idx") + 4_000).otherwise(F.col("idx")).alias("idx"), F.when(r == 2, 7).otherwise(0).alias("cnt"))
+    return cells.overwrite(counted, changes, ["k"], MONEY)
+
+
+# --- null keys -------------------------------------------------------------------------------------------------------------
+
+NULLED = "CASE WHEN l_returnflag <> 'N' THEN l_returnflag END"
+
+
+def nulled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    return table(spark, sf_dir, "lineitem").select(key.alias("k"), "l_shipdate", cents("l_extendedprice").alias("v"))
+
+
+@query(
+    f"SELECT d.k, i AS idx, CAST(coalesce(cnt, 0) AS BIGINT) AS cnt FROM (SELECT DISTINCT {NULLED} AS k FROM lineitem) d CROSS JOIN generate_series(0, {SMALL.total_buckets - 1}) t(i) "
+    f"LEFT JOIN (SELECT {NULLED} AS k, {_index(PRICE, 2)} AS idx, count(*) AS cnt FROM lineitem GROUP BY 1, 2) c ON c.idx = i AND c.k IS NOT DISTINCT FROM d.k"
+)
+def null_keys_dense(spark, sf_dir):
+    return cells.dense_buckets(cells.record(nulled(spark, sf_dir), ["k"], F.col("v"), SMALL), ["k"], SMALL)
+
+
+@query(f"SELECT {NULLED} AS k, {_index(PRICE, 7)} AS idx, count(*) FILTER (WHERE l_shipdate >= TIMESTAMP '{DAY}') AS cnt FROM lineitem GROUP BY 1, 2")
+def null_keys_subtract(spark, sf_dir):
+    rows = nulled(spark, sf_dir)
+    early = rows.where(F.col("l_shipdate") < F.lit(DAY).cast("timestamp_ntz"))
+    return _plain(algebra.subtract(*(cells.record(x, ["k"], F.col("v"), MONEY) for x in (rows, early)), ["k"], MONEY))
+
+
+@query(f"SELECT DISTINCT {NULLED} AS k FROM lineitem EXCEPT SELECT {NULLED} FROM lineitem WHERE l_returnflag = 'N' OR {_index(PRICE, 7)} < 0")
+def null_keys_empty(spark, sf_dir):
+    counted = cells.record(nulled(spark, sf_dir), ["k"], F.col("v"), MONEY)
+    return cells.is_empty(counted.where("k is null"), counted, ["k"])
 
 
 # --- algebra ---------------------------------------------------------------------------------------------------------------
@@ -342,12 +390,15 @@ _LEVELS = f"SELECT l_returnflag AS f, l_linestatus AS s, {PRICE} AS v FROM linei
 def rollup_quantiles(spark, sf_dir):
     rows = prices(spark, sf_dir, "l_linestatus")
     base = cells.record(rows, ["l_returnflag", "l_linestatus"], F.col("v"), MONEY)
-    # merging cells is exact, so the levels come from the counted cells
-    both = base.groupBy("idx", "l_returnflag", "l_linestatus").agg(F.sum("cnt").alias("cnt"))
-    some = both.groupBy("idx", "l_returnflag").agg(F.sum("cnt").alias("cnt")).withColumn("l_linestatus", F.lit(None).cast("string"))
-    none = some.groupBy("idx").agg(F.sum("cnt").alias("cnt")).withColumn("l_returnflag", F.lit(None).cast("string")).withColumn("l_linestatus", F.lit(None).cast("string"))
-    levels = both.unionByName(some).unionByName(none).withColumnsRenamed({"l_returnflag": "f", "l_linestatus": "s"})
-    return _spread(qt.quantiles(levels, ["f", "s"], [0.5, 0.99], MONEY), "f", "s")
+    levels = algebra.rolled_up(base, ["l_returnflag", "l_linestatus"]).withColumnsRenamed({"l_returnflag": "f", "l_linestatus": "s"})
+    return _spread(qt.quantiles(levels, ["f", "s", "level"], [0.5, 0.99], MONEY), "f", "s")
+
+
+@query(f"SELECT l_returnflag, round(CAST(sum(CAST(lo + hi AS HUGEINT) * cnt) AS DOUBLE) / 2 / CAST(sum(cnt) AS DOUBLE), 3) AS mean FROM (SELECT l_returnflag, {_lower('idx', 7)} AS lo, {_upper('idx', 7)} AS hi, CAST(cnt AS HUGEINT) * 10000000000000000 AS cnt FROM ({PRICE_COUNTS})) GROUP BY 1")
+def mean_large_counts(spark, sf_dir):
+    weight = F.lit("10000000000000000").cast("decimal(20,0)")
+    heavy = cells.record(prices(spark, sf_dir), ["l_returnflag"], F.col("v"), MONEY, weight=weight)
+    return qt.mean(heavy, ["l_returnflag"], MONEY).select("l_returnflag", F.round("mean", 3).alias("mean"))
 
 
 # --- widths ----------------------------------------------------------------------------------------------------------------
@@ -411,6 +462,44 @@ def sliding_windows(spark, sf_dir):
     return w.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
+_FALLS = f"SELECT event_type, day, idx, cnt % 3 AS cnt FROM (SELECT event_type, date_trunc('day', ts) AS day, {_index(VALUE, 4)} AS idx, count(*) AS cnt FROM events GROUP BY 1, 2, 3)"
+_GROWN = f"SELECT *, cnt - coalesce(lag(cnt) OVER (PARTITION BY event_type, idx ORDER BY day), 0) AS d FROM ({_FALLS})"
+
+
+def falling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of counters that were set back now and then."""
+    daily = events(spark, sf_dir).select("event_type", F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day"), COARSE.index_of(F.col("v")).alias("idx"))
+    return daily.groupBy("event_type", "day", "idx").agg((F.count("*") % 3).alias("cnt"))
+
+
+@query(f"SELECT event_type, day, idx, CAST(CASE WHEN d < 0 THEN d + 4294967296 ELSE d END AS BIGINT) AS cnt FROM ({_GROWN}) WHERE d <> 0")
+def delta_wrapping(spark, sf_dir):
+    return recorder.deltas(falling(spark, sf_dir), ["event_type"], "day", checked=False, width=U32)
+
+
+@query(f"SELECT event_type, day, CASE WHEN min(d) < 0 THEN 'Underflow' END AS status FROM ({_GROWN}) GROUP BY 1, 2")
+def delta_status(spark, sf_dir):
+    return recorder.deltas(falling(spark, sf_dir), ["event_type"], "day", errors="status")
+
+
+@query(f"SELECT * FROM (SELECT event_type, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", {_index(VALUE, 4)} AS idx, CAST(sum(CAST(user_id AS HUGEINT) * 100000000) % 4294967296 AS BIGINT) AS cnt FROM events GROUP BY 1, 2, 3, 4) WHERE cnt <> 0")
+def drain_weighted_u32(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", "ts", "user_id", cents("value").alias("v"))
+    w = recorder.windowed_counts(rows, ["event_type"], "ts", F.col("v"), COARSE, weight=F.col("user_id") * 100_000_000, width=U32)
+    return w.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}).where("cnt <> 0")
+
+
+@query(
+    f"SELECT user_id, CAST(min(ts) OVER (PARTITION BY user_id, s) AS TIMESTAMP) AS start, idx, cnt FROM (SELECT user_id, s, min(t) AS ts, idx, count(*) AS cnt FROM (SELECT *, min(ts) OVER (PARTITION BY user_id, s) AS t, {_index('v', 4)} AS idx FROM "
+    f"(SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, {VALUE} AS v, "
+    f"CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events))) GROUP BY 1, 2, 4)"
+)
+def session_cells(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", cents("value").alias("v"))
+    found = recorder.session_counts(rows, ["user_id"], "ts", F.col("v"), COARSE, gap="6 hours")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.explode("counts").alias("idx", "cnt"))
+
+
 # --- footprint ---------------------------------------------------------------------------------------------------------------
 
 _SIZES = f"SELECT k, count(*) AS nnz, {footprint.DENSE_STRUCT + 8 * MONEY.total_buckets} AS dense_bytes, {footprint.SPARSE_STRUCT} + 12 * count(*) AS sparse_bytes, {footprint.CUMULATIVE_STRUCT} + 12 * count(*) AS cumulative_bytes FROM ({ORDER_COUNTS}) GROUP BY 1"
@@ -423,12 +512,16 @@ def footprint_stats(spark, sf_dir):
 
 @query(
     f"SELECT k, count(*) AS samples, min(nnz) AS min_nnz, max(nnz) AS max_nnz, round(avg(nnz), 6) AS mean_nnz, CAST(sum(dense_bytes) AS BIGINT) AS dense_bytes, CAST(sum(sparse_bytes) AS BIGINT) AS sparse_bytes, "
-    f"CAST(sum(cumulative_bytes) AS BIGINT) AS cumulative_bytes, round(100 * (1 - sum(sparse_bytes) / sum(dense_bytes)::DOUBLE), 6) AS sparse_saving, round(100 * (1 - sum(cumulative_bytes) / sum(dense_bytes)::DOUBLE), 6) AS cumulative_saving "
+    f"CAST(sum(cumulative_bytes) AS BIGINT) AS cumulative_bytes, "
+    + "".join(f"min({f}_bytes) AS min_{f}_bytes, max({f}_bytes) AS max_{f}_bytes, round(avg({f}_bytes), 6) AS mean_{f}_bytes, " for f in ("dense", "sparse", "cumulative"))
+    + f"CAST({MONEY.p} AS TINYINT) AS p, CAST({MONEY.n} AS TINYINT) AS n, CAST({MONEY.total_buckets} AS BIGINT) AS buckets, round(100 * (1 - sum(sparse_bytes) / sum(dense_bytes)::DOUBLE), 6) AS sparse_saving, round(100 * (1 - sum(cumulative_bytes) / sum(dense_bytes)::DOUBLE), 6) AS cumulative_saving, "
+    f"round(sum(sparse_bytes) / sum(dense_bytes)::DOUBLE, 6) AS sparse_ratio, round(sum(cumulative_bytes) / sum(dense_bytes)::DOUBLE, 6) AS cumulative_ratio "
     f"FROM ({_SIZES}) GROUP BY ROLLUP (k)"
 )
 def footprint_rollup(spark, sf_dir):
-    r = footprint.report(footprint.sizes_of_cells(order_cells(spark, sf_dir), ["k"], MONEY), ["k"])
-    return r.withColumns({c: F.round(c, 6) for c in ("mean_nnz", "sparse_saving", "cumulative_saving")})
+    sized = footprint.sizes_of_cells(order_cells(spark, sf_dir), ["k"], MONEY)
+    r = footprint.report(sized.withColumns({"p": F.lit(MONEY.p).cast("tinyint"), "n": F.lit(MONEY.n).cast("tinyint")}), ["k"])
+    return r.withColumns({c: F.round(c, 6) for c in r.columns if c.startswith("mean_") or c.endswith(("_saving", "_ratio"))})
 
 
 @query("SELECT l AS lower_power, CASE WHEN l <= 9 THEN CAST(pow(2, l) AS BIGINT) ELSE CAST((l - 7) * 256 AS BIGINT) END AS spared FROM generate_series(0, 20) t(l)")

@@ -1,4 +1,4 @@
-"""Recordings in Parquet (a list column of counters per metric) and histograms as JSON."""
+"""Recordings in Parquet (a list column of counters per metric) and distributions as JSON."""
 
 from __future__ import annotations
 
@@ -9,24 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import HistogramError, IncompatibleParameters
+from ..errors import DistributionError, IncompatibleParameters
 from ..functions.bucketing import Config
+from ..functions.width import U64, CounterWidth
 
-# The names under which a column's metadata says that it is a histogram.
+# The names under which a column's metadata says that it is a distribution.
 KIND, KIND_VALUE, GROUPING, MAXIMUM = "metric_type", "histogram", "grouping_power", "max_value_power"
 
 
-def _footer_schema(spark: SparkSession, path: str) -> pa.Schema | None:
+def _footer_schema(spark: SparkSession, uri: str) -> pa.Schema | None:
     """The Arrow schema that the writer left in a file's footer, read by Hadoop, so from any store that Spark reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(conf)
-    if fs.getFileStatus(hadoop_path).isDirectory():
-        files = sorted(f.getPath().toString() for f in fs.listStatus(hadoop_path) if f.getPath().getName().endswith(".parquet"))
-        if not files:
-            return None
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(files[0])
-    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(hadoop_path, conf))
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
     try:
         stored = reader.getFooter().getFileMetaData().getKeyValueMetaData().get("ARROW:schema")
     finally:
@@ -34,37 +29,60 @@ def _footer_schema(spark: SparkSession, path: str) -> pa.Schema | None:
     return pa.ipc.read_schema(pa.py_buffer(base64.b64decode(stored))) if stored else None
 
 
-def histogram_columns(spark: SparkSession, path: str) -> dict[str, Config]:
-    """The list columns whose metadata is complete and valid; others are passed over."""
-    found: dict[str, dict[str, str]] = {f.name: {k: str(v) for k, v in f.metadata.items()} for f in spark.read.parquet(path).schema.fields if f.metadata}
-    for field in _footer_schema(spark, path) or ():
-        if field.metadata and pa.types.is_list(field.type):
-            found[field.name] = {k.decode(): v.decode() for k, v in field.metadata.items()}
-    out = {}
-    for name, meta in found.items():
-        if meta.get(KIND) == KIND_VALUE and GROUPING in meta and MAXIMUM in meta:
-            try:
-                out[name] = Config(int(meta[GROUPING]), int(meta[MAXIMUM]))
-            except (HistogramError, ValueError):
-                continue
+def _named(meta: dict[str, str]) -> Config | None:
+    """The parameters in a column's metadata, if it is complete and valid."""
+    if meta.get(KIND) != KIND_VALUE or GROUPING not in meta or MAXIMUM not in meta:
+        return None
+    try:
+        return Config(int(meta[GROUPING]), int(meta[MAXIMUM]))
+    except (DistributionError, ValueError):
+        return None
+
+
+def _of_file(spark: SparkSession, uri: str) -> dict[str, Config]:
+    """The recorded columns of one file: lists of unsigned 64-bit counters."""
+    found = {}
+    for field in _footer_schema(spark, uri) or ():
+        unsigned = (pa.types.is_list(field.type) or pa.types.is_large_list(field.type)) and pa.types.is_uint64(field.type.value_type)
+        if unsigned and (config := _named({k.decode(): v.decode() for k, v in (field.metadata or {}).items()})):
+            found[field.name] = config
+    return found
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
+
+
+def recorded_columns(spark: SparkSession, path: str) -> dict[str, list[Config]]:
+    """The list columns whose metadata is complete and valid, in any file below ``path``, with each set of parameters they have."""
+    out: dict[str, list[Config]] = {}
+    for _, name, config in _entries(spark, path, _table(spark, path)):
+        if config not in out.setdefault(name, []):
+            out[name].append(config)
     return out
 
 
+def _entries(spark: SparkSession, path: str, table: DataFrame) -> list[tuple[str | None, str, Config]]:
+    """(file, column, parameters); no file where Spark wrote the metadata, which then hold for all. Every footer is read, no data."""
+    own = [(None, f.name, config) for f in table.schema.fields if isinstance(f.dataType, T.ArrayType) and (config := _named({k: str(v) for k, v in (f.metadata or {}).items()}))]
+    named = {name for _, name, _ in own}
+    return own + [(uri, name, config) for uri in table.inputFiles() for name, config in _of_file(spark, uri).items() if name not in named]
+
+
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """(column, p, n, counts), a row per recorded histogram. Null lists, and lists of a wrong length, are left out; null elements are
-    dropped before the length counts. Only the histogram columns are read."""
-    parts = []
-    table = spark.read.parquet(path)
-    for name, config in histogram_columns(spark, path).items():
-        counts = F.filter(F.col(f"`{name}`"), lambda c: c.isNotNull()).cast("array<decimal(20,0)>")
-        rows = table.select(F.lit(name).alias("column"), F.lit(config.p).cast("tinyint").alias("p"), F.lit(config.n).cast("tinyint").alias("n"), counts.alias("counts"))
-        parts.append(rows.where(F.size("counts") == config.total_buckets))
-    if not parts:
-        raise IncompatibleParameters(f"no histogram column in {path}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(column, p, n, counts), a row per recorded distribution, of all files below ``path``, which may differ in columns and parameters. Null lists, and
+    lists of a wrong length, are left out; null elements are dropped before the length counts. Only the recorded columns are read, in one scan."""
+    table = _table(spark, path)
+    entries = _entries(spark, path, table)
+    if not entries:
+        raise IncompatibleParameters(f"no recorded column in {path}")
+    names = list(dict.fromkeys(name for _, name, _ in entries))
+    # as many rows as files have recorded columns; a file's own row or the row for all files
+    given = spark.createDataFrame([(uri, name, c.p, c.n, c.total_buckets) for uri, name, c in entries], "uri string, name string, p tinyint, n tinyint, total long")
+    lists = F.array(*(F.struct(F.lit(c).alias("column"), F.filter(F.col(f"`{c}`"), lambda x: x.isNotNull()).cast("array<decimal(20,0)>").alias("counts")) for c in names))
+    rows = table.select(F.input_file_name().alias("file"), lists.alias("all")).select("file", F.explode("all").alias("r")).where("r.counts is not null")
+    met = rows.join(F.broadcast(given), (F.col("r.column") == F.col("name")) & F.coalesce(F.col("uri") == F.col("file"), F.lit(True)))
+    return met.where(F.size("r.counts") == F.col("total")).select("r.column", "p", "n", "r.counts")
 
 
 def write_recordings(dense: DataFrame, path: str, columns: dict[str, Config]) -> None:
@@ -78,5 +96,15 @@ def to_json(packed: DataFrame, keys: list[str]) -> DataFrame:
     return packed.select(*keys, F.to_json(F.struct(*(c for c in packed.columns if c not in keys))).alias("json"))
 
 
+def form_schema(kind: str = "packed", *, count: str = "cnt", width: CounterWidth = U64) -> T.StructType:
+    """The schema of a form's JSON: ``dense`` (p, n, counts) or ``packed`` (p, n, idx, <count>), with counters of a width; ``count="cum"`` is the
+    cumulative form. What ``from_json`` takes."""
+    if kind not in ("dense", "packed"):
+        raise ValueError(f"kind={kind!r}")
+    counter = width.column_type
+    arrays = f"counts array<{counter}>" if kind == "dense" else f"idx array<bigint>, {count} array<{counter}>"
+    return T.StructType.fromDDL(f"p tinyint, n tinyint, {arrays}")
+
+
 def from_json(texts: DataFrame, keys: list[str], schema: T.StructType, column: str = "json") -> DataFrame:
     return texts.select(*keys, F.from_json(column, schema).alias("h")).select(*keys, "h.*")

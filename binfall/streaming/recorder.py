@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.bucketing import Config
+from ..functions.width import U64, CounterWidth
+from ..operators.algebra import settled
 from ..operators.cells import record
 
 
@@ -23,29 +25,50 @@ def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return timed.withWatermark(ts, delay) if df.isStreaming else timed
 
 
-def windowed_counts(df: DataFrame, keys: list[str], ts: str, value: Column, config: Config, *, every: str = "1 day", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
+def _values(df: DataFrame, keys: list[str], ts: str, value: Column, weight: Column | None, delay: str) -> DataFrame:
+    return _timed(df.select(*keys, ts, value.alias("v"), (F.lit(1) if weight is None else weight).alias("w")), ts, delay)
+
+
+def _counted(weighted: bool, width: CounterWidth) -> Column:
+    """Rows, or their weights, added up as counters of a width do: sums wrap. Plain counts of 64 bits are longs."""
+    if not weighted:
+        return F.count("*") if width is U64 else width.wrapped(F.count("*"))
+    return width.wrapped(F.sum(F.col("w").cast("decimal(20,0)")))
+
+
+def windowed_counts(df: DataFrame, keys: list[str], ts: str, value: Column, config: Config, *, weight: Column | None = None, width: CounterWidth = U64, every: str = "1 day", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """(keys..., start, end, idx, cnt) per tumbling, or with ``slide`` sliding, window of event time. Values beyond the range are left out, as are
-    rows later than the watermark."""
-    rows = _timed(df, ts, delay).select(*keys, ts, value.alias("v")).where(config.accepts(F.col("v")))
+    rows later than the watermark. Counters wrap at ``width``."""
+    rows = _values(df, keys, ts, value, weight, delay).where(config.accepts(F.col("v")))
     w = F.window(ts, every, slide) if slide else F.window(ts, every)
-    counted = rows.groupBy(*keys, w.alias("w"), config.index_of(F.col("v")).alias("idx")).agg(F.count("*").alias("cnt"))
+    counted = rows.groupBy(*keys, w.alias("t"), config.index_of(F.col("v")).alias("idx")).agg(_counted(weight is not None, width).alias("cnt")).withColumnRenamed("t", "w")
     return counted.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "idx", "cnt")
 
 
-def session_counts(df: DataFrame, keys: list[str], ts: str, value: Column, config: Config, *, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """(keys..., start, end, counts) per session: pairs of index and count of the session's values, as a map."""
-    rows = _timed(df, ts, delay).select(*keys, ts, value.alias("v")).where(config.accepts(F.col("v")))
-    listed = rows.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.collect_list(config.index_of(F.col("v"))).alias("i"))
-    counts = F.map_from_entries(F.transform(F.array_distinct("i"), lambda x: F.struct(x, F.size(F.filter("i", lambda y: y == x)).cast("long"))))
-    return listed.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), counts.alias("counts"))
+def session_counts(df: DataFrame, keys: list[str], ts: str, value: Column, config: Config, *, weight: Column | None = None, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """(keys..., start, end, counts) per session: pairs of index and count, or sum of weights, of the session's values, as a map. A session's values
+    are sorted once and cut where the index changes."""
+    rows = _values(df, keys, ts, value, weight, delay).where(config.accepts(F.col("v")))
+    entry = F.struct(config.index_of(F.col("v")).alias("i"), F.col("w").cast("long").alias("w"))
+    listed = rows.groupBy(*keys, F.session_window(ts, gap).alias("t")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    first = F.filter(F.transform("e", lambda x, j: F.when((j == 0) | (F.get("e", j - 1)["i"] != x["i"]), j)), lambda j: j.isNotNull())
+    listed = listed.select(*keys, "t", "e", first.alias("f"))
+
+    def run(j: Column, at: Column) -> Column:
+        size = F.coalesce(F.get("f", at + 1), F.size("e")) - j
+        total = size.cast("long") if weight is None else F.aggregate(F.slice("e", j + 1, size), F.lit(0).cast("long"), lambda a, x: a + x["w"])
+        return F.struct(F.get("e", j)["i"], total)
+
+    return listed.select(*keys, F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.map_from_entries(F.transform("f", run)).alias("counts"))
 
 
-def drain_batches(stream: DataFrame, keys: list[str], value: Column, config: Config, sink: Callable[[DataFrame, int], None], **options: str) -> StreamingQuery:
+def drain_batches(stream: DataFrame, keys: list[str], value: Column, config: Config, sink: Callable[[DataFrame, int], None], *, weight: Column | None = None, width: CounterWidth = U64, **options: str) -> StreamingQuery:
     """Give the counts of each micro-batch to ``sink`` and start again from nothing: no value is lost or given out twice. A batch that
-    is repeated after a failure comes with the same number."""
+    is repeated after a failure comes with the same number. Counters wrap at ``width``."""
 
     def drain(batch: DataFrame, number: int) -> None:
-        sink(record(batch, keys, value, config, invalid="drop"), number)
+        ones = F.lit(1) if weight is None and width is not U64 else weight
+        sink(record(batch, keys, value, config, weight=ones, width=width, invalid="drop"), number)
 
     writer = stream.writeStream.foreachBatch(drain).trigger(availableNow=True)
     for k, v in options.items():
@@ -53,8 +76,15 @@ def drain_batches(stream: DataFrame, keys: list[str], value: Column, config: Con
     return writer.start()
 
 
-def deltas(snapshots: DataFrame, keys: list[str], at: str) -> DataFrame:
+def deltas(snapshots: DataFrame, keys: list[str], at: str, *, checked: bool = True, width: CounterWidth = U64, errors: str = "raise") -> DataFrame:
     """(keys..., at, idx, cnt) recorded since the snapshot before, from snapshots (keys..., at, idx, cnt) of running counts. A bucket that is missing in
-    a snapshot counts as it did before: counters never fall."""
+    a snapshot counts as it did before. A counter that falls, as after a reset, is an Underflow: it fails the query, or with
+    ``errors="status"`` names the first such bucket's error by (keys..., at, status); unchecked differences wrap at the width."""
     before = F.lag("cnt").over(Window.partitionBy(*keys, "idx").orderBy(at))
-    return snapshots.select(*keys, at, "idx", (F.col("cnt") - F.coalesce(before, F.lit(0))).alias("cnt")).where("cnt <> 0")
+    grown = F.col("cnt").cast("decimal(38,0)") - F.coalesce(before, F.lit(0)).cast("decimal(38,0)")
+    rows = snapshots.select(*keys, at, "idx", grown.alias("d"))
+    if not checked:
+        return rows.select(*keys, at, "idx", width.wrapped(F.col("d")).alias("cnt")).where("cnt <> 0")
+    error = F.when(F.col("d") < 0, F.lit("Underflow"))
+    out = settled(rows, [*keys, at], F.col("d"), error, dict(snapshots.dtypes)["cnt"], errors)
+    return out if errors == "status" else out.where("cnt <> 0")

@@ -172,6 +172,27 @@ def test_mean(spark):
     assert totals(recorded(spark, []), []).first().total == 0
 
 
+def test_null_keys_and_large_counts(spark):
+    rows = spark.createDataFrame([(None, 1, 6), (None, 3, 12), ("b", 2, 5)], "k string, idx long, cnt long")
+    c = Config(1, 3)
+    assert {r.k: r.counts for r in to_dense(rows, ["k"], c).collect()} == {None: [0, 6, 0, 12, 0, 0], "b": [0, 0, 5, 0, 0, 0]}
+    assert {(r.k, r.idx, int(r.cnt)) for r in subtract(rows, rows, ["k"], c).collect()} == {(None, 1, 0), (None, 3, 0), ("b", 2, 0)}
+    assert [r.k for r in is_empty(rows.where("k is null"), rows, ["k"]).collect()] == ["b"]
+    assert to_dense(recorded(spark, [], c), [], c).first().counts == [0] * 6
+    assert mean(made(spark, {384: MAX}), ["k"], C).first().mean == 513.5
+    assert mean(made(spark, {0: 10**18, 2: 10**18}), ["k"], C).first().mean == 1.0
+
+
+def test_overwriting_and_levels(spark):
+    a = made(spark, {1: 6, 3: 12, 5: 7})
+    assert got(overwrite(a, made(spark, {1: 0, 3: 4, 7: 9}), ["k"], C)) == {3: 4, 5: 7, 7: 9}
+    with pytest.raises(PySparkException, match="OutOfRange"):
+        overwrite(a, made(spark, {10**6: 1}), ["k"], C).collect()
+    both = spark.createDataFrame([("a", None, 1, 2), ("a", "x", 1, 3), (None, "x", 1, 4)], "f string, s string, idx long, cnt long")
+    found = sorted(((r.level, r.f, r.s, r.cnt) for r in rolled_up(both, ["f", "s"]).collect()), key=str)
+    assert found == sorted([(0, None, None, 9), (1, "a", None, 5), (1, None, None, 4), (2, "a", None, 2), (2, "a", "x", 3), (2, None, "x", 4)], key=str)
+
+
 def test_extremes_and_emptiness(spark):
     r = extremes(recorded(spark, [42]), [], C).first()
     assert r.min_bucket == r.max_bucket and (r.min_bucket.lo, r.total) == (42, 1)
@@ -195,8 +216,8 @@ def test_footprint(spark):
     r = spark.createDataFrame([([0, 1, 0, 2, 0, 0],)], "c array<long>").select(*footprint.sizes(F.col("c"), F.lit(6))).first()
     assert (r.nnz, r.dense_bytes, r.sparse_bytes, r.cumulative_bytes) == (2, 96, 104, 120)
     assert footprint.truncation_saving(Config(8, 32), 10) == 768
-    assert [x.s for x in spark.createDataFrame([(10,), (2048,), (3 * 2**20,)], "b long").select(footprint.human(F.col("b")).alias("s")).collect()] == ["10 B", "2.0 KiB", "3.0 MiB"]
-    assert spark.range(1).select(footprint.shortened(F.lit("abcdef"), 4).alias("s")).first().s == "abc…"
+    assert [x.s for x in spark.createDataFrame([(10,), (2048,), (3 * 2**20,)], "b long").select(footprint.human(F.col("b")).alias("s")).collect()] == ["      10  B", "    2.00 KiB", "    3.00 MiB"]
+    assert spark.range(1).select(footprint.shortened(F.lit("abcdef"), 4).alias("s")).first().s == "abcd"
 
 
 def test_plan_pushes_filters_and_counts_before_the_shuffle(spark):

@@ -2,11 +2,12 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from binfall.errors import IncompatibleParameters
-from binfall.functions import Config
+from binfall.functions import U32, Config
 from binfall.operators import dense_to_cells, record, to_dense, to_packed
 from binfall.operators.footprint import report, sizes
-from binfall.sources import from_json, read_recordings, to_json, write_recordings
+from binfall.sources import form_schema, from_json, read_recordings, recorded_columns, to_json, write_recordings
 from binfall.streaming import deltas, drain_batches, session_counts, windowed_counts
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 C = Config(1, 3)
@@ -23,6 +24,16 @@ def test_recordings_written_by_others(spark, tmp_path):
     assert [(r.column, r.p, r.n, [int(x) for x in r.counts]) for r in got.collect()] == [("a", 1, 3, good), ("a", 1, 3, [0, 1, 0, 0, 0, 5])]
     stats = report(got.select("column", *sizes(F.col("counts"), F.lit(6))), ["column"]).collect()
     assert {r.column: (r.samples, r.min_nnz, r.max_nnz) for r in stats} == {"a": (2, 2, 2), None: (2, 2, 2)}
+    # files of one folder may differ in columns and parameters; lists of other types are passed over
+    nested = tmp_path / "more" / "deep er"
+    nested.mkdir(parents=True)
+    pq.write_table(table.select(["a", "c"]), tmp_path / "more" / "1.parquet")
+    other = pa.schema([pa.field("a", lists, metadata={**meta, "max_value_power": "4"}), pa.field("e", lists, metadata=meta), pa.field("f", pa.list_(pa.int32()), metadata=meta)])
+    pq.write_table(pa.table([[[1] * 8], [good], [[1] * 6]], schema=other), nested / "2.parquet")
+    assert recorded_columns(spark, str(tmp_path / "more")) == {"a": [C, Config(1, 4)], "e": [C]}
+    many = read_recordings(spark, str(tmp_path / "more"))
+    assert sorted((r.column, r.n, len(r.counts)) for r in many.collect()) == [("a", 3, 6), ("a", 3, 6), ("a", 4, 8), ("e", 3, 6)]
+    assert many._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
     pq.write_table(table.select(["c"]), tmp_path / "none.parquet")
     with pytest.raises(IncompatibleParameters):
         read_recordings(spark, str(tmp_path / "none.parquet"))
@@ -41,6 +52,8 @@ def test_round_trips(spark, tmp_path):
     packed = to_packed(cells, ["k"], C)
     schema = packed.drop("k").schema
     assert from_json(to_json(packed, ["k"]), ["k"], schema).collect() == packed.collect()
+    assert [(r.idx, [int(c) for c in r.cnt]) for r in from_json(to_json(packed, ["k"]), ["k"], form_schema()).collect()] == [(r.idx, r.cnt) for r in packed.collect()]
+    assert [[int(c) for c in r.counts] for r in from_json(to_json(dense, ["k"]), ["k"], form_schema("dense")).collect()] == [r.counts for r in dense.collect()]
 
 
 def test_deltas_of_snapshots_with_gaps(spark):
@@ -49,6 +62,15 @@ def test_deltas_of_snapshots_with_gaps(spark):
     assert sorted((r.t, r.idx, r.cnt) for r in got.collect()) == [(1, 0, 5), (2, 1, 3), (3, 0, 4), (4, 1, 1)]
 
 
+def test_counters_that_fall(spark):
+    rows = spark.createDataFrame([("x", 1, 0, 5), ("x", 2, 0, 3), ("x", 2, 1, 3), (None, 1, 0, 1)], "k string, t int, idx long, cnt long")
+    with pytest.raises(PySparkException, match="Underflow"):
+        deltas(rows, ["k"], "t").collect()
+    assert sorted(((r.k, r.t, r.status) for r in deltas(rows, ["k"], "t", errors="status").collect()), key=str) == sorted([("x", 1, None), ("x", 2, "Underflow"), (None, 1, None)], key=str)
+    wrapped = {(r.k, r.t, r.idx): int(r.cnt) for r in deltas(rows, ["k"], "t", checked=False).collect()}
+    assert wrapped == {("x", 1, 0): 5, ("x", 2, 0): 2**64 - 2, ("x", 2, 1): 3, (None, 1, 0): 1}
+
+
 def source(spark, tmp_path, rows):
     df = spark.createDataFrame(rows, "k string, ts string, v long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     df.repartition(3).write.parquet(str(tmp_path / "in"))
@@ -83,3 +105,19 @@ def test_sessions(spark):
     df = spark.createDataFrame(rows, "k string, ts string, v long")
     got = session_counts(df, ["k"], "ts", F.col("v"), C).orderBy("start").collect()
     assert [r.counts for r in got] == [{1: 3}, {2: 1, 1: 1}]
+    got = session_counts(df, ["k"], "ts", F.col("v"), C, weight=F.col("v") * 10).orderBy("start").collect()
+    assert [r.counts for r in got] == [{1: 30}, {2: 20, 1: 10}]
+
+
+def test_weights_and_width_of_a_drained_stream(spark, tmp_path):
+    stream, _ = source(spark, tmp_path, ROWS)
+    total = {}
+
+    def sink(df, n):
+        for r in df.collect():
+            total[r.idx] = total.get(r.idx, 0) + r.cnt
+
+    q = drain_batches(stream, ["k"], F.col("v"), C, sink, weight=F.col("v") * 2**31, width=U32, checkpointLocation=str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    # per batch, sums wrap at 32 bits; those that wrap to nothing go
+    assert set(total) <= {C.index(1), C.index(5)} and all(c % 2**31 == 0 for c in total.values())
