@@ -1,17 +1,22 @@
-"""Recordings that sound alike: chroma fingerprints, aligned by offset histograms and bit errors.
+"""Recordings that sound alike: chroma fingerprints, aligned by counts of offsets and by bit errors.
 
 A recording becomes frames of twelve pitch classes (short-time spectra folded over the octaves). Sixteen rectangle filters,
 evaluated on the integral image of the frames, are quantised to two bits each, Gray-coded, and packed in one 32-bit integer per
-frame: the fingerprint.
+frame: the fingerprint. Of every eight consecutive codes the one of least hash is a landmark (all codes of a recording of less than 16).
 
-Recordings with equal fingerprints are one class. Between classes, candidates share a code: every distinct code is a list, and lists of the
-same members are one. As the offsets of a pair come from equal codes, no link is missed. Lists are worked off in rounds of hubs and a
-last round of the pairs whose ends are still in different components. A pair is aligned by the histogram of the offsets at which codes agree: with each of the top offsets, the codes
-that lie on each other are compared bit by bit, and a code is matched if some top offset leaves few bit errors. The pair is
-linked if enough of the longer recording is matched.
+Two recordings are linked if a quarter of the distinct landmarks of the one with more of them are landmarks of the other too, and if they align:
+the offsets at which landmarks agree are counted, and with each of the top offsets the codes that lie on each other are compared
+bit by bit; a code is matched if some top offset leaves few bit errors, and enough of the longer recording must be matched.
+
+Recordings with equal fingerprints are one class. Between classes, candidates share a landmark among the first three quarters of their own, in an
+order common to all, the rarest first: linked recordings always do, so no link is missed. Candidates are worked off
+in rounds of hubs and a last round of the pairs whose ends are still in different components (``jaccard.link_in_rounds``).
+
+Sound is rendered, framed and compared in blocks, so memory follows the fingerprint's length, a few bytes a frame. Landmarks of one code,
+as of long silence, are counted by a Fourier transform where their pairs would be many.
 
 Edge cases: null, empty and very short recordings have no codes and are linked with nothing; silence is a recording like others;
-repeated rows and rows that share an id are one node; an empty table gives an empty table; extra columns are ignored.
+repeated rows and rows that share an id are one node; an empty table gives an empty table; extra columns are ignored; a null id takes no part.
 """
 
 from __future__ import annotations
@@ -20,31 +25,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
 from .jaccard import link_in_rounds
+from .substrings import least
+
+def filter_bank() -> list[tuple[int, int, int, int]]:
+    """Sixteen filters (kind, first pitch class, pitch classes, frames): every kind in four sizes, from spread places. Kinds: 0 whole area, 1 upper
+    against lower half, 2 earlier against later half, 3 the two diagonals of quarters."""
+    return [(i % 4, 5 * i % 8, 4 + i // 4, 16 - 4 * (i // 4)) for i in range(16)]
 
-# Filters as (kind, first pitch class, pitch classes, frames) and the thresholds of their two bits.
-# Kinds: 0 whole area; 1 upper against lower half; 2 earlier against later half; 3 the two diagonals of quarters.
-FILTERS = (
-    (0, 4, 3, 15), (3, 4, 6, 15), (1, 0, 4, 16), (3, 8, 2, 12), (3, 4, 4, 8), (2, 0, 3, 5), (1, 2, 2, 9), (2, 7, 3, 4),
-    (2, 6, 2, 16), (2, 1, 3, 2), (3, 10, 2, 10), (3, 0, 12, 14), (2, 9, 3, 8), (3, 3, 4, 6), (2, 5, 4, 12), (1, 4, 8, 10),
-)
+
+FILTERS = filter_bank()
 THRESHOLDS = (-0.12, 0.0, 0.12)
 SPAN = 16
 #: Offsets tried, bit errors that a matched code may have, and hundredths of the longer recording that must be matched.
 TOP_OFFSETS, MAX_ERRORS, COVERAGE = 4, 4, 75
+#: Consecutive codes that have a landmark, and hundredths of the landmarks of the one with more that linked recordings have in common.
+LANDMARK_RUN, SHARE = 8, 25
+#: Spectra computed together; pairs of equal landmarks held together; pairs of one code from which on they are counted by transform.
+BLOCK, HITS, MANY = 4096, 1 << 22, 1 << 20
 
 
-def frames(samples: np.ndarray, rate: int, size: int = 256, hop: int = 128, lowest: float = 80.0, highest: float = 4000.0) -> np.ndarray:
-    """Pitch-class frames of a mono signal: power of the spectrum's bins, folded over octaves, each frame scaled to sum 1."""
+def frames(samples: np.ndarray, rate: int, size: int = 256, hop: int = 128, lowest: float = 80.0, highest: float = 4000.0, unit: float = 1.0) -> np.ndarray:
+    """Pitch-class frames of a mono signal (in steps of ``unit``): power of the spectrum's bins, folded over octaves, each frame scaled to sum 1."""
     if len(samples) < size:
         return np.zeros((0, 12))
-    windows = np.lib.stride_tricks.sliding_window_view(np.asarray(samples, np.float32), size)[::hop] * np.hanning(size).astype(np.float32)
-    power = np.abs(np.fft.rfft(windows, axis=1)) ** 2
     pitch = np.fft.rfftfreq(size, 1 / rate)
     good = (pitch >= lowest) & (pitch <= highest)
     fold = np.zeros((len(pitch), 12))
@@ -53,7 +62,13 @@ def frames(samples: np.ndarray, rate: int, size: int = 256, hop: int = 128, lowe
     low = np.floor(place).astype(int)
     fold[np.arange(len(pitch)), low % 12] = good * (1 - (place - low))
     fold[np.arange(len(pitch)), (low + 1) % 12] += good * (place - low)
-    out = power @ fold
+    count = 1 + (len(samples) - size) // hop
+    out = np.empty((count, 12))
+    shape = np.hanning(size).astype(np.float32)
+    for at in range(0, count, BLOCK):
+        end = min(at + BLOCK, count)
+        part = np.asarray(samples[at * hop : (end - 1) * hop + size], np.float32) * np.float32(unit)
+        out[at:end] = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(part, size)[::hop] * shape, axis=1)) ** 2 @ fold
     total = out.sum(1, keepdims=True)
     return np.where(total > 1e-9, out / np.maximum(total, 1e-9), 1 / 12)
 
@@ -86,20 +101,54 @@ def fingerprint(chroma: np.ndarray) -> np.ndarray:
     return code
 
 
+def landmarks(codes: np.ndarray) -> np.ndarray:
+    """Places of the landmarks. Of codes repeated in a row, every eighth may be one."""
+    n = len(codes)
+    fresh = np.ones(n, bool)
+    fresh[1:] = codes[1:] != codes[:-1]
+    run = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+    at = np.arange(n) if n < 2 * LANDMARK_RUN else np.unique(least(tx.mix(codes.astype(np.uint64)), LANDMARK_RUN))
+    return at[run[at] % LANDMARK_RUN == 0]
+
+
+def offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How often landmarks of ``a`` and ``b`` agree at each offset (place in a less place in b), from offset ``-len(b)`` on."""
+    counts = np.zeros(len(a) + len(b) + 1, np.int64)
+    at, other = landmarks(a), landmarks(b)
+    other = other[np.argsort(b[other], kind="stable")]
+    lo, hi = np.searchsorted(b[other], a[at], "left"), np.searchsorted(b[other], a[at], "right")
+    codes, n = np.unique(a[at[hi > lo]], return_counts=True)
+    first, last = np.searchsorted(b[other], codes, "left"), np.searchsorted(b[other], codes, "right")
+    many = codes[n * (last - first) > MANY]
+    few = (hi > lo) & ~np.isin(a[at], many)
+    for code in many.tolist():
+        size = 1 << int(np.ceil(np.log2(len(counts))))
+        x, y = np.zeros(size), np.zeros(size)
+        x[at[a[at] == code]] = 1
+        y[len(b) - other[b[other] == code]] = 1
+        counts += np.rint(np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), size)[: len(counts)]).astype(np.int64)
+    at, lo, hits = at[few], lo[few], (hi - lo)[few]
+    ends = np.cumsum(hits)
+    start = 0
+    while start < len(at):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + HITS, "right")))
+        h = hits[start:stop]
+        place = np.arange(h.sum()) - np.repeat(np.cumsum(h) - h, h) + np.repeat(lo[start:stop], h)
+        counts += np.bincount(np.repeat(at[start:stop], h) - other[place] + len(b), minlength=len(counts))
+        start = stop
+    return counts
+
+
 def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best offset (place in ``a`` less place in ``b``), matched codes of the longer one, and its length."""
     if len(a) < len(b):
         offset, matched, length = alignment(b, a)
         return -offset, matched, length
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    hits = hi - lo
-    if not hits.sum():
+    counts = offsets(a, b)
+    found = np.flatnonzero(counts)
+    if not len(found):
         return 0, 0, len(a)
-    at = np.repeat(np.arange(len(a)), hits)
-    other = order[np.arange(len(at)) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(lo, hits)]
-    offsets, counts = np.unique(at - other, return_counts=True)
-    top = offsets[np.lexsort((offsets, -counts))][:TOP_OFFSETS]
+    top = found[np.lexsort((found, -counts[found]))][:TOP_OFFSETS] - len(b)
     matched = np.zeros(len(a), bool)
     for o in top.tolist():
         x0, x1 = max(0, o), min(len(a), len(b) + o)
@@ -108,6 +157,14 @@ def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return int(top[0]), int(matched.sum()), len(a)
 
 
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    x, y = (np.unique(c[landmarks(c)]) for c in (a, b))
+    if not len(x) or not len(y) or 100 * len(np.intersect1d(x, y, assume_unique=True)) < SHARE * max(len(x), len(y)):
+        return False
+    _, matched, length = alignment(a, b)
+    return 100 * matched >= COVERAGE * length
+
+
 def fingerprints(recordings: DataFrame, *, id_column: str = "media_id", column: str = "pcm", rate: int = 4000) -> DataFrame:
     """media_id, codes (array of integers) and k1, from 16-bit little-endian mono samples (binary)."""
 
@@ -116,7 +173,7 @@ def fingerprints(recordings: DataFrame, *, id_column: str = "media_id", column:
             codes = []
             for x in batch.column(1):
                 raw = x.as_py() or b""
-                codes.append(fingerprint(frames(np.frombuffer(raw[: len(raw) // 2 * 2], "<i2") / 32768, rate)))
+                codes.append(fingerprint(frames(np.frombuffer(raw[: len(raw) // 2 * 2], "<i2"), rate, unit=1 / 32768)))
             k1 = [int(tx.runs(c.astype(np.uint64), np.zeros(1, np.int64), np.array([len(c)]))[0].view(np.int64)) if len(c) else 0 for c in codes]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([c.view(np.int32) for c in codes], pa.list_(pa.int32())), pa.array(k1, pa.int64())],
@@ -132,24 +189,46 @@ def _aligned(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                _, matched, length = alignment(*(np.asarray(v.values.to_numpy(zero_copy_only=False)).view(np.uint32) for v in (x, y)))
-                keep.append(100 * matched >= COVERAGE * length)
+            keep = [linked(*(np.asarray(v.values.to_numpy(zero_copy_only=False)).view(np.uint32) for v in pair)) for pair in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _marks(classes: DataFrame) -> DataFrame:
+    """(key, d, k1, n, marks): the distinct landmarks of each class, and how many it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = []
+            for x in batch.column(3):
+                codes = np.asarray(x.values.to_numpy(zero_copy_only=False)).view(np.uint32)
+                each.append(np.unique(codes[landmarks(codes)]))
+            sizes = np.array([len(x) for x in each], np.int64)
+            take = pa.array(np.repeat(np.arange(len(each)), sizes))
+            keys = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(i).take(take) for i in range(3)), pa.array(np.repeat(sizes, sizes))], names=["key", "d", "k1", "n", "marks"])
+
+    return classes.select("d", "k1", "n", "codes").mapInArrow(run, "key long, d long, k1 long, n long, marks long")
+
+
+def _lists(classes: DataFrame) -> DataFrame:
+    """(key, d, k1, n): the rarest landmarks of each class, as many as linked recordings must share one of, without those of one class only."""
+    entries = _marks(classes)
+    members = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").checkpoint()
+    by_class = Window.partitionBy("d", "k1")
+    # those of one class only come first in its order; after them, these
+    rank = F.row_number().over(by_class.orderBy("members", "key")) + F.col("marks") - F.count("*").over(by_class)
+    needed = F.ceil(F.col("marks") * SHARE / 100)
+    return entries.join(members, "key").withColumn("rank", rank).where(F.col("rank") <= F.col("marks") - needed + 1).select("key", "d", "k1", "n")
+
+
 def alike(recordings: DataFrame, **options) -> DataFrame:
     """One row per recording: media_id, n_codes, class_id (least id of equal fingerprints) and component_id."""
     found = fingerprints(recordings, **options).checkpoint()
     n = F.size("codes").cast("long")
     classes = found.where("size(codes) > 0 and media_id is not null").groupBy("k1", n.alias("n")).agg(F.min("media_id").alias("d"), F.min_by("codes", "media_id").alias("codes"))
-    entries = classes.select(F.explode(F.array_distinct("codes")).alias("key"), "d", "k1", "n").checkpoint()
-    members = [F.sum(F.xxhash64("d", "k1", F.lit(salt)).cast("decimal(20,0)")).alias(f"h{salt}") for salt in (1, 2)]
-    sets = entries.groupBy("key").agg(F.count("*").alias("size"), *members).where("size > 1")
-    lists = entries.join(sets.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key").checkpoint()
+    lists = _lists(classes).checkpoint()
     known = found.where("size(codes) > 0").select("media_id", "k1", "codes").dropDuplicates(["media_id", "k1"])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -160,7 +239,8 @@ def alike(recordings: DataFrame, **options) -> DataFrame:
     # a shorter recording matches its own length at each offset at most
     links = link_in_rounds(lists, COVERAGE // TOP_OFFSETS, lambda pairs: pairs, verified)
     rows = found.select("media_id", n.alias("n_codes"), "k1")
-    named = rows.join(classes.select(F.col("n").alias("n_codes"), "k1", F.col("d").alias("class")), ["n_codes", "k1"], "left").select("media_id", "n_codes", F.coalesce("class", "media_id").alias("class_id"))
+    copied = rows.where("n_codes > 0 and media_id is not null").groupBy("n_codes", "k1").agg(F.min("media_id").alias("class"), F.max("media_id").alias("most")).where("class < most").drop("most").checkpoint()
+    named = rows.join(copied, ["n_codes", "k1"], "left").select("media_id", "n_codes", F.coalesce("class", "media_id").alias("class_id"))
     same = named.where("media_id <> class_id").select(F.col("media_id").alias("a"), F.col("class_id").alias("b"))
     joined = components(links.unionByName(same)).withColumnRenamed("node", "media_id")
     return named.join(joined, "media_id", "left").select("media_id", "n_codes", "class_id", F.coalesce("component", "media_id").alias("component_id"))
@@ -173,19 +253,32 @@ def render(text: str, rate: int = 2000, samples: int = 128) -> bytes:
         return b""
     data = b" ".join(words)
     w = tx.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    t = np.arange(len(w.hash) * samples) / rate
     low, high = (w.hash % np.uint64(12)).astype(int), (w.hash // np.uint64(12) % np.uint64(12)).astype(int)
-    sound = np.sin(2 * np.pi * np.repeat(261.6256 * 2 ** (low / 12), samples) * t) + np.sin(2 * np.pi * np.repeat(523.2511 * 2 ** (high / 12), samples) * t)
-    return (sound * 16000).astype("<i2").tobytes()
+    parts = []
+    for at in range(0, len(words), BLOCK // 2):
+        x, y = low[at : at + BLOCK // 2], high[at : at + BLOCK // 2]
+        t = np.arange(at * samples, (at + len(x)) * samples) / rate
+        sound = np.sin(2 * np.pi * np.repeat(261.6256 * 2 ** (x / 12), samples) * t) + np.sin(2 * np.pi * np.repeat(523.2511 * 2 ** (y / 12), samples) * t)
+        parts.append((sound * 16000).astype("<i2").tobytes())
+    return b"".join(parts)
 
 
 def rendered(texts: DataFrame, id_column: str, column: str) -> DataFrame:
-    """media_id and pcm: every text of ``column`` as a recording."""
+    """media_id and pcm: every text of ``column`` as a recording. Recordings go on as they are made, some megabytes together."""
+
+    def made(ids: list, sounds: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sounds, pa.binary())], names=["media_id", "pcm"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([render(x.as_py()) for x in part.column(1)], pa.binary())], names=["media_id", "pcm"])
+            ids, sounds, held = [], [], 0
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                sounds.append(render(x.as_py()))
+                held += len(sounds[-1])
+                if held > HITS:
+                    yield made(ids, sounds)
+                    ids, sounds, held = [], [], 0
+            yield made(ids, sounds)
 
     return texts.select(F.col(id_column).cast("long"), column).mapInArrow(run, "media_id long, pcm binary")

@@ -76,8 +76,7 @@ def test_components_equal_all_pairs(spark, recordings):
     for _ in codes:
         for i in codes:
             for j in codes:
-                _, matched, length = chroma.alignment(codes[i], codes[j])
-                if len(codes[i]) and len(codes[j]) and 100 * matched >= chroma.COVERAGE * length:
+                if chroma.linked(codes[i], codes[j]):
                     label[i] = label[j] = min(label[i], label[j])
     assert {i: c for i, c in got.items() if i is not None} == label
     assert got[20] == got[21] == got[22] == got[23] == 3 and got[30] == 5 and got[31] == 31 and got[44] == 43 and got[None] is None
@@ -87,16 +86,72 @@ def test_empty_table(spark):
     assert chroma.alike(spark.createDataFrame([], "media_id long, pcm binary")).count() == 0
 
 
-def test_few_equal_codes_and_repeated_recordings(spark, monkeypatch):
+def brute(codes):
+    """Components of all pairs: {id: least id}, from {id: codes}."""
+    label = {i: i for i in codes}
+    ids = sorted(codes)
+    pairs = [(i, j) for n, i in enumerate(ids) for j in ids[:n] if chroma.linked(codes[i], codes[j])]
+    for _ in ids:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_bit_errors_few_equal_codes_and_repeated_recordings(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    rows = []
+    codes = {}
     for k in range(12):
         a = rng.integers(0, 2**32, 100, dtype=np.uint32)
-        b = a ^ np.uint32(1 << k)
-        b[k * 8] = a[k * 8]
-        rows += [(4 * k, a), (4 * k + 1, b), (4 * k + 2, np.r_[a, a]), (4 * k + 3, rng.integers(0, 2**32, 100, dtype=np.uint32))]
-        assert chroma.alignment(a, b)[1] == 100 and chroma.alignment(np.r_[a, a], a)[1] == 200
-    made = spark.createDataFrame([(i, x.view(np.int32).tolist(), i) for i, x in rows], "media_id long, codes array<int>, k1 long")
+        codes[5 * k], codes[5 * k + 1] = a, np.where(rng.random(100) < 0.06 * k, a ^ np.uint32(1 << k), a)
+        codes[5 * k + 2], codes[5 * k + 3], codes[5 * k + 4] = np.r_[a, a], rng.integers(0, 2**32, 100, dtype=np.uint32), np.r_[a[:30], rng.integers(0, 2**32, 70, dtype=np.uint32)]
+        assert chroma.alignment(np.r_[a, a], a)[1] == 200
+    made = spark.createDataFrame([(i, x.view(np.int32).tolist(), i) for i, x in codes.items()], "media_id long, codes array<int>, k1 long")
     monkeypatch.setattr(chroma, "fingerprints", lambda recordings: made)
     got = {r.media_id: r.component_id for r in chroma.alike(made).collect()}
-    assert got == {i: i if i % 4 == 3 else i // 4 * 4 for i, _ in rows}
+    want = brute(codes)
+    assert got == want and sum(want[5 * k + 1] == 5 * k for k in range(12)) >= 6 and all(want[5 * k + 2] == 5 * k and want[5 * k + 3] == 5 * k + 3 for k in range(12))
+
+
+def altered(x, kind, rng):
+    """A recording again: noisy, softer, started late, cut at both ends, or all of it."""
+    x = x.astype(float)
+    if kind in ("noise", "all"):
+        x = x + rng.normal(size=len(x)) * 300
+    if kind in ("soft", "all"):
+        x = x * 0.5
+    if kind in ("late", "all"):
+        x = np.r_[rng.normal(size=128 * 9) * 20, x]
+    if kind in ("cut", "all"):
+        x = x[128 * 7 : -128 * 7]
+    return np.clip(x, -32768, 32767).astype("<i2").tobytes()
+
+
+def test_altered_copies_are_found(spark, prose):
+    """Recall of whole recordings that were recorded again: at least nine in ten, and as all pairs say."""
+    rng = np.random.default_rng(2)
+    kinds = ["noise", "soft", "late", "cut", "all"]
+    rows = []
+    for i in range(60):
+        sound = chroma.render(" ".join(prose(int(rng.integers(60, 400)))))
+        rows += [(2 * i, sound), (2 * i + 1, altered(np.frombuffer(sound, "<i2"), kinds[i % 5], rng))]
+    got = {r.media_id: r.component_id for r in chroma.alike(spark.createDataFrame(rows, "media_id long, pcm binary"), rate=2000).collect()}
+    want = brute({i: chroma.fingerprint(chroma.frames(np.frombuffer(x, "<i2"), 2000, unit=1 / 32768)) for i, x in rows})
+    assert got == want
+    assert sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 54
+
+
+def test_very_long_and_silent_recordings():
+    """Counting offsets of a million equal codes takes neither a pair each nor gigabytes."""
+    silent = np.zeros(1_000_000, np.uint32)
+    assert chroma.linked(silent, silent[:900_000])
+    assert not chroma.linked(silent, np.random.default_rng(1).integers(0, 2**32, 900_000, dtype=np.uint32))
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 6, 3000, dtype=np.uint32), rng.integers(0, 6, 2500, dtype=np.uint32)
+    brute_counts = np.zeros(len(a) + len(b) + 1, np.int64)
+    for i in chroma.landmarks(a):
+        for j in chroma.landmarks(b):
+            brute_counts[i - j + len(b)] += a[i] == b[j]
+    many = chroma.MANY
+    for chroma.MANY in (0, many):
+        assert (chroma.offsets(a, b) == brute_counts).all()
+    assert len(chroma.render("a b " * 100_000)) == 200_000 * 256
