@@ -278,7 +278,8 @@ def groups(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
     rows = profiles.select("doc_id", "n", "k1", "k2")
     known = known.where("doc_id is not null")
     with_words = profiles.where("n > 0 and doc_id is not null")
-    classes = with_words.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # written down, so that the documents of a class that very many are in can be dealt out where they meet it
+    classes = with_words.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep < most").drop("most").checkpoint()
     frequent = _frequent(known, k, profiles.count())
     lists = _lists(_postings(known, k, threshold, cost_boundary(threshold), frequent), threshold).checkpoint()
     release(docs.sparkSession)
