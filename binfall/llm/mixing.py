@@ -3,14 +3,15 @@
 Every document gets the exponential key ``-ln(u) / quality`` with ``u`` from a digest of its id, so documents of higher
 quality tend to have smaller keys. A source's target in words is met by whole epochs first; what is left is a prefix of
 the source in key order, cut where the words taken come nearest to the budget.
-A plan of one row per source, with the key of the last document that is taken, then decides on every document.
+A plan of one row per source, with the key of the last document that is taken, then decides on every document. It is counted
+first: up to ``PLAN_ROWS`` sources it is sent to the tasks, so that documents are not shuffled, let alone by source.
 
 Nothing is sorted or windowed by source alone. Keys fall in ``buckets`` equal slices of the exponential distribution;
 words are summed by source and bucket, and only the documents of the one bucket per source that the budget's end lies in
 are put in order.
 
-Edge cases: null or empty texts have size 0 and are taken 0 times; a null source is a source (the last); equal keys are
-ordered by id and size; repeated rows are taken alike; an empty table gives an empty table; extra columns pass through.
+Edge cases: null or empty texts have size 0 and are taken 0 times; a very long text counts whole; a null source is a source (the last); a null id
+is an id; equal keys are ordered by id and size; repeated rows are taken alike; an empty table gives an empty table; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Longest plan, in sources, that is sent to every task; with more sources, rows meet the plan in a shuffle.
+PLAN_ROWS = 100_000
 #: A word, as a pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,28 +62,37 @@ def _measured(docs: DataFrame, quality: Column | None, seed: str, *kept: Column)
     return docs.select(*kept, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
 
 
+def _met(rows: DataFrame, plan: DataFrame, sources: int, *more: Column) -> DataFrame:
+    """``rows`` as ``d`` with the row of their source in ``plan`` as ``b``, where ``more`` holds."""
+    on = F.col("d.source").eqNullSafe(F.col("b.source"))
+    for m in more:
+        on = on & m
+    return rows.alias("d").join((F.broadcast(plan) if sources <= PLAN_ROWS else plan).alias("b"), on)
+
+
 def _plan(measured: DataFrame, weights: tuple[float, ...], share: float, most: float, buckets: int) -> DataFrame:
     """One row per source: source, source_size, target, epochs, and where the fractional epoch ends: all buckets before ``last``, and of ``last`` the
     documents up to ``cut`` (key, doc_id, size; null: none)."""
     d = measured.withColumn("bucket", _bucket(buckets))
-    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("words")).checkpoint()
     budget = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), list(weights), share, most)
     budget = budget.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    budget = budget.withColumn("left", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
+    budget = budget.withColumn("left", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))).checkpoint()
+    sources = budget.count()
     upto = Window.partitionBy("source").orderBy("bucket")
-    ends = sums.withColumn("end", F.sum("words").over(upto)).alias("s").join(budget.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")))
+    ends = _met(sums.withColumn("end", F.sum("words").over(upto)), budget, sources)
     whole = F.col("end") <= F.col("left")
     ends = ends.groupBy(F.col("b.source").alias("source")).agg(F.min(F.when(~whole, F.col("bucket"))).alias("last"), F.max(F.when(whole, F.col("end"))).alias("done"))
     budget = budget.alias("b").join(ends.alias("e"), F.col("b.source").eqNullSafe(F.col("e.source")), "left")
-    budget = budget.select("b.*", "last", (F.col("left") - F.coalesce("done", F.lit(0))).alias("open"))
+    budget = budget.select("b.*", "last", (F.col("left") - F.coalesce("done", F.lit(0))).alias("open")).checkpoint()
     # only the documents of the bucket that the budget ends in are put in order; equal keys of equal documents stay together
-    inner = d.alias("d").join(budget.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("bucket") == F.col("last"))).select("d.*", "open", "left")
+    inner = _met(d, budget, sources, F.col("bucket") == F.col("last")).select("d.*", "open", "left")
     run = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size"))
     place = F.struct("key", "doc_id", "size")
     inner = inner.withColumn("run", run).withColumn("taken", (F.col("run") - F.col("size") / 2 <= F.col("open")) & (F.col("left") > 0))
     inner = inner.groupBy("source").agg(F.max(F.when(F.col("taken"), place)).alias("cut"))
     both = budget.alias("b").join(inner.alias("i"), F.col("b.source").eqNullSafe(F.col("i.source")), "left")
-    return both.select("b.source", "source_size", "target", "epochs", F.when(F.col("left") > 0, F.col("last")).alias("last"), "cut")
+    return both.select("b.source", "source_size", "target", "epochs", F.when(F.col("left") > 0, F.col("last")).alias("last"), "cut").checkpoint()
 
 
 def _bucket(buckets: int) -> Column:
@@ -89,7 +101,7 @@ def _bucket(buckets: int) -> Column:
 
 def _times(measured: DataFrame, plan: DataFrame, most: float, buckets: int) -> DataFrame:
     """``measured`` with source_size, target and times, how often the mix takes each document."""
-    rows = measured.alias("d").join(plan.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source"))).select("d.*", *(f"b.{c}" for c in plan.columns if c != "source"))
+    rows = _met(measured, plan, plan.count()).select("d.*", *(f"b.{c}" for c in plan.columns if c != "source"))
     inside = F.coalesce(F.struct("key", "doc_id", "size") <= F.col("cut"), F.lit(False))
     chosen = F.coalesce((_bucket(buckets) < F.col("last")) | ((_bucket(buckets) == F.col("last")) & inside), F.lit(False)) & (F.col("epochs") < most)
     times = F.when(F.col("size") > 0, F.col("epochs") + F.when(chosen, 1).otherwise(0)).otherwise(0).cast("int")
@@ -103,7 +115,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
 
 
 def take(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, quality: Column | None = None, buckets: int = 4096, seed: str = "mix") -> DataFrame:
-    """The mix itself: every document as many times as it is taken, with the columns of ``docs``. Texts are read twice and never shuffled."""
+    """The mix itself: every document as many times as it is taken, with the columns of ``docs``. Texts are read twice and, up to ``PLAN_ROWS`` sources, never shuffled."""
     plan = _plan(_measured(docs, quality, seed).checkpoint(), weights, share, most, buckets)
     mixed = _times(_measured(docs, quality, seed, F.struct(*docs.columns).alias("kept")), plan, most, buckets).where("times > 0")
     copies = mixed.select("kept", F.explode(F.sequence(F.lit(1), F.col("times"))))
