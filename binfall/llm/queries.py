@@ -92,7 +92,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return substrings.removals(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substrings.removals(table(spark, sf_dir, "documents"), details=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

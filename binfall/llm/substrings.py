@@ -5,17 +5,21 @@ as reference for those of larger id. Each window is indexed under its anchor, th
 it: equal windows have equal anchors, so a document is cut, by its content alone, in reference blocks, the stretches whose windows
 share one anchor. The parse of a document looks up all its blocks:
 
-1. A block whose anchor is found in no other document cannot be copied.
-2. A block whose anchor always stands in one and the same block is a whole factor: it is copied from the smallest document with it.
-3. Where blocks under one anchor differ, a factor begins or ends inside the block. There the windows themselves are
-   looked up (128-bit hashes), which sets the factor's boundaries exactly.
+1. A block whose anchor is found in no other document cannot be copied: its words are literals.
+2. A block whose anchor always stands in one and the same block is copied whole, from the least document that has it.
+3. Where blocks under one anchor differ, a factor begins or ends inside the block: its boundaries are checked window by window
+   (128-bit hashes), each against the least document with that window.
 
-Words that a factor's windows cover go. Blocks are spread by hash; a popular anchor or window is summed before its shuffle,
-and only joined back with its occurrences, where Spark may split it.
+The parse is then greedy from left to right: a factor is begun at the first copied window and grown word by word while the next
+window is a copy from the same document; where that ends, the next factor begins. A factor has ``window`` words at least,
+and the words of all factors go. ``details`` gives the factors themselves.
 
-Edge cases: null and empty texts have no words; a null doc_id neither removes nor loses words; documents of one id never
-remove each other's words; repeated rows give repeated, equal results; an empty table gives an empty table; columns of
-the input other than doc_id and text are not read.
+Blocks are spread by hash. The references of anchors and windows are summed before their shuffle and written down, so where very many
+occurrences meet one of them, Spark can split the occurrences.
+
+Edge cases: null and empty texts have no words; a very long text is parsed like others, its words are held by one task; a null doc_id neither
+removes nor loses words; documents of one id never remove each other's words; repeated rows give repeated, equal results; an empty
+table gives an empty table; columns of the input other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -113,61 +117,92 @@ def _windows(frame: DataFrame, window: int) -> DataFrame:
     return frame.mapInArrow(run, "doc_id long, tkey long, at int, h1 long, h2 long")
 
 
-def _kept(spans, window: int, n: int) -> np.ndarray:
-    """Which of ``n`` words stay when the windows ``spans`` (first and last start) go."""
+def factors(blocks: list[tuple[int, int, int]], windows: list[tuple[int, int]], window: int, n: int) -> list[tuple[int, int, int]]:
+    """The greedy parse of ``n`` words: (first word, words, source) of every factor, from copied blocks (first and last window, source) and copied
+    windows (place, source). A factor grows while windows follow each other in one source."""
+    source = np.full(max(n - window + 1, 0), -1, np.int64)
+    copied = np.zeros(len(source), bool)
+    for first, last, s in blocks:
+        source[first : last + 1], copied[first : last + 1] = s, True
+    if windows:
+        at, s = np.array(windows, np.int64).T
+        source[at], copied[at] = s, True
+    begins = copied.copy()
+    begins[1:] &= ~copied[:-1] | (source[1:] != source[:-1])
+    first = np.flatnonzero(begins)
+    ends = copied.copy()
+    ends[:-1] &= ~copied[1:] | begins[1:]
+    last = np.flatnonzero(ends)
+    return [(a, b - a + window, s) for a, b, s in zip(first.tolist(), last.tolist(), source[first].tolist(), strict=True)]
+
+
+def _kept(found: list[tuple[int, int, int]], n: int) -> np.ndarray:
+    """Which of ``n`` words stay when the factors go."""
     edge = np.zeros(n + 1, np.int64)
-    for lo, hi in spans:
-        edge[lo] += 1
-        edge[hi + window] -= 1
+    for first, words, _ in found:
+        edge[first] += 1
+        edge[first + words] -= 1
     return np.cumsum(edge[:n]) == 0
 
 
-def _results(frame: DataFrame, window: int, carried: list[str]) -> DataFrame:
-    """``carried`` columns, then n_words, n_removed, kept text's digest or text, from (carried..., text, cut, hits)."""
+def _results(frame: DataFrame, window: int, carried: list[str], details: bool) -> DataFrame:
+    """``carried`` columns, then n_words, n_removed, kept text's digest, and with ``details`` the kept text, if words went, and the factors, from
+    (carried..., text, cut, hits)."""
     k = len(carried)
-    schema = [f.simpleString().replace(":", " ", 1) for f in frame.select(*carried).schema.fields]
-    names = [*carried, "n_words", "n_removed", "kept_sha256", "kept_text"]
+    schema = [f.simpleString().replace(":", " ", 1) for f in frame.select(*carried).schema.fields] + ["n_words long", "n_removed long", "kept_sha256 string"]
+    names = [*carried, "n_words", "n_removed", "kept_sha256"]
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("source", pa.int64())]))
+    if details:
+        schema += ["kept_text string", "factors array<struct<first:int,words:int,source:long>>"]
+        names += ["kept_text", "factors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, gone, digests, texts = [], [], [], []
+            total, gone, digests, texts, parses = [], [], [], [], []
             for at in range(len(batch)):
                 raw = batch.column(k)[at].as_py()
                 words = raw.split() if raw else []
-                spans = [(x["first"], x["last"]) for x in batch.column(k + 1)[at].as_py() or ()]
-                spans += [(x, x) for x in batch.column(k + 2)[at].as_py() or ()]
+                blocks = [(x["first"], x["last"], x["source"]) for x in batch.column(k + 1)[at].as_py() or ()]
+                windows = [(x["at"], x["source"]) for x in batch.column(k + 2)[at].as_py() or ()]
+                found = factors(blocks, windows, window, len(words)) if blocks or windows else []
                 stay = words
-                if spans:
-                    mask = _kept(spans, window, len(words))
+                if found:
+                    mask = _kept(found, len(words))
                     stay = [words[i] for i in np.flatnonzero(mask).tolist()]
                 kept = b" ".join(stay)
                 total.append(len(words))
                 gone.append(len(words) - len(stay))
                 digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept if spans else None)
-            yield _batch(names, [*batch.columns[:k], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())])
+                if details:
+                    texts.append(kept if found else None)
+                    parses.append([{"first": a, "words": b, "source": c} for a, b, c in found])
+            made = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
+            if details:
+                made += [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(parses, kind)]
+            yield _batch(names, [*batch.columns[:k], *made])
 
-    return frame.mapInArrow(run, ", ".join([*schema, "n_words long, n_removed long, kept_sha256 string, kept_text string"]))
+    return frame.mapInArrow(run, ", ".join(schema))
 
 
-def removals(docs: DataFrame, *, window: int = 50, gram: int = GRAM) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, and kept_text where words were removed (else null)."""
+def removals(docs: DataFrame, *, window: int = 50, gram: int = GRAM, details: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, and with ``details`` kept_text where words were removed (else null) and the
+    factors (first word, words, the least document that has them)."""
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text")
     segments = _segments(frame.where("doc_id is not null"), window, gram)
     seen = segments.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most"), F.min("content").alias("c1"), F.max("content").alias("c2"))
-    shared = seen.where("source < most").select("anchor", "source", (F.col("c1") == F.col("c2")).alias("same"))
+    shared = seen.where("source < most").select("anchor", "source", (F.col("c1") == F.col("c2")).alias("same")).checkpoint()
     touched = segments.drop("content").join(shared, "anchor").where("not same or doc_id > source")
-    stretch = F.struct("first", "last")
     lists = touched.groupBy("doc_id", "tkey").agg(
-        F.collect_set(F.when(F.col("same"), stretch)).alias("cut"),
-        F.collect_set(F.when(~F.col("same"), stretch)).alias("look"),
+        F.collect_set(F.when(F.col("same"), F.struct("first", "last", "source"))).alias("cut"),
+        F.collect_set(F.when(~F.col("same"), F.struct("first", "last"))).alias("look"),
     )
     affected = frame.join(lists, ["doc_id", "tkey"]).select("doc_id", "tkey", F.col("text").cast("binary").alias("text"), "cut", "look").checkpoint()
     opened = affected.where(F.size("look") > 0).select("doc_id", "tkey", F.col("text").cast("string").alias("text"), "look").dropDuplicates(["doc_id", "tkey"])
     windows = _windows(opened, window)
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most")).where("source < most").drop("most")
-    hits = windows.join(first, ["h1", "h2"]).where("doc_id > source").groupBy("doc_id", "tkey").agg(F.collect_list("at").alias("hits"))
+    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most")).where("source < most").drop("most").checkpoint()
+    hits = windows.join(first, ["h1", "h2"]).where("doc_id > source").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "source")).alias("hits"))
     cut = affected.drop("look").join(hits, ["doc_id", "tkey"], "left").select("doc_id", "text", "cut", "hits")
-    rest = frame.select("doc_id", "tkey", F.col("text").cast("binary").alias("text"), F.lit(None).cast("array<struct<first:int,last:int>>").alias("cut"), F.lit(None).cast("array<int>").alias("hits"))
-    whole = _results(rest, window, ["doc_id", "tkey"]).join(affected.select("doc_id", "tkey").distinct(), ["doc_id", "tkey"], "left_anti")
-    return _results(cut, window, ["doc_id"]).unionByName(whole.drop("tkey"))
+    kinds = dict(cut.dtypes)
+    rest = frame.select("doc_id", "tkey", F.col("text").cast("binary").alias("text"), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("cut", "hits")))
+    whole = _results(rest, window, ["doc_id", "tkey"], details).join(affected.select("doc_id", "tkey").distinct(), ["doc_id", "tkey"], "left_anti")
+    return _results(cut, window, ["doc_id"], details).unionByName(whole.drop("tkey"))

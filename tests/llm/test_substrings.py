@@ -67,3 +67,28 @@ def test_empty_and_extra_columns(spark, documents):
     assert substrings.removals(documents([])).count() == 0
     odd = spark.createDataFrame([(1, "a b", 5, "c")], "doc_id long, text string, first int, cut string")
     assert ours(substrings.removals(odd)) == brute([(1, "a b")])
+
+
+def test_factors_are_copies_of_their_source(spark, documents, prose):
+    rows = [r for r in cases(prose) if r[0] is not None and r != (1, cases(prose)[5][1])]
+    words = {}
+    for i, t in rows:
+        words.setdefault(i, [w for w in re.split(SPACE, t or "") if w])
+    seen = 0
+    for r in substrings.removals(documents([(i, t, "s") for i, t in rows]), window=20, gram=8).collect():
+        own = words[r.doc_id]
+        if r.n_words != len(own):
+            continue
+        covered = set()
+        for f in r.factors:
+            there = [tuple(words[f.source][at : at + 20]) for at in range(len(words[f.source]) - 19)]
+            assert f.source < r.doc_id and f.words >= 20 and all(tuple(own[at : at + 20]) in there for at in range(f.first, f.first + f.words - 19))
+            covered |= set(range(f.first, f.first + f.words))
+            seen += 1
+        assert len(covered) == r.n_removed and (r.kept_text or "").split() == [w for at, w in enumerate(own) if covered and at not in covered]
+    assert seen > 8
+
+
+def test_greedy_parse():
+    assert substrings.factors([(0, 3, 5)], [(4, 5), (5, 7), (9, 7)], 50, 80) == [(0, 54, 5), (5, 50, 7), (9, 50, 7)]
+    assert substrings.factors([], [], 50, 10) == []
