@@ -70,7 +70,7 @@ def test_empty_and_extra_columns(spark, documents):
 
 
 def test_factors_are_copies_of_their_source(spark, documents, prose):
-    rows = [r for r in cases(prose) if r[0] is not None and r != (1, cases(prose)[5][1])]
+    rows = [r for r in cases(prose)[:-1] if r[0] is not None]
     words = {}
     for i, t in rows:
         words.setdefault(i, [w for w in re.split(SPACE, t or "") if w])
