@@ -70,3 +70,24 @@ def test_empty_table_and_clashing_columns(spark, documents):
     assert bpe.encode(documents([]), PATH).count() == 0
     odd = spark.createDataFrame([(1, "a b", 5, "c")], "doc_id long, text string, ids int, decoded string")
     assert bpe.encode(odd, PATH).columns == ["doc_id", *bpe.ADDED]
+
+
+def test_failing_joins_merge_chunks_until_all_agree(prose, library, monkeypatch):
+    """Joins that are said to fail are encoded as one chunk with what follows; the ids stay the library's."""
+    encoder = bpe.ChunkEncoder(PATH)
+    monkeypatch.setattr(bpe, "CHUNK_MASK", 3)
+    text = " ".join(prose(900))
+    want = np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encoder.encode([text])[0] == want and encoder.repairs == 0 and len(encoder.joins) > 100
+    for i, pair in enumerate(list(encoder.joins)):
+        encoder.joins[pair] = i % 3 > 0
+    assert encoder.encode([text])[0] == want and encoder.repairs > 50
+
+
+def test_other_tokenizers_are_found_out():
+    """A tokenizer that keeps spaces is never given chunks."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, other = bpe.ChunkEncoder(path), Tokenizer.from_file(path)
+    assert not encoder.spaced and bpe.ChunkEncoder(PATH).spaced and bpe.ChunkEncoder(PATH).lowers and bpe.ChunkEncoder(PATH).parts
+    texts = [t for t in ODD if t] + ["Two  Words, and more."]
+    assert encoder.encode(texts) == [np.asarray(other.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
