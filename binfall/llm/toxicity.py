@@ -2,12 +2,13 @@
 
 Features of a text are the distinct hashes, in ``2 ** bits`` places, of its lower-cased words, pairs of neighbours and pairs
 with one word between. Learning visits a bounded sample of labelled documents (``sample`` rows, drawn by a hash of the
-id) in a fixed order; every coordinate has its own rate, and L1 keeps all but telling coordinates at zero, so the
+id) in a fixed order. Tasks turn them into coordinates, and one task, which gets these alone, learns; every coordinate has its own rate, and L1 keeps all but telling coordinates at zero, so the
 weights are few and small enough to broadcast: at most ``2 ** bits`` pairs of index and weight.
 
-Edge cases: null and empty texts have no features and get the intercept's score; labels that are null are not learnt
-from; of several labels of one document the largest counts; without labelled rows every score is 0; repeated rows are scored
-alike; extra columns are ignored.
+Edge cases: null and empty texts have no features and get the intercept's score; a very long text counts whole; labels that are null
+are not learnt from; of several labels of one document the largest counts, of several texts of one id the least is learnt from; a null id is
+never learnt from, but scored; without labelled rows every score is 0; repeated rows are scored alike; an empty table gives an
+empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,40 +84,57 @@ class Ftrl:
         self.n[at] = grown
 
 
-def fit_arrays(examples: list[tuple[np.ndarray, float]], s: Settings) -> Model:
-    """``examples``: distinct coordinates, the intercept's among them, and label, in the order to visit them."""
+def fit_arrays(examples: list[tuple[bytes, float]], s: Settings) -> Model:
+    """``examples``: packed coordinates and label, in the order to visit them."""
     ftrl = Ftrl(s)
     for _ in range(s.epochs):
         for at, y in examples:
-            ftrl.learn(at, y)
+            ftrl.learn(np.append(unpacked(at), ftrl.size), y)
     w = ftrl.weights(np.arange(ftrl.size + 1))
     index = np.flatnonzero(w[:-1])
     return Model(s.bits, float(w[-1]), index, w[index])
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Ascending numbers as 16-bit differences; a difference of 65535 or more is led by as many 65535 as fit in it."""
+    step = np.diff(places, prepend=0)
+    full = step // 65535
+    out = np.full(len(step) + int(full.sum()), 65535, "<u2")
+    out[np.cumsum(full + 1) - 1] = step % 65535
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    x = np.frombuffer(data, "<u2").astype(np.int64)
+    return np.cumsum(x)[x < 65535]
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Learn from labelled documents that are not held out; None if there are none."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y")).where(~held_out(F.col("doc_id")))
     share = settings.sample / max(1, known.count())
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))
     rows = docs.where(~held_out(F.col("doc_id")) & drawn).select("doc_id", "text").join(known.where(drawn), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).select("doc_id", "text", F.col("toxic").cast("double").alias("y"), F.xxhash64("doc_id", F.lit("order")).alias("o"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y", F.xxhash64("doc_id", F.lit("order")).alias("o"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples: list[tuple[np.ndarray, float]] = []
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column(2).to_pylist()
+            found: list[bytes] = []
             for a, b, data, bounds in tx.slices(batch.column(1)):
                 row, at = features(data, bounds, settings.bits)
                 order = np.argsort(row, kind="stable")
-                parts = np.split(at[order], np.searchsorted(row[order], np.arange(1, b - a)))
-                examples += zip((np.append(np.unique(p), 1 << settings.bits).astype(np.int32) for p in parts), labels[a:b], strict=True)
+                found += [packed(np.unique(p)) for p in np.split(at[order], np.searchsorted(row[order], np.arange(1, b - a)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.binary())], names=["doc_id", "y", "o", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = [(x, y) for batch in batches for x, y in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         if examples:
             m = fit_arrays(examples, settings)
             yield pa.RecordBatch.from_arrays([pa.array([m.intercept]), pa.array([m.index.tolist()], pa.list_(pa.int64())), pa.array([m.weight.tolist()], pa.list_(pa.float64()))], names=["intercept", "places", "weights"])
 
     # the bounded sample is learnt from in one task, in one order
-    found = rows.repartition(1).sortWithinPartitions("o", "doc_id").mapInArrow(run, "intercept double, places array<long>, weights array<double>").collect()
+    examples = rows.mapInArrow(hashed, "doc_id string, y double, o long, places binary").repartition(1).sortWithinPartitions("o", "doc_id")
+    found = examples.mapInArrow(run, "intercept double, places array<long>, weights array<double>").collect()
     if not found:
         return None
     return Model(settings.bits, found[0].intercept, np.array(found[0].places, np.int64), np.array(found[0].weights))
