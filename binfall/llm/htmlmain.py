@@ -9,8 +9,9 @@ way down. An element can so never be in the article when an ancestor has been cu
 No page comes labelled, so the trees learn from pages that ``samples`` makes up: a bounded number, the same at every run.
 
 Edge cases: null and empty pages, and pages without an article, give the empty text; broken markup is read as browsers do
-where that matters (open paragraphs, list items and cells end, unknown end tags are dropped); rows are independent; an
-empty table gives an empty table; extra columns pass through where asked for.
+where that matters (open paragraphs, list items and cells end, unknown end tags are dropped, elements deeper than ``DEPTH`` are siblings);
+reading and decoding a very long page take time in proportion to it, in one task; rows are independent, so ties, repeated rows and null ids
+need no rule; an empty table gives an empty table; extra columns pass through where asked for.
 """
 
 from __future__ import annotations
@@ -41,6 +42,14 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 CLOSES_P = BLOCK - {"body", "html", "head", "title", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "legend"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: The same without regard to quotes.
+UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Tags of a page whose quotes may stay open up to its end, before quotes are no longer heeded: each is searched for to the end.
+OPEN_QUOTES = 8
+#: Characters of pages that are looked at together.
+TOGETHER = 1 << 19
+#: Elements nested deeper are children of the element at this depth, as in browsers.
+DEPTH = 512
 WORDS_OF_ATTRIBUTE = re.compile(r"[a-z]+")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 LABEL = re.compile(r' data-y="([01])"')
@@ -63,68 +72,87 @@ _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 
 
 class Page:
-    """The elements of a page in document order, and its texts: (element, raw text), with None between two blocks."""
+    """The elements of a page in document order, and its texts: (element, raw text), with None between two blocks. Reading takes time in proportion to
+    the page: open elements are also kept by tag, and what has no end up to the page's end is looked for a bounded number of times."""
 
-    __slots__ = ("attributes", "depth", "parent", "pieces", "tag")
+    __slots__ = ("attributes", "depth", "parent", "pieces", "stack", "tag", "where")
 
     def __init__(self, source: str):
         self.tag, self.parent, self.depth, self.attributes, self.pieces = [], [], [], [], []
+        #: open elements, and their places in the stack: by tag, and under "" those of all blocks but paragraphs
+        self.stack: list[int] = []
+        self.where: dict[str, list[int]] = {"": []}
         self._read(source)
 
-    def _open(self, tag: str, attributes: str, stack: list[int]) -> int:
-        node = len(self.tag)
+    def _now(self) -> int:
+        return self.stack[-1] if self.stack else -1
+
+    def _open(self, tag: str, attributes: str, stays: bool) -> None:
         self.tag.append(tag)
-        self.parent.append(stack[-1] if stack else -1)
-        self.depth.append(len(stack))
+        depth = min(len(self.stack), DEPTH)
+        self.parent.append(self.stack[depth - 1] if depth else -1)
+        self.depth.append(depth)
         self.attributes.append(attributes)
-        return node
+        if stays:
+            self.where.setdefault(tag, []).append(len(self.stack))
+            if tag in BLOCK and tag != "p":
+                self.where[""].append(len(self.stack))
+            self.stack.append(len(self.tag) - 1)
+
+    def _cut(self, place: int) -> None:
+        """Close the open elements from a place of the stack on."""
+        while len(self.stack) > place:
+            tag = self.tag[self.stack.pop()]
+            self.where[tag].pop()
+            if tag in BLOCK and tag != "p":
+                self.where[""].pop()
+
+    def _last(self, tag: str) -> int:
+        places = self.where.get(tag)
+        return places[-1] if places else -1
 
     def _read(self, source: str) -> None:
-        stack: list[int] = []
-        at, pieces = 0, self.pieces
-        while m := TOKEN.search(source, at):
+        at, pieces, last, quotes = 0, self.pieces, source.rfind(">"), OPEN_QUOTES
+        # a tag needs its end; only a comment may go without
+        while m := (TOKEN if quotes else UNQUOTED).search(source, at) if at <= last else None:
             if m.start() > at:
-                pieces.append((stack[-1] if stack else -1, source[at : m.start()]))
+                pieces.append((self._now(), source[at : m.start()]))
             at = m.end()
             if end := m[1]:
-                self._close(end.lower(), stack)
-            elif tag := m[2] or m[4]:
-                tag = tag.lower()
+                self._close(end.lower())
+            elif tag := m[2] or (quotes and m[4]):
                 attributes = m[3] if m[2] else m[5]
-                if tag in CLOSES_P:
-                    self._end({"p"}, BLOCK - {"p"}, stack)
+                quotes -= bool(quotes and not m[2])
+                tag = tag.lower()
+                if tag in CLOSES_P and self._last("p") > self._last(""):
+                    self._end(self._last("p"))
                 if tag in ENDS:
-                    self._end(*ENDS[tag], stack)
+                    ended, guards = ENDS[tag]
+                    place = max(map(self._last, ended))
+                    if place > max(map(self._last, guards)):
+                        self._end(place)
                 if tag in BLOCK:
                     pieces.append(None)
                 elif tag == "br":
-                    pieces.append((stack[-1] if stack else -1, " "))
-                node = self._open(tag, attributes, stack)
+                    pieces.append((self._now(), " "))
+                self._open(tag, attributes, tag not in VOID and not (attributes.endswith("/") and tag in ("path", "circle", "use")))
                 if tag in RAW:
                     close = re.compile(rf"</{tag}", re.I).search(source, at)
                     at = close.start() if close else len(source)
-                if tag not in VOID and not (attributes.endswith("/") and tag in ("path", "circle", "use")):
-                    stack.append(node)
-        if at < len(source):
-            pieces.append((stack[-1] if stack else -1, source[at:]))
-
-    def _close(self, tag: str, stack: list[int]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if self.tag[stack[i]] == tag:
-                del stack[i:]
-                break
+        # an open comment hides what follows
+        if at < len(source) and (hidden := source.find("<!--", at)) != at:
+            pieces.append((self._now(), source[at:hidden] if hidden >= 0 else source[at:]))
+
+    def _close(self, tag: str) -> None:
+        place = self._last(tag)
+        if place >= 0:
+            self._cut(place)
         if tag in BLOCK:
             self.pieces.append(None)
 
-    def _end(self, tags: set[str], guards, stack: list[int]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            tag = self.tag[stack[i]]
-            if tag in tags:
-                del stack[i:]
-                self.pieces.append(None)
-                return
-            if tag in guards:
-                return
+    def _end(self, place: int) -> None:
+        self._cut(place)
+        self.pieces.append(None)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -159,7 +187,7 @@ def features(pages: list[Page]) -> np.ndarray:
     linked, above_bad, above_good = link.copy(), np.zeros(n), np.zeros(n)
     bad = (kinds[:, 1:].sum(1) > 0) | np.isin(group, [8, 9, 10, 11, 12])
     good = (kinds[:, 0] > 0) | np.isin(group, [6, 7])
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
+    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if n else []
     for rows in levels[1:]:
         up = parent[rows]
         linked[rows] |= linked[up]
@@ -392,8 +420,14 @@ def main_text(pages: DataFrame, *, column: str = "html", carry: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: list[str] = []
-            for at in range(0, len(batch), 64):
-                texts += extract([x or "" for x in batch.column(len(carry)).slice(at, 64).to_pylist()], model.value)
+            some: list[str] = []
+            for x in batch.column(len(carry)).to_pylist():
+                some.append(x or "")
+                # pages are looked at together up to a bounded size; a longer one is looked at alone
+                if sum(map(len, some)) > TOGETHER or len(some) == 64:
+                    texts += extract(some, model.value)
+                    some = []
+            texts += extract(some, model.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*carry, "text", "n_chars"])
 
     return frame.mapInArrow(run, schema)

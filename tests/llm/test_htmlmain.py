@@ -67,3 +67,101 @@ def test_query_form_and_odd_pages(spark, trees):
     assert all(r.n_chars == len(r.text) for r in rows.values())
     assert rows[1].text == rows[2].text == rows[10].text == ""
     assert htmlmain.main_text(df.limit(0), trees=trees).count() == 0
+
+
+def plain_tree(source):
+    """The elements of well-formed markup by the standard library's parser, as nested lists [tag, attributes, children]."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.top = ["", {}, []]
+            self.open = [self.top]
+
+        def handle_starttag(self, tag, attrs):
+            node = [tag, dict(attrs), []]
+            self.open[-1][2].append(node)
+            if tag not in htmlmain.VOID:
+                self.open.append(node)
+
+        def handle_endtag(self, tag):
+            while len(self.open) > 1 and self.open.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            self.open[-1][2].append(data)
+
+    reader = Reader()
+    reader.feed(source)
+    reader.close()
+    return reader.top
+
+
+def plain_text(node, inside, blocks):
+    """Blocks of the text below the elements that ``inside`` takes, walked one node after another."""
+    for child in node[2]:
+        if isinstance(child, str):
+            if inside(node):
+                blocks[-1].append(child)
+            continue
+        edge = child[0] in htmlmain.BLOCK
+        if edge:
+            blocks.append([])
+        elif child[0] == "br" and inside(node):
+            blocks[-1].append(" ")
+        plain_text(child, inside, blocks)
+        if edge and child[0] not in htmlmain.VOID:
+            blocks.append([])
+
+
+def test_texts_equal_a_plain_walk_of_the_tree(trees):
+    """Made-up pages with every element closed: what decoding takes comes out as a walk of another parser's tree gives it."""
+    import re
+
+    maker, seen = htmlmain._Maker(77), 0
+    for _ in range(60):
+        source = maker.page()
+        if re.search(r"<p data-y=\"\d\">(?:(?!</p>|<p).)*(?:<p|<div|<ul|<h\d|<table|<section|<figure|<pre|<blockquote|<aside|<nav|<form|<header|<footer|<ol|$)", source) or not source.endswith("</html>") or "<b data-y" in source:
+            continue
+        page = htmlmain.Page(source)
+        inside = htmlmain.decode(page, trees.probability(htmlmain.features([page])))
+        marks = iter(inside.tolist())
+        tree, states = plain_tree(source), {}
+
+        def number(node):
+            for child in node[2]:
+                if not isinstance(child, str):
+                    states[id(child)] = next(marks)
+                    number(child)
+
+        number(tree)
+        blocks = [[]]
+        plain_text(tree, lambda node: states.get(id(node), False), blocks)
+        want = "\n".join(t for b in blocks if (t := " ".join("".join(b).split())))
+        assert htmlmain.text_of(page, inside) == want
+        seen += 1
+    assert seen > 10
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<b><hr>", '<b ">" ', "<p>a", "<ul><li>x", "<!--x", "</x>", "<", "<b '\">"])
+def test_time_follows_the_length_of_hostile_pages(part):
+    import time
+
+    def took(n):
+        source = part * (n // len(part)) + ">"
+        begun = time.process_time()
+        htmlmain.Page(source)
+        return time.process_time() - begun
+
+    took(1000)
+    assert took(800_000) < 12 * took(200_000) + 0.5
+
+
+def test_a_very_long_page_and_repeated_rows(spark, trees):
+    paragraphs = [f"Sentence {i}, which is part of a very long article, has some words." for i in range(30_000)]
+    long = f"<html><body><nav><a href='/a'>menu</a></nav><article>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article></body></html>"
+    df = spark.createDataFrame([(1, "u", long), (2, "u", PAGE), (2, "u", PAGE), (None, None, PAGE)], "page_id long, url string, html string")
+    rows = htmlmain.main_text(df, trees=trees).collect()
+    assert next(r.text for r in rows if r.page_id == 1) == "\n".join(paragraphs)
+    assert len(rows) == 4 and len({r.text for r in rows if r.page_id != 1}) == 1
