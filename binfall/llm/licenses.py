@@ -5,8 +5,9 @@ digits turned into single spaces. The digest of the entire text is then hash-joi
 sources mostly carry a notice in a line of its own, every line of a text is also looked up as an entire text of its own.
 The known texts are a table of the user (license_id, text), or else a default one, small enough to broadcast by construction.
 
-Edge cases: null, empty and sign-only texts have the digest of the empty text and no licence; a line that occurs repeatedly
-counts once; repeated rows give repeated, equal results; an empty table gives an empty table; extra columns are ignored.
+Edge cases: null, empty and sign-only texts have the digest of the empty text and no licence; a very long text is looked up whole, and by each of
+its lines; a line that occurs repeatedly counts once; rows with a null id keep their notices; repeated rows give repeated, equal
+results; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -146,10 +147,7 @@ def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     and n_notices. ``texts`` (license_id, text) are the known texts, if not the default ones."""
     table = F.broadcast(known(docs.sparkSession)) if texts is None else digested(texts)
     d = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"))
-    # every notice of the default table holds one of these words
-    likely = lambda c: F.col(c).rlike("(?i)licen[cs]e|rights reserved|permission") if texts is None else F.lit(True)
-    lines = d.where(likely("text")).select("doc_id", "tkey", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.where(likely("line"))
+    lines = d.select("doc_id", "tkey", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     found = lines.select("doc_id", "tkey", digest(F.col("line")).alias("digest")).join(table, "digest").groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("license_id")).alias("ids"))
     whole = d.select("doc_id", "tkey", digest(F.col("text")).alias("digest")).join(table, "digest", "left")
     # null ids meet too

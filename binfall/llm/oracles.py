@@ -47,7 +47,7 @@ _TABLE = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KN
 
 OP4 = f"""
 WITH known AS (SELECT DISTINCT {_canonical("t")} AS digest, i AS id FROM (VALUES {_TABLE}) k(i, t)),
-lines AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE regexp_matches(text, '(?i)licen|rights|permission')) WHERE regexp_matches(line, '(?i)licen|rights|permission')),
+lines AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 found AS (SELECT doc_id, list_sort(list(DISTINCT id)) AS ids FROM (SELECT doc_id, {_canonical("line")} AS digest FROM lines) JOIN known USING (digest) GROUP BY doc_id),
 whole AS (SELECT doc_id, {_canonical("text")} AS digest FROM documents)
 SELECT w.doc_id, w.digest AS text_digest, k.id AS license_id, coalesce(array_to_string(f.ids, ','), '') AS notices, CAST(coalesce(len(f.ids), 0) AS BIGINT) AS n_notices

@@ -28,6 +28,9 @@ TEXTS = [
     "Licensed under the Apache License, Version 2.0.\nTh ndinly",
     "This work is licenced under the\nGNU",
     "licence " * 20_000,
+    "a\nAll rights  reserved.\nb",
+    "All-rights-reserved",
+    "x\nreleased... under [the] MIT\tlicence\n",
 ]
 
 
