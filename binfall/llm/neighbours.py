@@ -6,8 +6,9 @@ layer, and what it finds is verified by the cosine in double precision. A beam t
 does not. Then a recall audit: for some queries of every batch the shard is scanned whole, and while the beam missed a link of
 theirs, the batch is searched again with twice the width (in the end: the whole shard).
 
-A query's links are counted, not written down. What leaves a task is a row per query with links, and a spanning forest of the
-links of each batch: at most one edge per query and node, however dense the group.
+A query's links are counted, not written down: each small step of queries is at once reduced to counts and to the first query that each node was
+found by (``Reduced``). What leaves a task is a row per query with links, and a spanning forest of the links of each batch: at most
+one edge per query and node, however dense the group.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different
 lengths; repeated rows of one id are one vector (the least of its vectors); links of equal vectors count; an empty table
@@ -17,7 +18,7 @@ gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,9 +179,32 @@ class Graph:
         return np.where(beam >= 0, self.order[beam], -1), sims
 
 
-def links_of(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, audit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with a cosine of ``threshold`` or more. ``exact``: the shard's unit vectors in double precision;
-    ``audit``: the queries whose recall is held against a scan of the shard."""
+class Reduced:
+    """Pairs (query, node) as counts per query and as few edges that connect what all pairs connect: a node's first query, and of each query one
+    edge to the nodes of every other first query."""
+
+    def __init__(self, queries: int, nodes: int, weight: np.ndarray):
+        self.count, self.first, self.weight = np.zeros(queries, np.int64), np.full(nodes, -1, np.int64), weight
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, q: np.ndarray, m: np.ndarray) -> None:
+        np.add.at(self.count, q, self.weight[m])
+        fresh = self.first[m] < 0
+        nodes, at = np.unique(m[fresh], return_index=True)
+        self.first[nodes] = q[fresh][at]
+        self.edges.append((self.first[nodes], nodes))
+        q, m, first = (x[self.first[m] != q] for x in (q, m, self.first[m]))
+        _, at = np.unique(q * len(self.count) + first, return_index=True)
+        self.edges.append((q[at], m[at]))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *(q for q, _ in self.edges)]), np.concatenate([none, *(m for _, m in self.edges)])
+
+
+def links_of(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, audit: np.ndarray, take: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Gives ``take`` the pairs (query, node) with a cosine of ``threshold`` or more, each once, a bounded number at a time. ``exact``: the
+    shard's unit vectors in double precision; ``audit``: the queries whose recall is held against a scan of the shard."""
     slack = threshold - 1e-5
     n = len(exact)
     truth = queries[audit] @ exact.T >= threshold
@@ -195,8 +219,7 @@ def links_of(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: fl
             part = todo[lo : lo + step]
             if width >= n:  # nothing wider than the shard
                 q, m = np.nonzero(queries[part] @ exact.T >= threshold)
-                found_q.append(part[q])
-                found_n.append(m)
+                take(part[q], m)
                 continue
             ids, sims = graph.search(queries[part], width)
             full = sims[:, -1] >= slack
@@ -209,7 +232,7 @@ def links_of(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: fl
         wide_all = np.concatenate(wide) if wide else todo[:0]
         settled = np.setdiff1d(audit, wide_all)
         if len(settled) and width < n:
-            got = np.bincount(np.concatenate(found_q), minlength=len(queries))[settled]
+            got = np.bincount(np.concatenate([*found_q, todo[:0]]), minlength=len(queries))[settled]
             want = truth[np.searchsorted(audit, settled)].sum(1)
             missed = bool((got < want).any())
         if missed and width < n:
@@ -217,7 +240,8 @@ def links_of(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: fl
         else:
             todo = wide_all
         width = min(2 * width if width < 1024 else n, n)
-    return np.concatenate(found_q), np.concatenate(found_n)
+    for q, m in zip(found_q, found_n, strict=True):
+        take(q, m)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -301,11 +325,14 @@ def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
 def _answers(graph: Graph, exact: np.ndarray, ids: np.ndarray, many: np.ndarray, node: np.ndarray, x: np.ndarray, threshold: float) -> pa.RecordBatch:
     hashed = tx.mix(node.astype(np.int64).view(np.uint64))
     audit = np.sort(np.argsort(hashed)[:AUDIT])
-    q, m = links_of(graph, exact, x, threshold, audit)
-    other = node[q] != ids[m]
-    q, m = q[other], m[other]
-    count = np.zeros(len(node), np.int64)
-    np.add.at(count, q, many[m])
+    links = Reduced(len(node), len(ids), many)
+
+    def take(q: np.ndarray, m: np.ndarray) -> None:
+        other = node[q] != ids[m]
+        links.add(q[other], m[other])
+
+    links_of(graph, exact, x, threshold, audit, take)
+    count, (q, m) = links.count, links.pairs()
     some = np.flatnonzero(count)
     keep = forest(node[q], ids[m])
     none = pa.nulls
