@@ -256,6 +256,11 @@ def _may_reach(n: Column, m: Column, threshold: int) -> Column:
     return F.when(F.size("s") != F.size("t"), True).otherwise(differ * (100 + threshold) <= (n + m) * (100 - threshold))
 
 
+def sent(ids: DataFrame) -> DataFrame:
+    """Rows of ids (written down, as they are counted) to join with texts: a short list goes to the texts, a long one meets them in a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def _verified(pairs: DataFrame, known: DataFrame, threshold: int, k: int) -> DataFrame:
     """The pairs whose sets reach the threshold, as (a, b). Only texts that a pair names are read again."""
     ends = pairs.select(F.col("a").alias("doc_id"), F.col("ak").alias("k1")).union(pairs.select("b", "bk")).distinct()

@@ -195,7 +195,8 @@ def detect(docs: DataFrame, *, reach: int | None = None, support: int = 2, gener
         flagged = terms.join(known, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("kind").alias("kind"))
     rank = F.when(F.col("kind") == "remove", KINDS.index("remove")).otherwise(KINDS.index("generalise"))
     spans = flagged.groupBy("key").agg(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", F.lit("").alias("value"))).alias("more"))
-    return base, spans
+    # written down, so that the rows of a text that very many documents have can be dealt out where they meet its spans
+    return base, spans.checkpoint()
 
 
 def _all_spans(base: Column, more: Column) -> Column:

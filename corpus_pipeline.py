@@ -22,17 +22,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shared five-word shingles (Jaccard 0.8) the document of least id stays; of equal ids, one row.
-    Documents without words, and rows without an id, stay."""
+    """Of each group linked by shared five-word shingles (Jaccard 0.8) the document of least id stays; of rows with one id and text, one.
+    Different texts of one id are documents of their own, and of these the one of least hash has the id's place in the order. Documents without
+    words, and rows without an id, stay. Texts are not shuffled for ids that are few enough to be sent to the tasks."""
     prepare(spark)
-    groups = jaccard.groups(docs, k=5, threshold=80)
-    gone = groups.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # equal ids are rare: only their rows are numbered
-    again = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return single.unionByName(first)
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    repeated = docs.select("doc_id", digest.alias("h")).where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("least"), F.count("*").alias("n"))
+    repeated = repeated.where("n > 1").select("doc_id", "least").checkpoint()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", digest.alias("h"))
+    rows = rows.join(jaccard.sent(repeated), "doc_id", "left")
+    other = F.col("least").isNotNull() & (F.col("h") != F.col("least"))
+    rows = rows.withColumn("node", F.when(other, -F.abs(F.xxhash64("doc_id", "h"))).otherwise(F.col("doc_id").cast("long")))
+    groups = jaccard.groups(rows.select(F.col("node").alias("doc_id"), "text"), k=5, threshold=80)
+    gone = groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("node")).distinct().checkpoint()
+    kept = rows.join(jaccard.sent(gone), "node", "left_anti")
+    # equal ids are rare: only their rows are told apart
+    single = kept.where("least is null").select("row.*")
+    return single.unionByName(kept.where("least is not null").dropDuplicates(["node"]).select("row.*"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,17 @@ def test_pii_mixing_and_encoding_are_the_operators(spark, stages):
     assert rows(stages[5].select("doc_id", "n_tokens", "ids_sha256")) == rows(digests)
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    ensure_checkpoint_dir(spark)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(1, a), (2, a + " tail"), (2, b), (2, b), (3, c), (3, c + " tail"), (4, None), (4, None), (4, ""), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.drop_near_copies(spark, df, SF).collect()]
+    # the near copy under id 2 goes, its other text stays once; of the two texts of 3 one stays; rows without an id stay
+    assert (1, a) in got and got.count((2, b)) == 1 and (2, a + " tail") not in got
+    assert sum(i == 3 for i, _ in got) == 1 and got.count((None, a)) == 2 and sum(i == 4 for i, _ in got) == 1
+
+
 def test_odd_documents_go_through(spark, tmp_path):
     ensure_checkpoint_dir(spark)
     schema = "doc_id long, text string, lang string, source string, n_chars long, key string, score double"
