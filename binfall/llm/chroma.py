@@ -2,7 +2,8 @@
 
 A recording becomes frames of twelve pitch classes (short-time spectra folded over the octaves). Sixteen rectangle filters,
 evaluated on the integral image of the frames, are quantised to two bits each, Gray-coded, and packed in one 32-bit integer per
-frame: the fingerprint. Of every eight consecutive codes the one of least hash is a landmark (all codes of a recording of less than 16).
+frame: the fingerprint. A landmark is a pair of codes 16 frames apart, as single codes recur in unlike recordings; of every eight consecutive pairs
+the one of least hash counts. Short recordings have single codes for landmarks.
 
 Two recordings are linked if a quarter of the distinct landmarks of the one with more of them are landmarks of the other too, and if they align:
 the offsets at which landmarks agree are counted, and with each of the top offsets the codes that lie on each other are compared
@@ -44,8 +45,10 @@ THRESHOLDS = (-0.12, 0.0, 0.12)
 SPAN = 16
 #: Offsets tried, bit errors that a matched code may have, and hundredths of the longer recording that must be matched.
 TOP_OFFSETS, MAX_ERRORS, COVERAGE = 4, 4, 75
-#: Consecutive codes that have a landmark, and hundredths of the landmarks of the one with more that linked recordings have in common.
+#: Consecutive pairs that have a landmark, and hundredths of the landmarks of the one with more that linked recordings have in common.
 LANDMARK_RUN, SHARE = 8, 25
+#: Recordings of less codes have no pairs.
+SHORT = SPAN + LANDMARK_RUN
 #: Spectra computed together; pairs of equal landmarks held together; pairs of one code from which on they are counted by transform.
 BLOCK, HITS, MANY = 4096, 1 << 22, 1 << 20
 
@@ -101,31 +104,52 @@ def fingerprint(chroma: np.ndarray) -> np.ndarray:
     return code
 
 
-def landmarks(codes: np.ndarray) -> np.ndarray:
-    """Places of the landmarks. Of codes repeated in a row, every eighth may be one."""
-    n = len(codes)
-    fresh = np.ones(n, bool)
-    fresh[1:] = codes[1:] != codes[:-1]
-    run = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) if n else np.zeros(0, np.int64)
-    at = np.arange(n) if n < 2 * LANDMARK_RUN else np.unique(least(tx.mix(codes.astype(np.uint64)), LANDMARK_RUN))
+def landmarks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and keys of the landmarks, and which are pairs: single codes of less than ``SHORT`` codes, chosen pairs from then on, both where a recording may be
+    linked with shorter ones that have single codes only. Of keys repeated in a row, every eighth counts."""
+    n, single = len(codes), tx.mix(codes.astype(np.uint64))
+    places, keys = [], []
+    if n * COVERAGE < 100 * SHORT:
+        places.append(_thinned(single, np.arange(n)))
+        keys.append(single[places[-1]])
+    if n >= SHORT:
+        pair = tx.mix(single[:-SPAN] * np.uint64(0x9FB21C651E98DF25) + single[SPAN:])
+        places.append(_thinned(pair, np.unique(least(pair, LANDMARK_RUN))))
+        keys.append(pair[places[-1]])
+    paired = [np.full(len(p), n >= SHORT and i == len(places) - 1) for i, p in enumerate(places)]
+    return np.concatenate(places), np.concatenate(keys), np.concatenate(paired)
+
+
+def distinct_landmarks(codes: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys of the single landmarks, and of the pairs."""
+    _, keys, paired = landmarks(codes)
+    return [np.unique(keys[~paired]), np.unique(keys[paired])]
+
+
+def _thinned(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    place = np.arange(len(keys))
+    run = place - np.maximum.accumulate(np.where(fresh, place, 0)) if len(keys) else place
     return at[run[at] % LANDMARK_RUN == 0]
 
 
 def offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How often landmarks of ``a`` and ``b`` agree at each offset (place in a less place in b), from offset ``-len(b)`` on."""
     counts = np.zeros(len(a) + len(b) + 1, np.int64)
-    at, other = landmarks(a), landmarks(b)
-    other = other[np.argsort(b[other], kind="stable")]
-    lo, hi = np.searchsorted(b[other], a[at], "left"), np.searchsorted(b[other], a[at], "right")
-    codes, n = np.unique(a[at[hi > lo]], return_counts=True)
-    first, last = np.searchsorted(b[other], codes, "left"), np.searchsorted(b[other], codes, "right")
-    many = codes[n * (last - first) > MANY]
-    few = (hi > lo) & ~np.isin(a[at], many)
-    for code in many.tolist():
+    (at, key, _), (other, its, _) = landmarks(a), landmarks(b)
+    order = np.argsort(its, kind="stable")
+    other, its = other[order], its[order]
+    lo, hi = np.searchsorted(its, key, "left"), np.searchsorted(its, key, "right")
+    shared, n = np.unique(key[hi > lo], return_counts=True)
+    first, last = np.searchsorted(its, shared, "left"), np.searchsorted(its, shared, "right")
+    many = shared[n * (last - first) > MANY]
+    few = (hi > lo) & ~np.isin(key, many)
+    for k in many:
         size = 1 << int(np.ceil(np.log2(len(counts))))
         x, y = np.zeros(size), np.zeros(size)
-        x[at[a[at] == code]] = 1
-        y[len(b) - other[b[other] == code]] = 1
+        x[at[key == k]] = 1
+        y[len(b) - other[its == k]] = 1
         counts += np.rint(np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), size)[: len(counts)]).astype(np.int64)
     at, lo, hits = at[few], lo[few], (hi - lo)[few]
     ends = np.cumsum(hits)
@@ -158,7 +182,8 @@ def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    x, y = (np.unique(c[landmarks(c)]) for c in (a, b))
+    # by pairs, if both have pairs
+    x, y = (distinct_landmarks(c)[min(len(a), len(b)) >= SHORT] for c in (a, b))
     if not len(x) or not len(y) or 100 * len(np.intersect1d(x, y, assume_unique=True)) < SHARE * max(len(x), len(y)):
         return False
     _, matched, length = alignment(a, b)
@@ -196,27 +221,27 @@ def _aligned(pairs: DataFrame) -> DataFrame:
 
 
 def _marks(classes: DataFrame) -> DataFrame:
-    """(key, d, k1, n, marks): the distinct landmarks of each class, and how many it has."""
+    """(key, d, k1, n, kind, marks): the distinct landmarks of each class, and how many it has of their kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = []
+            each = [np.zeros(0, np.uint64)]
             for x in batch.column(3):
-                codes = np.asarray(x.values.to_numpy(zero_copy_only=False)).view(np.uint32)
-                each.append(np.unique(codes[landmarks(codes)]))
-            sizes = np.array([len(x) for x in each], np.int64)
-            take = pa.array(np.repeat(np.arange(len(each)), sizes))
-            keys = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(i).take(take) for i in range(3)), pa.array(np.repeat(sizes, sizes))], names=["key", "d", "k1", "n", "marks"])
+                each += distinct_landmarks(np.asarray(x.values.to_numpy(zero_copy_only=False)).view(np.uint32))
+            sizes = np.array([len(x) for x in each[1:]], np.int64)
+            take = pa.array(np.repeat(np.arange(len(sizes)) // 2, sizes))
+            kind = np.repeat(np.arange(len(sizes)) % 2, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64)), *(batch.column(i).take(take) for i in range(3)), pa.array(kind), pa.array(np.repeat(sizes, sizes))], names=["key", "d", "k1", "n", "kind", "marks"])
 
-    return classes.select("d", "k1", "n", "codes").mapInArrow(run, "key long, d long, k1 long, n long, marks long")
+    return classes.select("d", "k1", "n", "codes").mapInArrow(run, "key long, d long, k1 long, n long, kind long, marks long")
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """(key, d, k1, n): the rarest landmarks of each class, as many as linked recordings must share one of, without those of one class only."""
+    """(key, d, k1, n): the rarest landmarks of each kind of each class, as many as linked recordings must share one of, without those of one class
+    only."""
     entries = _marks(classes)
     members = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").checkpoint()
-    by_class = Window.partitionBy("d", "k1")
+    by_class = Window.partitionBy("d", "k1", "kind")
     # those of one class only come first in its order; after them, these
     rank = F.row_number().over(by_class.orderBy("members", "key")) + F.col("marks") - F.count("*").over(by_class)
     needed = F.ceil(F.col("marks") * SHARE / 100)
