@@ -1,5 +1,9 @@
 import glob
 import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import __spark_entry__ as entry
 import duckdb
@@ -25,6 +29,16 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_the_rest_stands_without_the_corpus_operators(tmp_path, left):
+    home = pathlib.Path(entry.__file__).parent
+    shutil.copytree(home / "binfall", tmp_path / "binfall", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", *left):
+        shutil.copy(home / name, tmp_path / name)
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == [str(len(QUERIES))] * 2, done.stderr
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
