@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .components import release
 
 #: Words of an anchor run.
 GRAM = 25
@@ -187,19 +188,25 @@ def _results(frame: DataFrame, window: int, carried: list[str], details: bool) -
 def removals(docs: DataFrame, *, window: int = 50, gram: int = GRAM, details: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and with ``details`` kept_text where words were removed (else null) and the
     factors (first word, words, the least document that has them)."""
+    spark = docs.sparkSession
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text")
     segments = _segments(frame.where("doc_id is not null"), window, gram)
     seen = segments.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most"), F.min("content").alias("c1"), F.max("content").alias("c2"))
     shared = seen.where("source < most").select("anchor", "source", (F.col("c1") == F.col("c2")).alias("same")).checkpoint()
+    release(spark)
     touched = segments.drop("content").join(shared, "anchor").where("not same or doc_id > source")
     lists = touched.groupBy("doc_id", "tkey").agg(
         F.collect_set(F.when(F.col("same"), F.struct("first", "last", "source"))).alias("cut"),
         F.collect_set(F.when(~F.col("same"), F.struct("first", "last"))).alias("look"),
     )
+    lists = lists.checkpoint()
+    release(spark)
     affected = frame.join(lists, ["doc_id", "tkey"]).select("doc_id", "tkey", F.col("text").cast("binary").alias("text"), "cut", "look").checkpoint()
+    release(spark)
     opened = affected.where(F.size("look") > 0).select("doc_id", "tkey", F.col("text").cast("string").alias("text"), "look").dropDuplicates(["doc_id", "tkey"])
     windows = _windows(opened, window)
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most")).where("source < most").drop("most").checkpoint()
+    release(spark)
     hits = windows.join(first, ["h1", "h2"]).where("doc_id > source").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "source")).alias("hits"))
     cut = affected.drop("look").join(hits, ["doc_id", "tkey"], "left").select("doc_id", "text", "cut", "hits")
     kinds = dict(cut.dtypes)
