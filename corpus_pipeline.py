@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binfall.llm import bpe, jaccard, mixing, pii, toxicity
+from binfall.llm import bpe, components, jaccard, mixing, pii, toxicity
 from binfall.llm.queries import prepare, table
 
 
@@ -30,12 +30,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = docs.select("doc_id", digest.alias("h")).where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("least"), F.count("*").alias("n"))
     repeated = repeated.where("n > 1").select("doc_id", "least").checkpoint()
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", digest.alias("h"))
-    rows = rows.join(jaccard.sent(repeated), "doc_id", "left")
+    rows = rows.join(components.sent(repeated), "doc_id", "left")
     other = F.col("least").isNotNull() & (F.col("h") != F.col("least"))
     rows = rows.withColumn("node", F.when(other, -F.abs(F.xxhash64("doc_id", "h"))).otherwise(F.col("doc_id").cast("long")))
     groups = jaccard.groups(rows.select(F.col("node").alias("doc_id"), "text"), k=5, threshold=80)
     gone = groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("node")).distinct().checkpoint()
-    kept = rows.join(jaccard.sent(gone), "node", "left_anti")
+    kept = rows.join(components.sent(gone), "node", "left_anti")
     # equal ids are rare: only their rows are told apart
     single = kept.where("least is null").select("row.*")
     return single.unionByName(kept.where("least is not null").dropDuplicates(["node"]).select("row.*"))
