@@ -127,7 +127,8 @@ def canonical(text: Column) -> Column:
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    """Digest of the canonical form. It is said not to be null, or a join on it would compute it once more in a filter, part by part."""
+    return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
 
 
 def known(spark: SparkSession) -> DataFrame:
