@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Every document gets the exponential key ``-ln(u) / quality`` with ``u`` from a digest of its id, so documents of higher
-quality tend to have smaller keys. A source's target in words is met by whole epochs first; what is left is a prefix of
+quality tend to have smaller keys. Quality is what labels say of a document, else a column of the user, else the share of letters. A source's target in words is met by whole epochs first; what is left is a prefix of
 the source in key order, cut where the words taken come nearest to the budget.
 A plan of one row per source, with the key of the last document that is taken, then decides on every document. It is counted
 first: up to ``PLAN_ROWS`` sources it is sent to the tasks, so that documents are not shuffled, let alone by source.
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import sent
+
 #: Longest plan, in sources, that is sent to every task; with more sources, rows meet the plan in a shuffle.
 PLAN_ROWS = 100_000
 #: A word, as a pattern.
@@ -36,6 +38,13 @@ def letter_quality(text: Column) -> Column:
     return F.coalesce(F.lit(0.25) + F.lit(0.75) * kept / F.when(F.length(text) > 0, F.length(text)), F.lit(0.25))
 
 
+def labelled_quality(labels: DataFrame) -> DataFrame:
+    """doc_id and the quality weight of the documents that ``labels`` (doc_id, quality 0 or 1) judge: 1 or a quarter; of several labels the
+    largest counts."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    return known.select("doc_id", F.when(F.col("label") > 0, 1.0).otherwise(0.25).alias("label")).checkpoint()
+
+
 def sampling_key(doc_id: Column, quality: Column, seed: str) -> Column:
     """The exponential key: ``u`` is 52 bits of the digest of seed and id."""
     digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13)
@@ -57,9 +66,13 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _measured(docs: DataFrame, quality: Column | None, seed: str, *kept: Column) -> DataFrame:
-    key = sampling_key(F.col("doc_id"), quality if quality is not None else letter_quality(F.col("text")), seed)
-    return docs.select(*kept, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
+def _measured(docs: DataFrame, quality: Column | None, labels: DataFrame | None, seed: str, *kept: Column) -> DataFrame:
+    weight = quality if quality is not None else letter_quality(F.col("text"))
+    rows = docs.select(*kept, "doc_id", "source", word_count(F.col("text")).alias("size"), weight.alias("weight"))
+    if labels is not None:
+        rows = rows.join(sent(labels), "doc_id", "left").withColumn("weight", F.coalesce("label", "weight"))
+    names = [c for c in rows.columns if c not in ("weight", "label")]
+    return rows.select(*names, sampling_key(F.col("doc_id"), F.col("weight"), seed).alias("key"))
 
 
 def _met(rows: DataFrame, plan: DataFrame, sources: int, *more: Column) -> DataFrame:
@@ -108,15 +121,17 @@ def _times(measured: DataFrame, plan: DataFrame, most: float, buckets: int) -> D
     return rows.withColumn("times", times).drop("epochs", "last", "cut", "key")
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, quality: Column | None = None, buckets: int = 4096, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, quality: Column | None = None, labels: DataFrame | None = None, buckets: int = 4096, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target and times (how often the mix takes the document whole). Texts are read once."""
-    measured = _measured(docs, quality, seed).checkpoint()
+    judged = None if labels is None else labelled_quality(labels)
+    measured = _measured(docs, quality, judged, seed).checkpoint()
     return _times(measured, _plan(measured, weights, share, most, buckets), most, buckets)
 
 
-def take(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, quality: Column | None = None, buckets: int = 4096, seed: str = "mix") -> DataFrame:
+def take(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, quality: Column | None = None, labels: DataFrame | None = None, buckets: int = 4096, seed: str = "mix") -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns of ``docs``. Texts are read twice and, up to ``PLAN_ROWS`` sources, never shuffled."""
-    plan = _plan(_measured(docs, quality, seed).checkpoint(), weights, share, most, buckets)
-    mixed = _times(_measured(docs, quality, seed, F.struct(*docs.columns).alias("kept")), plan, most, buckets).where("times > 0")
+    judged = None if labels is None else labelled_quality(labels)
+    plan = _plan(_measured(docs, quality, judged, seed).checkpoint(), weights, share, most, buckets)
+    mixed = _times(_measured(docs, quality, judged, seed, F.struct(*docs.columns).alias("kept")), plan, most, buckets).where("times > 0")
     copies = mixed.select("kept", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return copies.select("kept.*")

@@ -20,8 +20,8 @@ OP3 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len({WORDS.format("text")}) AS BIGINT) AS size,
     -ln((CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
-      / coalesce(0.25::DOUBLE + 0.75::DOUBLE * length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g')) / CASE WHEN length(text) > 0 THEN length(text) END, 0.25::DOUBLE) AS key
-  FROM documents),
+      / coalesce(CASE WHEN q > 0 THEN 1.0::DOUBLE WHEN q <= 0 THEN 0.25::DOUBLE END, 0.25::DOUBLE + 0.75::DOUBLE * length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g')) / CASE WHEN length(text) > 0 THEN length(text) END, 0.25::DOUBLE) AS key
+  FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id)),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
 o AS (SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST) AS r FROM s),
 l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce((SELECT sum(cap) FROM o p WHERE p.r < o.r), 0)) / (SELECT sum(w) FROM o p WHERE p.r >= o.r) AS level FROM o),

@@ -47,9 +47,9 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
+    """Every document as many times as the mix takes it; labelled quality weighs it."""
     prepare(spark)
-    return mixing.take(docs)
+    return mixing.take(docs, labels=table(spark, sf_dir, "labels"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,13 @@ def test_take_repeats_documents_and_keeps_columns(spark, documents, prose):
     odd = spark.createDataFrame([(1, "a b", "s", 5, 1.0)], "doc_id long, text string, source string, size int, key double")
     assert mixing.take(odd).columns == odd.columns
     assert mixing.mix(documents([])).count() == 0
+
+
+def test_labelled_quality_draws_more(spark, documents, prose):
+    rows = [(i, "word word word word", "s" if i % 2 else "t") for i in range(2000)] + [(None, "no id", "s")]
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(0, 1600)] + [(0, None), (4, 0), (None, 1), (7, 1)], "doc_id long, quality int")
+    got = mixing.mix(documents(rows), weights=(1,), share=0.3, labels=labels).collect()
+    assert len(got) == len(rows)
+    drawn = lambda good: sum(r.times for r in got if r.doc_id is not None and 8 <= r.doc_id < 1600 and (r.doc_id % 4 < 2) == good)
+    assert drawn(True) > 2 * drawn(False) > 0
+    assert sorted(map(str, mixing.take(documents(rows), weights=(1,), share=0.3, labels=labels).select("doc_id").collect())) == sorted(f"Row(doc_id={r.doc_id})" for r in got for _ in range(r.times))

@@ -65,7 +65,7 @@ def test_one_document_of_a_group_stays(stages):
 
 def test_pii_mixing_and_encoding_are_the_operators(spark, stages):
     assert rows(stages[3]) == rows(pii.sanitise(stages[2]))
-    taken = {(r.doc_id, r.times) for r in mixing.mix(stages[3]).where("times > 0").collect()}
+    taken = {(r.doc_id, r.times) for r in mixing.mix(stages[3], labels=table(spark, SF, "labels")).where("times > 0").collect()}
     assert {(r.doc_id, r.n) for r in stages[4].groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == taken
     import public_tokenizers
 
