@@ -22,7 +22,8 @@ Shingles that a sample of documents shows to be frequent are last in the common
 decides where work is spared, not which pairs are found.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words than a shingle is one shingle;
-equal sets are linked; repeated rows and rows that share an id are one node; an empty table gives an empty table;
+equal sets are linked; a very long text is one set, held by one task; repeated rows and rows that share an id are one node; an empty table
+gives an empty table;
 extra columns are ignored. A null doc_id takes no part and is its own component, null.
 """
 

@@ -17,7 +17,7 @@ Everything is built-in SQL functions. Positions come from splitting a text at th
 lengths of pieces and matches add up. The patterns are linear on any text: quantifiers are possessive where the next
 character decides, and a match only starts where a run of its characters starts.
 
-Edge cases: a null text is empty; equal texts get equal spans (they are found once); pairs are counted by documents, copies and repeated
+Edge cases: a null text is empty; a very long text is looked through whole; a null id is kept; equal texts get equal spans (they are found once); pairs are counted by documents, copies and repeated
 rows included, but borne out by different texts only; an empty table gives an empty table; extra columns pass through.
 """
 

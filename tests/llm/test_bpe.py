@@ -72,6 +72,12 @@ def test_empty_table_and_clashing_columns(spark, documents):
     assert bpe.encode(odd, PATH).columns == ["doc_id", *bpe.ADDED]
 
 
+def test_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None)], "doc_id long, text string")
+    rows = bpe.encode(df, PATH, add=("n_tokens", "ids_sha256")).collect()
+    assert len(rows) == 4 and len({r.ids_sha256 for r in rows}) == 2 and sorted(r.n_tokens for r in rows) == [0, 3, 3, 3]
+
+
 def test_failing_joins_merge_chunks_until_all_agree(prose, library, monkeypatch):
     """Joins that are said to fail are encoded as one chunk with what follows; the ids stay the library's."""
     encoder = bpe.ChunkEncoder(PATH)

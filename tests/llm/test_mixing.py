@@ -81,3 +81,15 @@ def test_labelled_quality_draws_more(spark, documents, prose):
     drawn = lambda good: sum(r.times for r in got if r.doc_id is not None and 8 <= r.doc_id < 1600 and (r.doc_id % 4 < 2) == good)
     assert drawn(True) > 2 * drawn(False) > 0
     assert sorted(map(str, mixing.take(documents(rows), weights=(1,), share=0.3, labels=labels).select("doc_id").collect())) == sorted(f"Row(doc_id={r.doc_id})" for r in got for _ in range(r.times))
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    schema = "doc_id long, text string, source string, size long, key double, weight int, label string, target double, kept int, bucket int, times string, open int, cut int"
+    more = (7, 0.5, 1, "l", 2.0, 1, 2, "t", 3, 4)
+    rows = [(1, "word " * 300_000, "a", *more), (2, "two words", "a", *more), (3, "of the other", "b", *more), (3, "of the other", "b", *more), (None, None, None, *[None] * 10)]
+    df = spark.createDataFrame(rows, schema)
+    got = {(r.doc_id, r.source): r for r in mixing.mix(df).collect()}
+    assert got[1, "a"].size == 300_000 and got[1, "a"].source_size == 300_002 and got[None, None].times == 0
+    taken = mixing.take(df)
+    assert taken.columns == df.columns and taken.where("doc_id = 3").count() == 2 * got[3, "b"].times
+    assert mixing.take(df.limit(0)).columns == df.columns and mixing.mix(df.limit(0)).count() == 0
