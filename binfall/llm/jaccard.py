@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import text as tx
-from .components import components, release, sent
+from .components import BROADCAST_ROWS, components, release
 
 #: The shingles whose hash has so many leading zero bits are put in order of their frequency.
 COUNTED_BITS = 2
@@ -258,8 +258,9 @@ def _may_reach(n: Column, m: Column, threshold: int) -> Column:
 def _verified(pairs: DataFrame, known: DataFrame, threshold: int, k: int) -> DataFrame:
     """The pairs whose sets reach the threshold, as (a, b). Only texts that a pair names are read again."""
     ends = pairs.select(F.col("a").alias("doc_id"), F.col("ak").alias("k1")).union(pairs.select("b", "bk")).distinct()
-    ids = ends.select("doc_id").distinct().checkpoint()
-    texts = known.join(sent(ids), "doc_id", "left_semi")
+    # counted first: a short list of ids goes to the texts, a long one meets them in a shuffle
+    ids = ends.select("doc_id").distinct()
+    texts = known.join(F.broadcast(ids) if ends.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
     sets = _sets(texts.select("doc_id", "text"), k).join(ends, ["doc_id", "k1"], "left_semi").dropDuplicates(["doc_id", "k1"]).checkpoint()
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("k1").alias("ak"), F.col("items").alias("x")), ["a", "ak"])
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("k1").alias("bk"), F.col("items").alias("y")), ["b", "bk"])
