@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 #: One chunk ends at about every sixty-fourth space.
 CHUNK_MASK = 63
 #: Entries of the tables of a worker; a full table is emptied.
-CHUNKS, PIECES, JOINS = 20_000, 300_000, 200_000
+CHUNKS, PIECES, JOINS = 5_000, 300_000, 40_000
 #: What a tokenizer is probed with: pieces that must come out alike alone and beside others.
 PROBES = ("a", "the", "word", "Xy", "12", "7", "it's", "...", "-", "(b)", "\u00e9t\u00e9", "\u4e2d\u6587", "q\u00fc", "_", "'s", "3rd")
 #: Marks, controls, white space other than the plain space, and the letter whose lower case depends on what follows it:
