@@ -84,7 +84,7 @@ class Ftrl:
         self.n[at] = grown
 
 
-def fit_arrays(examples: list[tuple[bytes, float]], s: Settings) -> Model:
+def fit_arrays(examples: list[tuple[bytes | pa.Buffer, float]], s: Settings) -> Model:
     """``examples``: packed coordinates and label, in the order to visit them."""
     ftrl = Ftrl(s)
     for _ in range(s.epochs):
@@ -104,7 +104,7 @@ def packed(places: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
     x = np.frombuffer(data, "<u2").astype(np.int64)
     return np.cumsum(x)[x < 65535]
 
@@ -127,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.binary())], names=["doc_id", "y", "o", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(x, y) for batch in batches for x, y in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        # views of the batches, which stay as they came
+        examples = [(x.as_buffer(), y) for batch in batches for x, y in zip(batch.column(3), batch.column(1).to_pylist(), strict=True)]
         if examples:
             m = fit_arrays(examples, settings)
             yield pa.RecordBatch.from_arrays([pa.array([m.intercept]), pa.array([m.index.tolist()], pa.list_(pa.int64())), pa.array([m.weight.tolist()], pa.list_(pa.float64()))], names=["intercept", "places", "weights"])
