@@ -76,3 +76,43 @@ word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FRO
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM w LEFT JOIN kept k USING (doc_id)
 """
+
+_FIELD = "coalesce(octet_length(encode({0})) || ':' || {0}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+# CRC-32 by its polynomial, a bit at a time; trees a level at a time, the next level while any tree has more than one node
+OP11 = f"""
+WITH RECURSIVE table_of(t) AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([CAST(i AS BIGINT)], range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))),
+d AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("CAST(n_chars AS HUGEINT) + 1")} AS forged,
+    xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+  FROM documents, table_of),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d),
+nodes(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM p
+  UNION ALL
+  SELECT tree, any_value(level) + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY tree, pos // 2),
+subs AS (SELECT tree, h AS subroot FROM nodes WHERE n = 1),
+tops(level, pos, h, n) AS (
+  SELECT 0, tree, subroot, count(*) OVER () FROM subs
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM tops WHERE n > 1 GROUP BY pos // 2),
+up(doc, id, leaf, tree, level, pos, h, proof) AS (
+  SELECT row_number() OVER (), doc_id, leaf, tree, 0, pos, CASE WHEN crc % 7 = 0 THEN forged ELSE leaf END, '' FROM p
+  UNION ALL
+  SELECT doc, id, leaf, up.tree, up.level + 1, up.pos // 2, sha256(CASE WHEN s.h IS NULL THEN up.h WHEN up.pos % 2 = 0 THEN up.h || s.h ELSE s.h || up.h END), proof || coalesce(s.h, '')
+  FROM up JOIN nodes o ON o.tree = up.tree AND o.level = up.level AND o.pos = up.pos AND o.n > 1 LEFT JOIN nodes s ON s.tree = up.tree AND s.level = up.level AND s.pos = xor(up.pos, 1)),
+subbed AS (SELECT up.* FROM up JOIN nodes o ON o.tree = up.tree AND o.level = up.level AND o.pos = up.pos AND o.n = 1),
+over(doc, id, leaf, tree, level, pos, h, proof) AS (
+  SELECT doc, id, leaf, tree, 0, tree, h, proof FROM subbed
+  UNION ALL
+  SELECT doc, id, leaf, tree, over.level + 1, over.pos // 2, sha256(CASE WHEN s.h IS NULL THEN over.h WHEN over.pos % 2 = 0 THEN over.h || s.h ELSE s.h || over.h END), proof || coalesce(s.h, '')
+  FROM over JOIN tops o ON o.level = over.level AND o.pos = over.pos AND o.n > 1 LEFT JOIN tops s ON s.level = over.level AND s.pos = xor(over.pos, 1)),
+root AS (SELECT h AS root FROM tops WHERE n = 1)
+SELECT id AS doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, over.h AS folded_root, over.h = root AS verified
+FROM over JOIN tops o ON o.level = over.level AND o.pos = over.pos AND o.n = 1 JOIN subs ON subs.tree = over.tree CROSS JOIN root
+"""
