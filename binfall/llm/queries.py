@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chroma, htmlmain, jaccard, licenses, manifest, mixing, neighbours, oracles, pii, substrings, toxicity, whitening
+from . import bpe, chroma, htmlmain, jaccard, licenses, manifest, mixing, multiprobe, neighbours, oracles, pii, substrings, toxicity, whitening
 
 
 BATCH_BYTES, BATCH_BYTES_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
@@ -105,6 +105,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return multiprobe.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_pii": op2_pii,
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
     "op11_merkle": op11_merkle,
     "op12_whitening": op12_whitening,
+    "op13_multiprobe": op13_multiprobe,
 }
 
 ORACLES: dict[str, str] = {"op1_neighbours": oracles.OP1, "op3_mix": oracles.OP3, "op4_licenses": oracles.OP4, "op6_jaccard": oracles.OP6, "op10_substrings": oracles.OP10, "op11_merkle": oracles.OP11}
