@@ -12,6 +12,7 @@ from .cells import (
     validate_packed,
 )
 from .convert import narrow, narrow_total, widen
+from .mixed import add_mixed, align, dense_to_mixed, downsample_mixed, mixed_to_dense, record_mixed, same_configs, subtract_aligned
 from .ranks import (
     bucket_quantile_range,
     buckets,
@@ -27,7 +28,7 @@ from .ranks import (
 )
 
 __all__ = [
-    "add", "bucket_quantile_range", "buckets", "cumulate", "cumulative_to_cells", "dense_buckets", "dense_to_cells", "downsample", "extremes", "individual_counts",
+    "add", "add_mixed", "align", "dense_to_mixed", "downsample_mixed", "mixed_to_dense", "record_mixed", "same_configs", "subtract_aligned", "bucket_quantile_range", "buckets", "cumulate", "cumulative_to_cells", "dense_buckets", "dense_to_cells", "downsample", "extremes", "individual_counts",
     "is_empty", "mean", "narrow", "narrow_total", "non_zero", "overwrite", "packed_to_cells", "percentiles", "quantiles", "record", "rolled_up", "subtract", "to_dense",
     "to_packed",
     "totals", "validate_packed", "widen", "with_quantile_ranges",

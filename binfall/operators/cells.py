@@ -42,20 +42,25 @@ def dense_buckets(cells: DataFrame, keys: list[str], config: Config) -> DataFram
     return to_dense(cells, keys, config).select(*keys, F.posexplode("counts").alias("idx", "cnt")).withColumn("idx", F.col("idx").cast("long"))
 
 
+def filled(c: str, kind: str, total: Column) -> Column:
+    """The counters of an array ``c`` of (idx, cnt), ascending, with zeros in the gaps, ``total`` in all."""
+    zero = F.lit(0).cast(kind)
+    end = F.coalesce(F.get(c, F.size(c) - 1)["idx"], F.lit(-1)).cast("int")
+
+    def upto(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(c, i - 1)["idx"], F.lit(-1))
+        return F.concat(F.array_repeat(zero, (x["idx"] - before - 1).cast("int")), F.array(x["cnt"]))
+
+    return F.flatten(F.concat(F.transform(c, upto), F.array(F.array_repeat(zero, total.cast("int") - 1 - end))))
+
+
 def to_dense(cells: DataFrame, keys: list[str], config: Config) -> DataFrame:
     """One array of all counters per distribution, with its parameters: (keys..., p, n, counts). At most ``total_buckets`` values each. The
     gaps between a distribution's cells are filled in place; without keys, no cells are one distribution of zeros."""
     if config.total_buckets >= ARRAY_LIMIT:
         raise IncompatibleParameters("too many buckets for a dense form")
     rows = cells.where("idx is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "cnt"))).alias("c"))
-    zero = F.lit(0).cast(dict(cells.dtypes)["cnt"])
-    end = F.coalesce(F.get("c", F.size("c") - 1)["idx"], F.lit(-1)).cast("int")
-
-    def upto(x: Column, i: Column) -> Column:
-        before = F.coalesce(F.get("c", i - 1)["idx"], F.lit(-1))
-        return F.concat(F.array_repeat(zero, (x["idx"] - before - 1).cast("int")), F.array(x["cnt"]))
-
-    counts = F.flatten(F.concat(F.transform("c", upto), F.array(F.array_repeat(zero, F.lit(config.total_buckets - 1) - end))))
+    counts = filled("c", dict(cells.dtypes)["cnt"], F.lit(config.total_buckets))
     return rows.select(*keys, F.lit(config.p).cast("tinyint").alias("p"), F.lit(config.n).cast("tinyint").alias("n"), counts.alias("counts"))
 
 

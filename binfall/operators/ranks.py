@@ -94,8 +94,8 @@ def mean(cells: DataFrame, keys: list[str], config: Config) -> DataFrame:
     low = F.pmod(cnt, half).cast("decimal(10,0)")
     high = ((cnt - low) / half).cast("decimal(10,0)")
     part = lambda x: F.sum((ends * x).cast("decimal(38,0)")).cast("double")
-    sums = _grouped(cells, keys).agg((part(high) * float(1 << 32) + part(low)).alias("s"), F.sum(cnt).alias("n"))
-    return sums.select(*keys, F.when(F.col("n") > 0, F.col("s") / 2 / F.col("n").cast("double")).alias("mean"))
+    sums = _grouped(cells, keys).agg((part(high) * float(1 << 32) + part(low)).alias("_sum"), F.sum(cnt).alias("_count"))
+    return sums.select(*keys, F.when(F.col("_count") > 0, F.col("_sum") / 2 / F.col("_count").cast("double")).alias("mean"))
 
 
 def buckets(cells: DataFrame, keys: list[str], config: Config) -> DataFrame:

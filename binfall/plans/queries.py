@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bucketing import Config
+from ..functions.rowconfig import RowConfig, same_parameters
 from ..functions.width import U32
-from ..operators import algebra, cells, convert, footprint
+from ..operators import algebra, cells, convert, footprint, mixed
 from ..operators import ranks as qt
 from ..streaming import recorder
 
@@ -533,3 +534,98 @@ def truncation_saving(spark, sf_dir):
 @query(f"SELECT k, idx, cnt FROM ({ORDER_COUNTS}) WHERE idx >= {MONEY.index(1 << 24)}")
 def truncated_cells(spark, sf_dir):
     return footprint.truncated(order_cells(spark, sf_dir), MONEY, 24)
+
+
+# --- parameters by row -------------------------------------------------------------------------------------------------------
+
+#: Of each remainder of the line number by three, the parameters its prices are recorded at.
+MIXED = {0: (8, 40), 1: (5, 50), 2: (7, 62)}
+_OF = "CASE l_linenumber % 3 " + " ".join(f"WHEN {r} THEN {{{r}}}" for r in MIXED) + " END"
+
+
+def _by_row(f) -> str:
+    return _OF.format(*(f(p, n) for p, n in MIXED.values()))
+
+
+_P, _N = _by_row(lambda p, n: f"CAST({p} AS TINYINT)"), _by_row(lambda p, n: f"CAST({n} AS TINYINT)")
+_ROW_INDEX = _by_row(lambda p, n: _index(PRICE, p))
+
+
+def mixed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.col("l_linenumber") % 3
+    pick = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in MIXED.items() for x in (k, v[i]))), r)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", pick(0).alias("p"), pick(1).alias("n"), cents("l_extendedprice").alias("v"))
+
+
+def mixed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed.record_mixed(mixed_prices(spark, sf_dir), ["l_returnflag"], F.col("v"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, p, idx, {_OF.format(*(_lower('idx', p) for p, _ in MIXED.values()))} AS lo, {_OF.format(*(_upper('idx', p) for p, _ in MIXED.values()))} AS hi FROM (SELECT l_orderkey, l_linenumber, {_P} AS p, {_ROW_INDEX} AS idx FROM lineitem)")
+def mixed_bounds(spark, sf_dir):
+    c = RowConfig()
+    rows = mixed_prices(spark, sf_dir).withColumn("idx", c.index_of(F.col("v")))
+    return rows.select("l_orderkey", "l_linenumber", F.col("p").cast("tinyint"), "idx", c.lower_of(F.col("idx")).alias("lo"), c.upper_of(F.col("idx")).alias("hi"))
+
+
+_PAIR = "SELECT DISTINCT CAST(l_linenumber * 5 AS INTEGER) AS p, CAST(l_quantity AS INTEGER) + 16 AS n FROM lineitem"
+
+
+@query(
+    f"SELECT p, n, status, CASE WHEN status IS NULL THEN CAST((n - p + 1) * pow(2, p) AS BIGINT) END AS buckets, CASE WHEN status IS NULL THEN CASE WHEN p = n - 1 THEN 0 ELSE 100 / pow(2, p) END END AS error, n = p + 1 AS finest "
+    f"FROM (SELECT *, CASE WHEN n > 64 THEN 'MaxPowerTooHigh' WHEN p >= n THEN 'MaxPowerTooLow' WHEN (n - p + 1) * pow(2, p) >= 4294967296 THEN 'IncompatibleParameters' END AS status FROM ({_PAIR}))"
+)
+def mixed_parameters(spark, sf_dir):
+    """Which pairs of parameters that rows bring are configurations, and which of them are equal to the finest of their p."""
+    c = RowConfig(wide=True)
+    pairs = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") * 5).alias("p"), (F.col("l_quantity").cast("int") + 16).alias("n")).distinct()
+    status = c.error_name()
+    good = lambda x: F.when(status.isNull(), x)
+    return pairs.select("p", "n", status.alias("status"), good(c.total_buckets_of()).alias("buckets"), good(c.error_of()).alias("error"), same_parameters(F.col("p"), F.col("n"), F.col("p"), F.col("p") + 1).alias("finest"))
+
+
+@query(f"SELECT l_returnflag, {_P} AS p, {_N} AS n, {_ROW_INDEX} AS idx, count(*) AS cnt FROM lineitem GROUP BY 1, 2, 3, 4")
+def mixed_record(spark, sf_dir):
+    return mixed_cells(spark, sf_dir)
+
+
+@query(f"SELECT l_returnflag, CAST(5 AS TINYINT) AS p, CAST(62 AS TINYINT) AS n, {_index(PRICE, 5)} AS idx, count(*) AS cnt FROM lineitem GROUP BY 1, 4")
+def mixed_aligned(spark, sf_dir):
+    return mixed.align(mixed_cells(spark, sf_dir), ["l_returnflag"])
+
+
+@query(_ranked("lineitem", "l_returnflag", PRICE, 5, QS))
+def mixed_quantiles(spark, sf_dir):
+    """Recorded at three pairs of parameters, aligned and merged: the quantiles are those of recording at the common one."""
+    found = qt.quantiles(mixed.align(mixed_cells(spark, sf_dir), ["l_returnflag"]), ["l_returnflag", "p", "n"], QS, RowConfig())
+    return _spread(found, "l_returnflag")
+
+
+@query(f"SELECT l_returnflag, {_P} AS p, {_N} AS n, {_OF.format(*(_index(PRICE, p - 2) for p, _ in MIXED.values()))} AS idx, count(*) AS cnt FROM lineitem GROUP BY 1, 2, 3, 4".replace(_P, f"CAST({_P} - 2 AS TINYINT)"))
+def mixed_downsample(spark, sf_dir):
+    return mixed.downsample_mixed(mixed_cells(spark, sf_dir), ["l_returnflag"], F.col("p") - 2)
+
+
+@query(f"SELECT l_returnflag, CASE WHEN count(DISTINCT {_P}) > 1 THEN 'IncompatibleParameters' END AS status FROM lineitem GROUP BY 1")
+def mixed_merge_status(spark, sf_dir):
+    counted = mixed_cells(spark, sf_dir)
+    return mixed.add_mixed(counted.where("p = 8"), counted.where("p <> 8"), ["l_returnflag"], errors="status")
+
+
+@query(f"SELECT l_returnflag, CAST(5 AS TINYINT) AS p, CAST(62 AS TINYINT) AS n, {_index(PRICE, 5)} AS idx, count(*) AS cnt FROM lineitem GROUP BY 1, 4")
+def mixed_merge_aligned(spark, sf_dir):
+    counted = mixed_cells(spark, sf_dir)
+    return _plain(mixed.add_mixed(counted.where("p = 8"), counted.where("p <> 8"), ["l_returnflag"], mismatch="align"))
+
+
+@query(f"SELECT l_returnflag, CAST(5 AS TINYINT) AS p, CAST(62 AS TINYINT) AS n, {_index(PRICE, 5)} AS idx, count(*) FILTER (WHERE l_linenumber % 3 <> 0) AS cnt FROM lineitem GROUP BY 1, 4")
+def mixed_subtract(spark, sf_dir):
+    counted = mixed_cells(spark, sf_dir)
+    return _plain(mixed.subtract_aligned(counted, counted.where("p = 8"), ["l_returnflag"]))
+
+
+@query(f"SELECT l_returnflag, {_by_row(lambda p, n: f'CAST({p - 4} AS TINYINT)')} AS p, CAST(26 AS TINYINT) AS n, {_by_row(lambda p, n: _index(PRICE, p - 4))} AS idx, count(*) AS cnt FROM lineitem GROUP BY 1, 2, 4")
+def mixed_dense_roundtrip(spark, sf_dir):
+    rows = mixed_prices(spark, sf_dir).select("l_returnflag", (F.col("p") - 4).alias("p"), F.lit(26).alias("n"), "v")
+    dense = mixed.mixed_to_dense(mixed.record_mixed(rows, ["l_returnflag"], F.col("v")), ["l_returnflag"])
+    return mixed.dense_to_mixed(dense, ["l_returnflag"])
