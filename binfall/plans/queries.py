@@ -5,6 +5,8 @@ Values are money in cents. The SQL ranks and groups raw values where it can, rat
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +17,7 @@ from ..functions.rowconfig import RowConfig, same_parameters
 from ..functions.width import U32
 from ..operators import algebra, cells, convert, footprint, mixed
 from ..operators import ranks as qt
+from ..sources import read_recordings, write_recordings
 from ..streaming import recorder
 
 WIDE, FINE, SMALL, COARSE = Config(7, 64), Config(8, 63), Config(2, 26), Config(4, 63)
@@ -629,3 +632,37 @@ def mixed_dense_roundtrip(spark, sf_dir):
     rows = mixed_prices(spark, sf_dir).select("l_returnflag", (F.col("p") - 4).alias("p"), F.lit(26).alias("n"), "v")
     dense = mixed.mixed_to_dense(mixed.record_mixed(rows, ["l_returnflag"], F.col("v")), ["l_returnflag"])
     return mixed.dense_to_mixed(dense, ["l_returnflag"])
+
+
+# --- recordings in files -----------------------------------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster's driver and executors share; on one machine, where none is named, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{uuid.uuid4().hex}"
+
+
+_RECORDED = ", ".join(f"('{c}', {p}, {n}, '{k}')" for c, p, n, k in (("price", 2, 26, "1-URGENT"), ("price", 2, 26, "2-HIGH"), ("price", 3, 27, "3-MEDIUM"), ("price", 3, 27, "5-LOW"), ("day", 2, 26, "3-MEDIUM"), ("day", 2, 26, "5-LOW")))
+
+
+@query(
+    f"SELECT \"column\", CAST(p AS TINYINT) AS p, CAST(n AS TINYINT) AS n, CASE WHEN \"column\" = 'day' THEN {_index('d', 2)} WHEN p = 2 THEN {_index('v', 2)} ELSE {_index('v', 3)} END AS idx, count(*) AS cnt "
+    f"FROM (SELECT o_orderpriority AS k, {TOTAL} AS v, CAST(dayofyear(o_orderdate) AS BIGINT) AS d FROM orders) JOIN (VALUES {_RECORDED}) r(\"column\", p, n, k) USING (k) GROUP BY 1, 2, 3, 4"
+)
+def recorded_files(spark, sf_dir):
+    """Recordings written to two folders with other parameters and columns, read back in one pass, and merged by column and parameters."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), cents("o_totalprice").alias("v"), F.dayofyear("o_orderdate").cast("long").alias("d"))
+    out, finer = scratch(spark), Config(3, 27)
+
+    def dense(part: DataFrame, value: str, config: Config) -> DataFrame:
+        return cells.to_dense(cells.record(part, ["k"], F.col(value), config), ["k"], config).select("k", F.col("counts").alias(value))
+
+    early, late = rows.where("k in ('1-URGENT', '2-HIGH')"), rows.where("k in ('3-MEDIUM', '5-LOW')")
+    write_recordings(dense(early, "v", SMALL).withColumnRenamed("v", "price"), f"{out}/early", {"price": SMALL})
+    both = dense(late, "v", finer).join(dense(late, "d", SMALL), "k").withColumnsRenamed({"v": "price", "d": "day"})
+    write_recordings(both, f"{out}/late", {"price": finer, "day": SMALL})
+    found = mixed.dense_to_mixed(read_recordings(spark, out, kind="distribution"), ["column"])
+    return found.groupBy("column", "p", "n", "idx").agg(F.sum("cnt").cast("long").alias("cnt"))

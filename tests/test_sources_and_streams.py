@@ -14,9 +14,9 @@ C = Config(1, 3)
 
 
 def test_recordings_written_by_others(spark, tmp_path):
-    meta = {"metric_type": "histogram", "grouping_power": "1", "max_value_power": "3"}
+    meta = {"metric_type": "distribution", "grouping_power": "1", "max_value_power": "3"}
     lists = pa.list_(pa.uint64())
-    schema = pa.schema([pa.field("a", lists, metadata=meta), pa.field("b", lists, metadata={"metric_type": "histogram"}), pa.field("c", pa.int64()), pa.field("d", lists, metadata={**meta, "grouping_power": "9"})])
+    schema = pa.schema([pa.field("a", lists, metadata=meta), pa.field("b", lists, metadata={"metric_type": "distribution"}), pa.field("c", pa.int64()), pa.field("d", lists, metadata={**meta, "grouping_power": "9"})])
     good = [0, 1, 0, 2**64 - 1, 0, 0]
     table = pa.table([[good, None, [1, 2], [0, None, 1, 0, 0, 0, 5]], [good] * 4, [1] * 4, [good] * 4], schema=schema)
     pq.write_table(table, tmp_path / "r.parquet")
@@ -33,12 +33,79 @@ def test_recordings_written_by_others(spark, tmp_path):
     assert recorded_columns(spark, str(tmp_path / "more")) == {"a": [C, Config(1, 4)], "e": [C]}
     many = read_recordings(spark, str(tmp_path / "more"))
     assert sorted((r.column, r.n, len(r.counts)) for r in many.collect()) == [("a", 3, 6), ("a", 3, 6), ("a", 4, 8), ("e", 3, 6)]
-    assert many._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1 and "Join" not in plan and "Exchange" not in plan
     pq.write_table(table.select(["c"]), tmp_path / "none.parquet")
     with pytest.raises(IncompatibleParameters):
         read_recordings(spark, str(tmp_path / "none.parquet"))
 
 
+def recording(n, seed, p=1, names=("a",)):
+    meta = {"metric_type": "distribution", "grouping_power": str(p), "max_value_power": "3"}
+    size = Config(p, 3).total_buckets
+    return pa.table([[[(seed + i + j) % 5 for j in range(size)] for i in range(n)] for _ in names], schema=pa.schema([pa.field(c, pa.list_(pa.uint64()), metadata=meta) for c in names]))
+
+
+def tasks_of(spark, df, run):
+    """Tasks and jobs that an action took."""
+    tracker, group = spark.sparkContext.statusTracker(), f"g{id(df)}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        out = run(df)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = tracker.getJobIdsForGroup(group)
+    return out, sum(tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s))
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for i in range(2000):
+        pq.write_table(recording(1, i, p=i % 2, names=("a", "b") if i % 3 else ("c",)), tmp_path / f"{i:05}.parquet")
+    (tmp_path / "_SUCCESS").touch()
+    df = read_recordings(spark, str(tmp_path))
+    got, tasks = tasks_of(spark, df, lambda d: d.select("column", "p", "n", "file", F.size("counts").alias("s")).collect())
+    assert len(got) == 2 * 1333 + 667 and tasks == 1
+    assert {(r.column, r.p, r.n, r.s) for r in got} == {(c, p, 3, Config(p, 3).total_buckets) for c in "abc" for p in (0, 1)}
+    assert len({r.file for r in got}) == 2000
+    many = read_recordings(spark, str(tmp_path), groupBytes="200000")
+    assert tasks_of(spark, many, lambda d: d.count())[0] == len(got)
+
+
+def test_files_and_columns_that_are_not_asked_for_stay_closed(spark, tmp_path):
+    for i in range(6):
+        pq.write_table(recording(4, i, p=i % 2, names=("a", "b")), tmp_path / f"{i}.parquet")
+    df = read_recordings(spark, str(tmp_path))
+    # one query's filters do not stay for the next
+    assert [df.count(), df.where("column = 'a'").count(), df.count(), df.where("column = 'b' and p = 1").count()] == [48, 24, 48, 12]
+    (tmp_path / "9.parquet").write_bytes(b"no parquet")
+    assert read_recordings(spark, str(tmp_path), pathGlobFilter="[0-5].parquet", columns=["b"]).select("column", "p").distinct().count() == 2
+    with pytest.raises(PySparkException):
+        read_recordings(spark, str(tmp_path)).collect()
+    assert read_recordings(spark, str(tmp_path), pathGlobFilter="[01].parquet", kind="distribution").count() == 16
+    with pytest.raises(IncompatibleParameters):
+        read_recordings(spark, str(tmp_path), kind="counter", pathGlobFilter="[01].parquet")
+
+
+def test_a_large_file_is_dealt_out_in_ranges(spark, tmp_path):
+    pq.write_table(recording(400, 0), tmp_path / "r.parquet", row_group_size=10)
+    size = (tmp_path / "r.parquet").stat().st_size
+    whole = read_recordings(spark, str(tmp_path)).collect()
+    parts = read_recordings(spark, str(tmp_path), groupBytes=str(size // 7))
+    assert sorted(parts.collect()) == sorted(whole) and len(whole) == 400
+    assert parts.select(F.spark_partition_id().alias("i")).distinct().count() > 2
+
+
+def test_stores_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    from binfall.sources import recordings
+
+    pq.write_table(recording(5, 1, names=("a", "b")), tmp_path / "r.parquet")
+    straight = read_recordings(spark, str(tmp_path)).drop("file").collect()
+    monkeypatch.setattr(recordings, "OPENED", set())
+    assert sorted(read_recordings(spark, str(tmp_path)).drop("file").collect()) == sorted(straight)
+    assert recorded_columns(spark, str(tmp_path)) == {"a": [C], "b": [C]}
+    assert read_recordings(spark, str(tmp_path), columns=["a"]).count() == 5
+
+
 def cells_of(spark, values):
     return record(spark.createDataFrame([("x", v) for v in values], "k string, v long"), ["k"], F.col("v"), C)
 
