@@ -18,7 +18,7 @@ from ..functions.width import U32
 from ..operators import algebra, cells, convert, footprint, mixed
 from ..operators import ranks as qt
 from ..sources import read_recordings, write_recordings
-from ..streaming import recorder
+from ..streaming import recorder, stateful
 
 WIDE, FINE, SMALL, COARSE = Config(7, 64), Config(8, 63), Config(2, 26), Config(4, 63)
 MONEY = Config(7, 62)
@@ -504,6 +504,25 @@ def session_cells(spark, sf_dir):
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.explode("counts").alias("idx", "cnt"))
 
 
+_SESSIONS = f"SELECT event_type, s, {_index('v', 4)} AS idx, user_id, min(ts) OVER (PARTITION BY event_type, s) AS a, max(ts) OVER (PARTITION BY event_type, s) AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT event_type, ts, user_id, {VALUE} AS v, CASE WHEN ts <= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 40 MINUTE THEN 0 ELSE 1 END AS fresh FROM events))"
+
+
+@query(f"SELECT event_type, a AS start, z + INTERVAL 40 MINUTE AS \"end\", idx, CAST(sum(CAST(user_id AS HUGEINT) * 4611686018427387904) % 18446744073709551616 AS VARCHAR) AS cnt FROM ({_SESSIONS}) GROUP BY 1, 2, 3, 4")
+def session_weights(spark, sf_dir):
+    """Sessions of few keys, so long ones, with weights that wrap at 64 bits."""
+    rows = table(spark, sf_dir, "events").select("event_type", "ts", "user_id", cents("value").alias("v"))
+    weight = F.col("user_id").cast("decimal(10,0)") * F.lit(1 << 62).cast("decimal(20,0)")
+    found = recorder.session_cells(rows, ["event_type"], "ts", F.col("v"), COARSE, weight=F.pmod(weight, F.lit(str(1 << 64)).cast("decimal(30,0)")), gap="40 minutes")
+    return found.select("event_type", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "idx", F.col("cnt").cast("string").alias("cnt"))
+
+
+@query(f"SELECT event_type, date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", CASE WHEN {VALUE} < 16384 THEN {_index(VALUE, 4)} ELSE -1 END AS idx, count(*) AS cnt FROM events GROUP BY 1, 2, 3, 4")
+def windows_out_of_range(spark, sf_dir):
+    """Windows that also say how many values were beyond the range."""
+    w = recorder.windowed_counts(events(spark, sf_dir), ["event_type"], "ts", F.col("v"), Config(4, 14), invalid="flag")
+    return w.select("event_type", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), F.coalesce("idx", F.lit(-1).cast("long")).alias("idx"), "cnt")
+
+
 # --- footprint ---------------------------------------------------------------------------------------------------------------
 
 _SIZES = f"SELECT k, count(*) AS nnz, {footprint.DENSE_STRUCT + 8 * MONEY.total_buckets} AS dense_bytes, {footprint.SPARSE_STRUCT} + 12 * count(*) AS sparse_bytes, {footprint.CUMULATIVE_STRUCT} + 12 * count(*) AS cumulative_bytes FROM ({ORDER_COUNTS}) GROUP BY 1"
@@ -666,3 +685,62 @@ def recorded_files(spark, sf_dir):
     write_recordings(both, f"{out}/late", {"price": finer, "day": SMALL})
     found = mixed.dense_to_mixed(read_recordings(spark, out, kind="distribution"), ["column"])
     return found.groupBy("column", "p", "n", "idx").agg(F.sum("cnt").cast("long").alias("cnt"))
+
+
+# --- recorders that keep running -----------------------------------------------------------------------------------------------
+
+HALF = "2024-01-16"
+_STAGES = f"SELECT event_type, CASE WHEN ts < TIMESTAMP '{HALF}' THEN 1 ELSE 2 END AS stage, {VALUE} AS v, user_id FROM events"
+
+
+def staged(spark: SparkSession, sf_dir: str, home: str, make: Callable[[DataFrame], DataFrame], *stages: int) -> DataFrame:
+    """What a streaming query of ``make`` gives out over the events of each stage, followed by a request for a load of every type with the stage's number.
+    The query ends after every stage and starts again from its checkpoint."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.when(F.col("ts") < F.lit(HALF).cast("timestamp_ntz"), 1).otherwise(2).alias("stage"), F.lit("record").alias("event"), cents("value").alias("v"), "user_id")
+    asked = rows.select("event_type", "stage").distinct().select("event_type", "stage", F.lit("load").alias("event"), F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("user_id"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    stateful.use_rocksdb(spark)
+    try:
+        for stage in stages:
+            rows.where(F.col("stage") == stage).unionByName(asked.where(F.col("stage") == stage)).write.mode("append").parquet(f"{home}/in")
+            source = spark.readStream.schema(rows.schema).parquet(f"{home}/in")
+            run = make(source).writeStream.format("parquet").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(f"{home}/out")
+            run.awaitTermination()
+    finally:
+        if before is not None:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(f"{home}/out")
+
+
+def running(source: DataFrame, **more) -> DataFrame:
+    return stateful.running_cells(source, ["event_type"], F.col("v"), COARSE, event=F.col("event"), tag=F.col("stage"), **more)
+
+
+@query(f"SELECT event_type, CAST(t AS BIGINT) AS stage, {_index('v', 4)} AS idx, CAST(count(*) AS BIGINT) AS cnt FROM ({_STAGES}) JOIN (VALUES (1), (2)) x(t) ON stage <= t GROUP BY 1, 2, 3")
+def running_loads(spark, sf_dir):
+    """Two loads of a recorder that goes on counting, with a restart between them."""
+    out = staged(spark, sf_dir, scratch(spark), lambda s: running(s, parts=4), 1, 2)
+    return out.select("event_type", F.col("tag").alias("stage"), "idx", F.col("cnt").cast("long").alias("cnt"))
+
+
+@query(f"SELECT event_type, {_index('v', 4)} AS idx, CAST(count(*) FILTER (WHERE stage = 1) AS BIGINT) AS before, CAST(count(*) AS BIGINT) AS cnt FROM ({_STAGES}) GROUP BY 1, 2")
+def running_snapshot(spark, sf_dir):
+    """The counters in a recorder's state, after its last batch and as they were after its first."""
+    home = scratch(spark)
+    staged(spark, sf_dir, home, running, 1, 2)
+    now, first = (stateful.snapshot(spark, f"{home}/state", ["event_type"], batch=b) for b in (None, 0))
+    both = now.withColumn("before", F.lit(0)).unionByName(first.withColumn("before", F.col("cnt")).withColumn("cnt", F.lit(0)))
+    return both.groupBy("event_type", "idx").agg(*(F.sum(c).cast("long").alias(c) for c in ("before", "cnt")))
+
+
+@query(
+    f"SELECT event_type, {_index('v', 4)} AS idx, CAST(coalesce(sum(CAST(user_id AS HUGEINT) * 100000000) FILTER (WHERE stage = 1), 0) % 4294967296 + coalesce(sum(CAST(user_id AS HUGEINT) * 100000000) FILTER (WHERE stage = 2), 0) AS BIGINT) AS cnt "
+    f"FROM ({_STAGES}) GROUP BY 1, 2 HAVING cnt <> 0"
+)
+def running_widened(spark, sf_dir):
+    """A recorder of 32 bits, which wraps, hands its counters to one of 64 bits, which goes on with them."""
+    home, weight = scratch(spark), F.col("user_id") * 100_000_000
+    staged(spark, sf_dir, f"{home}/narrow", lambda s: running(s, weight=weight, width=U32), 1)
+    start = stateful.snapshot(spark, f"{home}/narrow/state", ["event_type"])
+    staged(spark, sf_dir, f"{home}/wide", lambda s: running(s, weight=weight, initial=start), 2)
+    return stateful.snapshot(spark, f"{home}/wide/state", ["event_type"]).withColumn("cnt", F.col("cnt").cast("long"))

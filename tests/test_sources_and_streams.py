@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -6,7 +8,7 @@ from binfall.functions import U32, Config
 from binfall.operators import dense_to_cells, record, to_dense, to_packed
 from binfall.operators.footprint import report, sizes
 from binfall.sources import form_schema, from_json, read_recordings, recorded_columns, to_json, write_recordings
-from binfall.streaming import deltas, drain_batches, session_counts, windowed_counts
+from binfall.streaming import deltas, drain_batches, session_cells, session_counts, windowed_counts
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -188,3 +190,56 @@ def test_weights_and_width_of_a_drained_stream(spark, tmp_path):
     q.awaitTermination(120)
     # per batch, sums wrap at 32 bits; those that wrap to nothing go
     assert set(total) <= {C.index(1), C.index(5)} and all(c % 2**31 == 0 for c in total.values())
+
+
+def test_sessions_in_two_steps_equal_session_windows(spark):
+    rng = random.Random(3)
+    rows, at = [], 0
+    for _ in range(400):
+        at += rng.choice([1, 5, 59, 60, 61, 600, 601, 1200, 3601])
+        rows.append((rng.choice(["x", None]), at, rng.choice([1, 2, 6, 9])))
+    rows += [("late", 10**9, 1), ("late", 10**9 + 600, 1), ("late", 10**9 + 1201, 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "k string, s long, v long").select("k", F.timestamp_seconds("s").alias("ts"), "v")
+    got = session_cells(df, ["k"], "ts", F.col("v"), C, gap="10 minutes")
+    plain = df.where("v < 8").groupBy("k", F.session_window("ts", "10 minutes").alias("t"), C.index_of(F.col("v")).alias("idx")).count()
+    want = df.where("v < 8").groupBy("k", F.session_window("ts", "10 minutes").alias("t")).agg(F.collect_list("v").alias("all"))
+    want = want.select("k", "t.start", "t.end", F.explode("all").alias("v")).groupBy("k", "start", "end", C.index_of(F.col("v")).alias("idx")).count()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect()))) and plain.count() > 0
+    assert got.where("k = 'late'").agg(F.sum("cnt")).first()[0] == 3
+    maps = session_counts(df, ["k"], "ts", F.col("v"), C, gap="10 minutes")
+    assert sorted(map(repr, maps.select("k", "start", "end", F.explode("counts").alias("idx", "cnt")).collect())) == sorted(map(repr, got.collect()))
+
+
+def test_session_weights_of_64_bits(spark, tmp_path):
+    rows = spark.createDataFrame([("x", f"2024-01-01 00:0{i}:00", 1) for i in range(2)], "k string, ts string, v long")
+    heavy = F.lit(2**62).cast("decimal(20,0)")
+    assert [{k: int(v) for k, v in r.counts.items()} for r in session_counts(rows, ["k"], "ts", F.col("v"), C, weight=heavy).collect()] == [{1: 2**63}]
+    assert [{k: int(v) for k, v in r.counts.items()} for r in session_counts(rows, ["k"], "ts", F.col("v"), C, weight=heavy + 5, width=U32).collect()] == [{1: 10}]
+    later = spark.createDataFrame([("x", "2024-01-02 00:00:00", 2)], "k string, ts string, v long")
+    both = rows.unionByName(later).withColumn("ts", F.col("ts").cast("timestamp"))
+    both.coalesce(1).write.parquet(str(tmp_path / "one"))
+    stream = spark.readStream.schema(both.schema).parquet(str(tmp_path / "one"))
+    q = session_counts(stream, ["k"], "ts", F.col("v"), C, weight=heavy).writeStream.format("memory").queryName("heavy").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [{k: int(v) for k, v in r.counts.items()} for r in spark.table("heavy").collect()] == [{1: 2**63}]
+
+
+def test_a_hot_session_is_counted_before_it_is_shuffled(spark):
+    rows = spark.range(300_000, numPartitions=8).select(F.lit("x").alias("k"), F.timestamp_seconds(F.col("id") % 3000).alias("ts"), (F.col("id") % 7).alias("v"))
+    got = session_cells(rows, ["k"], "ts", F.col("v"), C, gap="30 minutes")
+    assert sum(r.cnt for r in got.collect()) == 300_000 and got.select("start", "end").distinct().count() == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "partial_count" in plan
+
+
+def test_values_beyond_the_range_in_streams(spark, tmp_path):
+    stream, batch = source(spark, tmp_path, ROWS)
+    flagged = windowed_counts(batch, ["k"], "ts", F.col("v"), C, invalid="flag")
+    assert sorted((r.idx is None, r.cnt) for r in flagged.where("idx is null").collect()) == [(True, 2)] * 3
+    q = windowed_counts(stream, ["k"], "ts", F.col("v"), C, delay="30 days", invalid="flag").writeStream.format("memory").queryName("flagged").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(repr, spark.table("flagged").collect())) == sorted(map(repr, flagged.collect()))
+    with pytest.raises(PySparkException, match="OutOfRange"):
+        windowed_counts(batch, ["k"], "ts", F.col("v"), C, invalid="raise").collect()
+    with pytest.raises(ValueError):
+        windowed_counts(batch, ["k"], "ts", F.col("v"), C, invalid="?")
