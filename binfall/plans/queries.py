@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sql as sql_functions
 from ..functions.bucketing import Config
 from ..functions.rowconfig import RowConfig, same_parameters
 from ..functions.width import U32
-from ..operators import algebra, cells, convert, footprint, mixed
+from ..operators import algebra, cells, compare, convert, footprint, mixed, packed
 from ..operators import ranks as qt
-from ..sources import read_recordings, write_recordings
+from ..sources import from_json, read_recordings, to_json, write_recordings
 from ..streaming import recorder, stateful
 
 WIDE, FINE, SMALL, COARSE = Config(7, 64), Config(8, 63), Config(2, 26), Config(4, 63)
@@ -744,3 +745,91 @@ def running_widened(spark, sf_dir):
     start = stateful.snapshot(spark, f"{home}/narrow/state", ["event_type"])
     staged(spark, sf_dir, f"{home}/wide", lambda s: running(s, weight=weight, initial=start), 2)
     return stateful.snapshot(spark, f"{home}/wide/state", ["event_type"]).withColumn("cnt", F.col("cnt").cast("long"))
+
+
+# --- packed rows, digests, SQL functions ---------------------------------------------------------------------------------------
+
+
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Written down in the shared folder and read again, as distributions that are kept are."""
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def packed_orders(spark: SparkSession, sf_dir: str, count: str = "cnt") -> DataFrame:
+    counted = order_cells(spark, sf_dir)
+    return cells.to_packed(qt.cumulate(counted, ["k"]) if count == "cum" else counted, ["k"], MONEY, count=count)
+
+
+@query(_ranked("(SELECT o_orderpriority AS k, o_totalprice FROM orders)", "k", TOTAL, 7, QS))
+def quantiles_packed(spark, sf_dir):
+    """Quantiles of stored rows of running sums, each found by a search within the row."""
+    return _spread(packed.packed_quantiles(stored(spark, packed_orders(spark, sf_dir, "cum")), ["k"], QS, MONEY), "k")
+
+
+def packed_prices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored packed rows of all prices, the early and the late ones; the late ones of one flag are not there at all."""
+    early, late = halves(spark, sf_dir)
+    parts = (price_cells(spark, sf_dir), early, late.where("l_returnflag <> 'R'"))
+    return tuple(stored(spark, cells.to_packed(x, ["l_returnflag"], MONEY)) for x in parts)
+
+
+@query(f"SELECT l_returnflag, {_index(PRICE, 7)} AS idx, count(*) AS cnt FROM lineitem WHERE l_returnflag <> 'R' OR l_shipdate < TIMESTAMP '{DAY}' GROUP BY 1, 2")
+def packed_add(spark, sf_dir):
+    _, early, late = packed_prices(spark, sf_dir)
+    return _plain(cells.packed_to_cells(packed.merge_packed(early, late, ["l_returnflag"], MONEY, validate=True), ["l_returnflag"], MONEY))
+
+
+@query(_rest("sparse"))
+def packed_subtract(spark, sf_dir):
+    everything, early, _ = packed_prices(spark, sf_dir)
+    return _plain(cells.packed_to_cells(packed.merge_packed(everything, early, ["l_returnflag"], MONEY, operation="subtract"), ["l_returnflag"], MONEY))
+
+
+@query(ORACLES["subtract_not_subset"])
+def packed_subtract_status(spark, sf_dir):
+    everything, early, _ = packed_prices(spark, sf_dir)
+    return packed.merge_packed(early, everything, ["l_returnflag"], MONEY, operation="subtract", errors="status")
+
+
+@query(f"SELECT k, round(CAST(sum((lo + hi) * cnt) AS DOUBLE) / 2 / CAST(sum(cnt) AS DOUBLE), 6) AS mean, CAST(sum(cnt) AS BIGINT) AS total, 1 AS means FROM (SELECT k, cnt, {_lower('idx', 7)} AS lo, {_upper('idx', 7)} AS hi FROM ({ORDER_COUNTS})) GROUP BY 1")
+def cumulative_means(spark, sf_dir):
+    """The running-sum form of cells, of dense arrays, of JSON texts and of 32-bit counters that are widened: stored with its mean, it is one mean to the last bit."""
+    counted = order_cells(spark, sf_dir)
+    form = lambda c: packed.with_derived(cells.to_packed(qt.cumulate(c, ["k"]), ["k"], MONEY, count="cum"), MONEY)
+    sparse = stored(spark, form(counted))
+    dense = form(cells.dense_to_cells(cells.to_dense(counted, ["k"], MONEY), ["k"], "counts", MONEY))
+    texts = packed.checked_derived(from_json(to_json(sparse, ["k"]), ["k"], sparse.drop("k").schema).select(*sparse.columns), MONEY)
+    narrow = packed.with_derived(cells.to_packed(convert.narrow_total(counted, ["k"]), ["k"], MONEY, count="cum"), MONEY)
+    wide = packed.widen_derived(narrow, MONEY)
+    forms = [x.select("k", "mean", F.col("total").cast("long").alias("total")) for x in (sparse, dense, texts, wide)]
+    every = forms[0].unionByName(forms[1]).unionByName(forms[2]).unionByName(forms[3])
+    return every.groupBy("k").agg(F.round(F.first("mean"), 6).alias("mean"), F.first("total").alias("total"), F.countDistinct("mean").cast("int").alias("means"))
+
+
+@query(
+    f"SELECT l_returnflag, count(*) FILTER (WHERE l_shipdate >= TIMESTAMP '{DAY}') = 0 AS same_as_early, true AS same_as_sum, min(idx) FILTER (WHERE late > 0) AS first_idx, arg_min(early, idx) FILTER (WHERE late > 0) AS right_cnt "
+    f"FROM (SELECT *, count(*) FILTER (WHERE l_shipdate >= TIMESTAMP '{DAY}') OVER (PARTITION BY l_returnflag, idx) AS late, count(*) FILTER (WHERE l_shipdate < TIMESTAMP '{DAY}') OVER (PARTITION BY l_returnflag, idx) AS early FROM (SELECT l_returnflag, l_shipdate, {_index(PRICE, 7)} AS idx FROM lineitem)) GROUP BY 1"
+)
+def equal_distributions(spark, sf_dir):
+    """All prices against the sum of two halves, and against one half, with the first bucket that differs."""
+    everything, (early, late), key = price_cells(spark, sf_dir), halves(spark, sf_dir), ["l_returnflag"]
+    summed = compare.equality(everything, algebra.add(early, late, key, MONEY), key, MONEY).withColumnRenamed("equal", "same_as_sum")
+    part = compare.equality(everything, early, key, MONEY).withColumnRenamed("equal", "same_as_early")
+    first = compare.first_differences(everything, early, key, MONEY).select("l_returnflag", F.col("idx").alias("first_idx"), F.col("right_cnt").cast("long").alias("right_cnt"))
+    return summed.join(part, key).join(first, key, "left")
+
+
+@query(f"SELECT l_returnflag, q, lo, hi, cnt, total FROM ({_ranked('lineitem', 'l_returnflag', PRICE, 7, [0.0, 0.5, 0.99])}) JOIN (SELECT l_returnflag, {_lower('idx', 7)} AS lo, cnt FROM ({PRICE_COUNTS})) USING (l_returnflag, lo)")
+def quantiles_in_sql(spark, sf_dir):
+    """From the table to the quantiles in SQL alone, by the session's functions."""
+    sql_functions.register(spark)
+    name = f"lines_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView(name)
+    return spark.sql(f"""
+        WITH counted AS (SELECT l_returnflag, bucket_checked(CAST(round(l_extendedprice * 100) AS BIGINT), 7, 62) AS idx, count(*) AS cnt FROM {name} GROUP BY 1, 2),
+        running AS (SELECT l_returnflag, idx, sum(cnt) OVER (PARTITION BY l_returnflag ORDER BY idx) AS cum FROM counted),
+        stored AS (SELECT l_returnflag, sort_array(collect_list(struct(idx, cum))) AS c FROM running GROUP BY 1)
+        SELECT l_returnflag, q.q, q.lo, q.hi, q.cnt, q.total FROM (SELECT l_returnflag, c.idx AS idx, c.cum AS cum FROM stored) s, LATERAL bucket_quantiles(s.idx, s.cum, array(0D, 0.5D, 0.99D), 7, 62) q
+    """)
