@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bucketing import Config
+from ..functions.rowconfig import RowConfig
 
 # Bytes of the fixed part of each form, of a counter, and of an index.
 DENSE_STRUCT, SPARSE_STRUCT, CUMULATIVE_STRUCT = 48, 80, 96
@@ -73,6 +74,21 @@ def layout(spark: SparkSession, config: Config) -> DataFrame:
     )
 
 
+def layouts(configs: DataFrame, config: RowConfig = RowConfig()) -> DataFrame:
+    """The rows of ``configs``, which bring p and n, each with the rows of its ``layout``."""
+    step, g = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(config.p).cast("int")), F.col("grp")
+    rows = configs.withColumn("grp", F.explode(F.sequence(F.lit(0), F.col(config.n).cast("int") - F.col(config.p).cast("int") - 1))).withColumn("grp", F.col("grp").cast("long"))
+    start, end = F.when(g == 0, F.lit(0).cast("long")).otherwise((g + 1) * step), (g + 2) * step - 1
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), g.cast("int"))
+    return rows.select("*", width.alias("width"), config.lower_of(start).alias("lo"), config.upper_of(end).alias("hi"), (end - start + 1).alias("n_buckets"))
+
+
+def truncation_saving_of(p: Column, lower_power: Column) -> Column:
+    """``truncation_saving`` in columns."""
+    one = F.lit(1).cast("long")
+    return F.when(lower_power <= p + 1, F.call_function("shiftleft", one, lower_power.cast("int"))).otherwise(F.call_function("shiftleft", (lower_power - p + 1).cast("long"), p.cast("int")))
+
+
 def bytes_of(config: Config, counter: int = COUNTER) -> int:
     return config.total_buckets * counter
 

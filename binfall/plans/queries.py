@@ -96,21 +96,34 @@ def bucket_bounds(spark, sf_dir):
     return rows.select("idx", MONEY.lower_of(F.col("idx")).alias("lo"), MONEY.upper_of(F.col("idx")).alias("hi"))
 
 
+#: Of every flag, the least power of two above all its prices.
+_FITTED = f"SELECT l_returnflag, CAST(floor(log2(max({PRICE}))) AS INTEGER) + 1 AS n, min({PRICE}) AS least FROM lineitem GROUP BY 1"
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    return prices(spark, sf_dir).groupBy("l_returnflag").agg((F.floor(F.log2(F.max(v))).cast("int") + 1).alias("n"), F.min(v).alias("least"))
+
+
 @query(
-    "SELECT g AS grp, CAST(pow(2, g) AS BIGINT) AS width, CASE WHEN g = 0 THEN 0 ELSE CAST(pow(2, g + 8) AS BIGINT) END AS lo, "
-    "CAST(pow(2, g + 9) AS BIGINT) - 1 AS hi, CASE WHEN g = 0 THEN 512 ELSE 256 END AS n_buckets FROM generate_series(0, 31) t(g)"
+    f"SELECT l_returnflag, 8 AS p, n, g AS grp, CAST(pow(2, g) AS BIGINT) AS width, CASE WHEN g = 0 THEN 0 ELSE CAST(pow(2, g + 8) AS BIGINT) END AS lo, "
+    f"CAST(pow(2, g + 9) AS BIGINT) - 1 AS hi, CASE WHEN g = 0 THEN 512 ELSE 256 END AS n_buckets FROM ({_FITTED}) JOIN generate_series(0, 63) t(g) ON g < n - 8"
 )
 def config_layout(spark, sf_dir):
-    return footprint.layout(spark, Config(8, 40))
+    """The octaves of the configurations that fit the prices of each flag."""
+    return footprint.layouts(fitted(spark, sf_dir).select("l_returnflag", F.lit(8).alias("p"), "n"))
 
 
 @query(
-    "SELECT p, n, CAST((n - p + 1) * pow(2, p) AS BIGINT) AS total_buckets, CASE WHEN p = n - 1 THEN 0.0 ELSE 100.0 / pow(2, p) END AS error, "
-    "CAST((n - p + 1) * pow(2, p) * 8 AS BIGINT) AS dense_bytes FROM (VALUES (2, 64), (7, 64), (10, 64), (14, 64), (7, 32), (8, 32), (3, 4)) c(p, n)"
+    f"SELECT l_returnflag, CAST(p AS INTEGER) AS p, n, CAST((n - p + 1) * pow(2, p) AS BIGINT) AS total_buckets, CASE WHEN p = n - 1 THEN 0.0 ELSE 100.0 / pow(2, p) END AS error, "
+    f"CAST((n - p + 1) * pow(2, p) * 8 AS BIGINT) AS dense_bytes FROM ({_FITTED}) JOIN generate_series(0, 63) t(p) ON p < n"
 )
 def config_sizes(spark, sf_dir):
-    rows = [(c.p, c.n, c.total_buckets, c.error, footprint.bytes_of(c)) for c in (Config(p, n) for p, n in ((2, 64), (7, 64), (10, 64), (14, 64), (7, 32), (8, 32), (3, 4)))]
-    return spark.createDataFrame(rows, "p int, n int, total_buckets long, error double, dense_bytes long")
+    """Buckets, error and bytes of every grouping power that fits the prices of each flag."""
+    c = RowConfig()
+    rows = fitted(spark, sf_dir).select("l_returnflag", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
+    total = c.total_buckets_of()
+    return rows.select("l_returnflag", "p", "n", total.alias("total_buckets"), c.error_of().alias("error"), (total * footprint.COUNTER).alias("dense_bytes"))
 
 
 # --- recording and forms -------------------------------------------------------------------------------------------------
@@ -548,10 +561,11 @@ def footprint_rollup(spark, sf_dir):
     return r.withColumns({c: F.round(c, 6) for c in r.columns if c.startswith("mean_") or c.endswith(("_saving", "_ratio"))})
 
 
-@query("SELECT l AS lower_power, CASE WHEN l <= 9 THEN CAST(pow(2, l) AS BIGINT) ELSE CAST((l - 7) * 256 AS BIGINT) END AS spared FROM generate_series(0, 20) t(l)")
+@query(f"SELECT l_returnflag, CAST(floor(log2(least)) AS INTEGER) AS lower_power, CASE WHEN floor(log2(least)) <= 9 THEN CAST(pow(2, floor(log2(least))) AS BIGINT) ELSE CAST((floor(log2(least)) - 7) * 256 AS BIGINT) END AS spared FROM ({_FITTED})")
 def truncation_saving(spark, sf_dir):
-    c = Config(8, 32)
-    return spark.createDataFrame([(x, footprint.truncation_saving(c, x)) for x in range(21)], "lower_power long, spared long")
+    """What the distribution of each flag spares that starts at the power of two below its least price."""
+    power = F.floor(F.log2("least")).cast("int")
+    return fitted(spark, sf_dir).select("l_returnflag", power.alias("lower_power"), footprint.truncation_saving_of(F.lit(8), power).alias("spared"))
 
 
 @query(f"SELECT k, idx, cnt FROM ({ORDER_COUNTS}) WHERE idx >= {MONEY.index(1 << 24)}")

@@ -116,3 +116,15 @@ def test_dense_arrays_of_different_lengths(spark):
     assert len(counted(dense_to_mixed(bad, ["k"], invalid="drop"))) == 7
     with pytest.raises(PySparkException, match="IncompatibleParameters|MaxPowerTooLow"):
         dense_to_mixed(bad, ["k"]).collect()
+
+
+def test_layouts_by_row(spark):
+    from binfall.operators.footprint import layout, layouts, truncation_saving, truncation_saving_of
+
+    configs = [Config(0, 1), Config(8, 40), Config(2, 5), Config(7, 63)]
+    df = spark.createDataFrame([(i, c.p, c.n) for i, c in enumerate(configs)], "i int, p int, n int")
+    got = sorted((r.i, r.grp, r.width, r.lo, r.hi, r.n_buckets) for r in layouts(df).collect())
+    assert got == sorted((i, r.grp, r.width, r.lo, r.hi, r.n_buckets) for i, c in enumerate(configs) for r in layout(spark, c).collect())
+    c = Config(8, 32)
+    powers = spark.range(21).select("id", truncation_saving_of(F.lit(8), F.col("id")).alias("s")).collect()
+    assert all(r.s == truncation_saving(c, r.id) for r in powers)
