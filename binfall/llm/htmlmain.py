@@ -6,10 +6,12 @@ the article. Decoding gives every element one of three states, around (a contain
 out of it), of greatest joint probability such that states only ever go on from around to inside to apart on the
 way down. An element can so never be in the article when an ancestor has been cut out of it.
 
-No page comes labelled, so the trees learn from pages that ``samples`` makes up: a bounded number, the same at every run.
+No page comes labelled, so the trees learn from pages that ``samples`` makes up: a bounded number, the same at every run. They have articles in
+marked containers, in plain ones, in table cells and in none, and texts between elements.
 
 Edge cases: null and empty pages, and pages without an article, give the empty text; broken markup is read as browsers do
-where that matters (open paragraphs, list items and cells end, unknown end tags are dropped, elements deeper than ``DEPTH`` are siblings);
+where that matters (open paragraphs, list items and cells end, unknown end tags are dropped, elements deeper than ``DEPTH`` are siblings, and text
+outside of every element, or after the end of the body, is the body's);
 reading and decoding a very long page take time in proportion to it, in one task; rows are independent, so ties, repeated rows and null ids
 need no rule; an empty table gives an empty table; extra columns pass through where asked for.
 """
@@ -54,7 +56,7 @@ WORDS_OF_ATTRIBUTE = re.compile(r"[a-z]+")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 LABEL = re.compile(r' data-y="([01])"')
 
-# Words in class, id and role by what they speak for.
+# Words in class, id and role by what they speak for: our choice, of which the trees learn what each kind is worth.
 TOKENS = {
     "content": "article content main post entry story text body page prose read reading single blog news",
     "navigation": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip",
@@ -145,7 +147,8 @@ class Page:
 
     def _close(self, tag: str) -> None:
         place = self._last(tag)
-        if place >= 0:
+        # what follows the end of the body still belongs to it
+        if place >= 0 and tag not in ("body", "html"):
             self._cut(place)
         if tag in BLOCK:
             self.pieces.append(None)
@@ -166,6 +169,12 @@ def _kinds(attributes: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+def read(source: str) -> Page:
+    """A page with a body: where none begins, all of it is in one, so no text is outside of every element."""
+    page = Page(source)
+    return page if "body" in page.tag else Page("<body>" + source)
+
+
 def features(pages: list[Page]) -> np.ndarray:
     """One row for every element of the pages, in order."""
     first = np.cumsum([0] + [len(p.tag) for p in pages])
@@ -174,7 +183,7 @@ def features(pages: list[Page]) -> np.ndarray:
     parent = np.concatenate([np.where((q := np.array(p.parent, np.int64)) >= 0, q + at, -1) for p, at in zip(pages, first, strict=False)]) if n else np.zeros(0, np.int64)
     depth = np.array([d for p in pages for d in p.depth], np.int64)
     group = np.array([_GROUP.get(t, -1) for p in pages for t in p.tag], np.int64)
-    link = np.array([t == "a" for p in pages for t in p.tag])
+    link = np.array([t == "a" for p in pages for t in p.tag], bool)
     kinds = np.array([_kinds(a) for p in pages for a in p.attributes], float).reshape(n, len(KINDS))
     size, marks = np.zeros(n), np.zeros(n)
     for p, at in zip(pages, first, strict=False):
@@ -193,7 +202,8 @@ def features(pages: list[Page]) -> np.ndarray:
         linked[rows] |= linked[up]
         above_bad[rows] = np.maximum(above_bad[up], bad[up])
         above_good[rows] = np.maximum(above_good[up], good[up])
-    sums = np.stack([size, size * linked, marks, np.ones(n), group == 0, group == 2, group == 1, good, bad], axis=1)
+    prose = size * ~linked * (1 - above_bad) * ~bad
+    sums = np.stack([size, size * linked, marks, np.ones(n), group == 0, group == 2, group == 1, good, bad, prose], axis=1)
     for rows in reversed(levels[1:]):
         np.add.at(sums, parent[rows], sums[rows])
     children = np.bincount(parent[has], minlength=n) if n else np.zeros(0)
@@ -208,11 +218,20 @@ def features(pages: list[Page]) -> np.ndarray:
     total = np.maximum(np.bincount(page, size, minlength=len(pages)), 1)[page]
     up = np.where(has, parent, np.arange(n))
     share, links = sums[:, 0] / total, sums[:, 1] / np.maximum(sums[:, 0], 1)
+    # how the page's prose lies: below an element, in it and the elements right in it, and whether any element claims to be the content
+    nearby = prose.copy()
+    np.add.at(nearby, parent[has], prose[has])
+    all_prose = np.maximum(np.bincount(page, prose, minlength=len(pages)), 1)[page]
+    densest = np.zeros(len(pages))
+    np.maximum.at(densest, page, nearby)
+    claimed = (np.bincount(page, good, minlength=len(pages)) > 0).astype(float)[page]
+    prosy, near = sums[:, 9] / all_prose, nearby / np.maximum(densest[page], 1)
     one_hot = (group[:, None] == np.arange(len(GROUPS))).astype(float)
     return np.column_stack(
         [one_hot, kinds, depth, index, siblings[inverse], alike[alike_at], children, order / np.maximum(np.diff(first)[page], 1)]
         + [np.log1p(sums[:, 0]), np.log1p(size), share, links, sums[:, 2] / np.maximum(sums[:, 0], 1), sums[:, 3] / np.maximum(sums[:, 0], 1), np.log1p(sums[:, 3])]
         + [sums[:, 4], sums[:, 5], sums[:, 6], sums[:, 7] - good, sums[:, 8] - bad, above_good, above_bad]
+        + [prosy, prosy[up], near, near[up], prose / all_prose, claimed]
         + [share[up], links[up], one_hot[up][:, [0, 4, 6, 8, 9, 10, 11, 12, 14]], kinds[up]]
     )
 
@@ -253,7 +272,7 @@ def text_of(page: Page, inside: np.ndarray) -> str:
 
 
 def extract(sources: list[str], forest: boosting.Forest) -> list[str]:
-    pages = [Page(s) for s in sources]
+    pages = [read(s) for s in sources]
     x = features(pages)
     p = forest.probability(x) if len(x) else np.zeros(0)
     out, at = [], 0
@@ -351,9 +370,16 @@ class _Maker:
             return self.tag(1, "pre", text)
         return self.tag(1, r.choice(["div", "section"]), "".join(self.tag(1, "p", self.words(r.randrange(5, 60))) for _ in range(r.randrange(1, 4))), self.neutral())
 
-    def article(self) -> str:
+    def loose(self) -> str:
+        """Text right in its container, broken by br elements."""
+        r = self.r
+        parts = [r.choice([self.words(r.randrange(4, 90)), self.words(r.randrange(4, 40)) + " " + self.tag(1, r.choice(["b", "em", "a"]), self.words(2)) + " " + self.words(9)]) for _ in range(r.choice([1, 1, 2, 5, 9]))]
+        return r.choice(['<br data-y="1">', '<br data-y="1"><br data-y="1">', '<p data-y="1">']).join(parts)
+
+    def article(self, loose: bool = False) -> str:
+        """The blocks of an article, most often in a container. ``loose``: text may lie between them, right in what they are put in."""
         r = self.r
-        blocks = [self.prose() for _ in range(r.choice([1, 2, r.randrange(3, 12), r.randrange(10, 30)]))]
+        blocks = [self.loose() if loose and r.random() < 0.4 else self.prose() for _ in range(r.choice([1, 2, r.randrange(3, 12), r.randrange(10, 30)]))]
         if r.random() < 0.85:
             head = self.tag(1, r.choice(["h1", "h1", "h2"]), self.words(r.randrange(1, 10)))
             blocks.insert(0, self.tag(1, "header", head) if r.random() < 0.1 else head)
@@ -363,10 +389,18 @@ class _Maker:
         if r.random() < 0.25:
             inner = self.tag(1, "div", inner, r.choice([self.neutral(), self.name("content")]))
         k = r.random()
-        if k < 0.5:
+        if loose or k < 0.12:
+            return inner
+        if k < 0.4:
             return self.tag(1, "article", inner, r.choice(["", "", self.name("content")]))
-        if k < 0.65:
+        if k < 0.5:
             return self.tag(1, "main", inner, r.choice(["", self.name("content")]))
+        if k < 0.62:
+            return self.tag(1, r.choice(["div", "div", "section"]), self.loose() + inner if r.random() < 0.3 else inner, self.neutral())
+        if k < 0.7:
+            other = self.tag(0, "td", self.links(r.randrange(2, 7)), r.choice(["", ' width="20%"']))
+            cells = [other, self.tag(1, "td", inner, r.choice(["", ' valign="top"']))]
+            return self.tag(0, "table", self.tag(0, "tr", "".join(cells if r.random() < 0.7 else cells[::-1])), self.neutral())
         return self.tag(1, r.choice(["div", "div", "section"]), inner, f' {r.choice(["class", "id"])}="{r.choice(["content", "article", "post-content", "entry-content", "article-body", "main-content", "story", "post", "text", "main"])}"')
 
     def page(self) -> str:
@@ -376,11 +410,16 @@ class _Maker:
             nav = self.tag(0, r.choice(["nav", "nav", "div"]), self.links(r.randrange(2, 9)), self.name("navigation") if r.random() < 0.6 else "")
             parts.append(self.tag(0, r.choice(["header", "div"]), r.choice(["", self.tag(0, "h1", self.words(3)), self.tag(0, "p", self.words(6))]) + nav, self.name("edges")) if r.random() < 0.45 else nav)
         parts += [self.aside() for _ in range(r.randrange(3))]
-        body = self.article() if r.random() < 0.96 else ""
-        for _ in range(r.choice([0, 0, 1, 2])):
-            body = r.choice([self.aside() + body, body + self.aside()])
+        loose = r.random() < 0.15
+        body = self.loose() if loose and r.random() < 0.4 else self.article(loose) if r.random() < 0.96 else ""
+        if loose and r.random() < 0.5:
+            parts = []
+            if r.random() < 0.5:
+                return f'<body data-y="1">{body}' + r.choice(["</body></html>", ""])
         for _ in range(r.choice([0, 0, 1, 2])):
-            body = self.tag(0, r.choice(["div", "div", "section", "main"]), body, r.choice([self.neutral(), self.neutral(), ' id="page"', ' class="site"']))
+            body = r.choice([self.aside() + body, body + self.aside()]) if not loose or parts else body
+        for _ in range(0 if loose else r.choice([0, 0, 1, 2])):
+            body = self.tag(0, r.choice(["div", "div", "section", "main"]), body, r.choice([self.neutral(), self.neutral(), ' id="page"', ' class="site"', ' id="wrapper"']))
         parts.append(body)
         if r.random() < 0.3:
             parts.append(self.comments())
@@ -389,7 +428,9 @@ class _Maker:
             foot = r.choice([self.words(r.randrange(2, 30)), self.tag(0, "p", self.words(r.randrange(2, 40))), self.links(5) + self.tag(0, "p", self.words(8))])
             parts.append(self.tag(0, r.choice(["footer", "footer", "footer", "div"]), foot, self.name("edges") if r.random() < 0.5 else ""))
         head = f'<head data-y="0"><title data-y="0">{self.words(4)}</title><style data-y="0">p{{}}</style></head>'
-        return f'<!DOCTYPE html><html data-y="0">{head}<body data-y="0">{"".join(parts)}' + r.choice(["</body></html>", "</body></html>", ""])
+        if not loose and r.random() < 0.06:
+            return "".join(parts)
+        return f'<!DOCTYPE html><html data-y="0">{head}<body data-y="{int(loose)}">{"".join(parts)}' + r.choice(["</body></html>", "</body></html>", ""])
 
 
 def samples(count: int, seed: int) -> list[tuple[Page, np.ndarray]]:
@@ -397,7 +438,7 @@ def samples(count: int, seed: int) -> list[tuple[Page, np.ndarray]]:
     out = []
     maker = _Maker(seed)
     for _ in range(count):
-        page = Page(maker.page())
+        page = read(maker.page())
         labels = np.array([float((m := LABEL.search(a)) is not None and m[1] == "1") for a in page.attributes])
         page.attributes = [LABEL.sub("", a) for a in page.attributes]
         out.append((page, labels))
@@ -405,10 +446,10 @@ def samples(count: int, seed: int) -> list[tuple[Page, np.ndarray]]:
 
 
 @functools.cache
-def forest(count: int = 600, seed: int = 8) -> boosting.Forest:
+def forest(count: int = 1000, seed: int = 8) -> boosting.Forest:
     """Learn from ``count`` made-up pages."""
     pages = samples(count, seed)
-    return boosting.fit(features([p for p, _ in pages]), np.concatenate([y for _, y in pages]))
+    return boosting.fit(features([p for p, _ in pages]), np.concatenate([y for _, y in pages]), trees=70, depth=5)
 
 
 def main_text(pages: DataFrame, *, column: str = "html", carry: tuple[str, ...] = ("page_id", "url"), trees: boosting.Forest | None = None) -> DataFrame:

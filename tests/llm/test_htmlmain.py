@@ -27,6 +27,56 @@ def test_a_page(trees):
     assert htmlmain.extract([PAGE], trees) == ["Café & €1\nFirst part, bold and long enough to be prose, with lines.\nSecond part; it holds a link and more words, too.\nThird, with <b> and 1 < 2 in it, and quite some words that follow after it."]
 
 
+SENTENCES = [
+    "The harbour was quiet when the first boats came back, and nobody had expected them before the evening tide.",
+    "Old fishermen stood along the wall and counted the sails, as their fathers had done in every autumn they could remember.",
+    "A boy ran down the steps with a lantern, although it was still light enough to read the names on the bows.",
+    "By nightfall all but two had been moored, and the talk in the tavern turned to the weather beyond the cape.",
+    "The council met on the following morning to decide whether the lighthouse should be repaired before winter.",
+    "In the end they voted for the repairs, and the masons began their work in the first week of October.",
+]
+PARAGRAPHS, LINES = "".join(f"<p>{s}</p>" for s in SENTENCES), "\n".join(SENTENCES)
+HOME = '<a href="/">Home</a> <a href="/b">About</a>'
+LAYOUTS = {
+    "body": (f"<html><body>{PARAGRAPHS}</body></html>", LINES),
+    "menu and footer": (f"<html><body><nav>{HOME}</nav><h1>Title of it</h1>{PARAGRAPHS}<footer>Copyright 2024 Example</footer></body></html>", f"Title of it\n{LINES}"),
+    "div": (f"<html><body><div>{PARAGRAPHS}</div></body></html>", LINES),
+    "wrapped div": (f'<html><body><div id="wrapper"><div class="row"><div class="col">{PARAGRAPHS}</div></div></div></body></html>', LINES),
+    "main": (f"<html><body><main>{PARAGRAPHS}</main></body></html>", LINES),
+    "section": (f"<html><body><section>{PARAGRAPHS}</section></body></html>", LINES),
+    "table cell": (f'<html><body><table><tr><td><a href="/">Home</a><br><a href="/x">More</a></td><td>{PARAGRAPHS}</td></tr></table></body></html>', LINES),
+    "long article": (f"<html><body><article>{PARAGRAPHS * 5}</article></body></html>", "\n".join(SENTENCES * 5)),
+    "text with br": (f"<html><body><div>{'<br><br>'.join(SENTENCES)}</div></body></html>", " ".join(SENTENCES)),
+    "text with br in the body": (f"<html><body>{'<br><br>'.join(SENTENCES)}</body></html>", " ".join(SENTENCES)),
+    "no body": (PARAGRAPHS, LINES),
+    "plain text": (SENTENCES[0], SENTENCES[0]),
+    "text after an element": (f"<p>{SENTENCES[0]}</p> {SENTENCES[1]}", f"{SENTENCES[0]}\n{SENTENCES[1]}"),
+    "text after the body": (f"<html><body><p>{SENTENCES[0]}</p></body></html>\n{SENTENCES[1]}", f"{SENTENCES[0]}\n{SENTENCES[1]}"),
+    "columns": (
+        f'<html><head><title>x</title></head><body><div class="header"><ul><li><a href="/">Home</a></li><li><a href="/c">Contact</a></li></ul></div><div class="row"><div class="col-8"><h2>Title of it</h2>{PARAGRAPHS}</div>'
+        '<div class="col-4 sidebar"><h3>Related</h3><ul><li><a href="/1">Some other story</a></li><li><a href="/2">And another one</a></li></ul></div></div><div class="footer"><p>Copyright 2024</p></div></body></html>',
+        f"Title of it\n{LINES}",
+    ),
+    "comments": (f'<html><body><div>{PARAGRAPHS}</div><div class="comments"><h3>Comments</h3><div class="comment"><b>Ann</b><p>I liked this story a lot, thank you for it.</p></div></div></body></html>', LINES),
+    "lists": (f"<html><body><h1>Things</h1><p>{SENTENCES[0]}</p><ul><li>{SENTENCES[1]}</li><li>{SENTENCES[2]}</li></ul><p>{SENTENCES[3]}</p></body></html>", "Things\n" + "\n".join(SENTENCES[:4])),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_articles_in_every_layout(trees, name):
+    source, text = LAYOUTS[name]
+    assert htmlmain.extract([source], trees) == [text]
+
+
+def test_pages_of_the_table(trees):
+    """Every page of the table has an article element, and its blocks are the text."""
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist():
+        article = htmlmain.Page("<article>" + r["html"].split("<article>")[1].split("</article>")[0])
+        assert htmlmain.extract([r["html"]], trees) == [htmlmain.text_of(article, np.ones(len(article.tag), bool))]
+
+
 def test_decoding_is_hierarchical():
     page = htmlmain.Page("<html><body><div><p>a<span>b</span></p><div><p>c</p></div></div><p>d</p></body></html>")
     assert page.tag == ["html", "body", "div", "p", "span", "div", "p", "p"]
@@ -120,7 +170,7 @@ def test_texts_equal_a_plain_walk_of_the_tree(trees):
     import re
 
     maker, seen = htmlmain._Maker(77), 0
-    for _ in range(60):
+    for _ in range(120):
         source = maker.page()
         if re.search(r"<p data-y=\"\d\">(?:(?!</p>|<p).)*(?:<p|<div|<ul|<h\d|<table|<section|<figure|<pre|<blockquote|<aside|<nav|<form|<header|<footer|<ol|$)", source) or not source.endswith("</html>") or "<b data-y" in source:
             continue
