@@ -13,8 +13,18 @@ from ..functions.bucketing import Config, same_config
 from ..functions.width import U64, CounterWidth
 
 
-def _wide(cells: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return cells.groupBy(*keys, "idx").agg(F.sum(F.col("cnt").cast("decimal(20,0)")).alias(name))
+def exact_sum(column: str, kind: str) -> Column:
+    """Sum of counters as a decimal that cannot overflow. Longs are added as longs, their high and low 32 bits apart, and only the sums are made decimals."""
+    c = F.col(column)
+    if kind != "bigint":
+        return F.sum(c.cast("decimal(20,0)"))
+    high, low = F.sum(F.shiftright(c, 32)), F.sum(c.bitwiseAND(F.lit((1 << 32) - 1)))
+    return (high.cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(19,0)")).cast("decimal(30,0)")
+
+
+def _counter(*sides: DataFrame) -> str:
+    """The type in which the sides' counters are added up."""
+    return "bigint" if all(dict(d.dtypes)["cnt"] == "bigint" for d in sides) else "decimal(20,0)"
 
 
 def settled(rows: DataFrame, keys: list[str], value: Column, error: Column, kind: str, errors: str) -> DataFrame:
@@ -30,7 +40,7 @@ def settled(rows: DataFrame, keys: list[str], value: Column, error: Column, kind
 def add(a: DataFrame, b: DataFrame, keys: list[str], config: Config, other: Config | None = None, *, checked: bool = True, width: CounterWidth = U64, errors: str = "raise") -> DataFrame:
     """Sum of two sets of distributions. Unchecked sums wrap at the width; cells that wrap to zero go."""
     same_config(config, other or config)
-    both = _wide(a.select(*keys, "idx", "cnt").unionByName(b.select(*keys, "idx", "cnt")), keys, "s")
+    both = a.select(*keys, "idx", "cnt").unionByName(b.select(*keys, "idx", "cnt")).groupBy(*keys, "idx").agg(exact_sum("cnt", _counter(a, b)).alias("s"))
     if not checked:
         return both.select(*keys, "idx", width.wrapped(F.col("s")).alias("cnt")).where("cnt <> 0")
     error = F.when(~width.fits(F.col("s")), F.lit("Overflow"))
@@ -44,9 +54,10 @@ def subtract(a: DataFrame, b: DataFrame, keys: list[str], config: Config, other:
     if form not in ("dense", "sparse"):
         raise ValueError(f"form={form!r}")
     # both sides in one aggregation: one shuffle, and null keys meet as others do
-    wide, none = F.col("cnt").cast("decimal(20,0)"), F.lit(None).cast("decimal(20,0)")
+    kind = _counter(a, b)
+    wide, none = F.col("cnt").cast(kind), F.lit(None).cast(kind)
     sides = a.select(*keys, "idx", wide.alias("x"), none.alias("y")).unionByName(b.select(*keys, "idx", none.alias("x"), wide.alias("y")))
-    both = sides.groupBy(*keys, "idx").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    both = sides.groupBy(*keys, "idx").agg(exact_sum("x", kind).alias("x"), exact_sum("y", kind).alias("y"))
     left, right = F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))
     value = left.cast("decimal(38,0)") - right.cast("decimal(38,0)")
     alone = F.col("x").isNull() & F.col("y").isNotNull() if form == "sparse" else F.lit(False)
