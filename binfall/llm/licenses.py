@@ -139,8 +139,10 @@ def known(spark: SparkSession) -> DataFrame:
 
 def digested(texts: DataFrame) -> DataFrame:
     """digest and license_id of (license_id, text): of equal texts the least id, none for texts without a letter or digit."""
-    named = texts.where("license_id is not null").select(canonical(F.col("text")).alias("form"), "license_id").where("form <> ''")
-    return named.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    named = texts.where("license_id is not null").select(canonical(F.col("text")).alias("form"), "license_id")
+    # written down: conditions and joins on a form or digest that is still to be reckoned would reckon it once more each
+    named = named.select(F.sha2("form", 256).alias("digest"), (F.col("form") == "").alias("none"), "license_id").checkpoint()
+    return named.where("not none").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:

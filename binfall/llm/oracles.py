@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import KNOWN, SPELLINGS
+from .licenses import FULL, KNOWN, MORE, SPELLINGS
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -43,10 +43,11 @@ def _canonical(text: str) -> str:
     return f"sha256(trim(regexp_replace({out}, ' +', ' ', 'g')))"
 
 
-_TABLE = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+_TABLE = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in (*KNOWN, *MORE))
+_DIGESTS = ", ".join(f"('{i}', '{d}')" for i, d in FULL)
 
 OP4 = f"""
-WITH known AS (SELECT DISTINCT {_canonical("t")} AS digest, i AS id FROM (VALUES {_TABLE}) k(i, t)),
+WITH known AS (SELECT digest, min(id) AS id FROM (SELECT {_canonical("t")} AS digest, i AS id FROM (VALUES {_TABLE}) k(i, t) UNION ALL SELECT d, i FROM (VALUES {_DIGESTS}) f(i, d)) GROUP BY digest),
 lines AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 found AS (SELECT doc_id, list_sort(list(DISTINCT id)) AS ids FROM (SELECT doc_id, {_canonical("line")} AS digest FROM lines) JOIN known USING (digest) GROUP BY doc_id),
 whole AS (SELECT doc_id, {_canonical("text")} AS digest FROM documents)
