@@ -10,7 +10,7 @@ The counts n' leave one text's documents out (of a pair's k texts, the share 1/k
 for itself, and few texts say less than many. Every occurrence, in the texts that hold the entity, of a term with a disclosure of ``remove`` or
 more is removed, of ``generalise`` or more replaced by a general mark. Base spans always stay.
 
-With ``reach`` (the default of ``report`` alone) only terms of four letters or more within so many characters of an entity count and are
+With a ``reach`` only terms of four letters or more within so many characters of an entity count and are
 marked, by plain PMI, where at least ``support`` different texts show the pair; that discloses what stands farther away.
 
 Everything is built-in SQL functions. Positions come from splitting a text at the same pattern that finds the matches:
@@ -208,8 +208,8 @@ def listing(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def report(docs: DataFrame, *, reach: int | None = 64, **options) -> DataFrame:
-    """Per document: its columns but the text, n_email, n_ip, n_card, n_phone, base_sha256 and spans; of whole texts with ``reach=None``."""
+def report(docs: DataFrame, *, reach: int | None = None, **options) -> DataFrame:
+    """Per document: its columns but the text, n_email, n_ip, n_card, n_phone, base_sha256 and spans; of whole texts, unless ``reach`` is given."""
     base, more = detect(docs, reach=reach, **options)
     both = base.join(more, "key", "left")
 
