@@ -10,9 +10,10 @@ share one anchor. The parse of a document looks up all its blocks:
 3. Where blocks under one anchor differ, a factor begins or ends inside the block: its boundaries are checked window by window
    (128-bit hashes), each against the least document with that window.
 
-The parse is then greedy from left to right: a factor is begun at the first copied window and grown word by word while the next
-window is a copy from the same document; where that ends, the next factor begins. A factor has ``window`` words at least,
-and the words of all factors go. ``details`` gives the factors themselves.
+References carry the place in the source, too. The parse is then greedy from left to right: a factor is begun at the first copied window and grown
+word by word while the next window is a copy from the same document and the next place in it; where that ends, the next factor begins. So the words of a
+factor stand in its source one after another, ``window`` words at least; the words of all factors go. Where a source has a block or window
+several times, one of its places is taken. ``details`` gives the factors themselves.
 
 Blocks are spread by hash. The references of anchors and windows are summed before their shuffle and written down, so where very many
 occurrences meet one of them, Spark can split the occurrences.
@@ -118,29 +119,29 @@ def _windows(frame: DataFrame, window: int) -> DataFrame:
     return frame.mapInArrow(run, "doc_id long, tkey long, at int, h1 long, h2 long")
 
 
-def factors(blocks: list[tuple[int, int, int]], windows: list[tuple[int, int]], window: int, n: int) -> list[tuple[int, int, int]]:
-    """The greedy parse of ``n`` words: (first word, words, source) of every factor, from copied blocks (first and last window, source) and copied
-    windows (place, source). A factor grows while windows follow each other in one source."""
-    source = np.full(max(n - window + 1, 0), -1, np.int64)
+def factors(blocks: list[tuple[int, int, int, int]], windows: list[tuple[int, int, int]], window: int, n: int) -> list[tuple[int, int, int, int]]:
+    """The greedy parse of ``n`` words: (first word, words, source, place in the source) of every factor, from copied blocks (first and last window, source,
+    place of the first) and copied windows (own place, source, its place). A factor grows while both places go on together in one source."""
+    source, ahead = np.full(max(n - window + 1, 0), -1, np.int64), np.zeros(max(n - window + 1, 0), np.int64)
     copied = np.zeros(len(source), bool)
-    for first, last, s in blocks:
-        source[first : last + 1], copied[first : last + 1] = s, True
+    for first, last, s, place in blocks:
+        source[first : last + 1], ahead[first : last + 1], copied[first : last + 1] = s, place - first, True
     if windows:
-        at, s = np.array(windows, np.int64).T
-        source[at], copied[at] = s, True
+        at, s, place = np.array(windows, np.int64).T
+        source[at], ahead[at], copied[at] = s, place - at, True
     begins = copied.copy()
-    begins[1:] &= ~copied[:-1] | (source[1:] != source[:-1])
+    begins[1:] &= ~copied[:-1] | (source[1:] != source[:-1]) | (ahead[1:] != ahead[:-1])
     first = np.flatnonzero(begins)
     ends = copied.copy()
     ends[:-1] &= ~copied[1:] | begins[1:]
     last = np.flatnonzero(ends)
-    return [(a, b - a + window, s) for a, b, s in zip(first.tolist(), last.tolist(), source[first].tolist(), strict=True)]
+    return [(a, b - a + window, s, a + d) for a, b, s, d in zip(first.tolist(), last.tolist(), source[first].tolist(), ahead[first].tolist(), strict=True)]
 
 
-def _kept(found: list[tuple[int, int, int]], n: int) -> np.ndarray:
+def _kept(found: list[tuple[int, int, int, int]], n: int) -> np.ndarray:
     """Which of ``n`` words stay when the factors go."""
     edge = np.zeros(n + 1, np.int64)
-    for first, words, _ in found:
+    for first, words, *_ in found:
         edge[first] += 1
         edge[first + words] -= 1
     return np.cumsum(edge[:n]) == 0
@@ -152,9 +153,9 @@ def _results(frame: DataFrame, window: int, carried: list[str], details: bool) -
     k = len(carried)
     schema = [f.simpleString().replace(":", " ", 1) for f in frame.select(*carried).schema.fields] + ["n_words long", "n_removed long", "kept_sha256 string"]
     names = [*carried, "n_words", "n_removed", "kept_sha256"]
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("source", pa.int64())]))
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("source", pa.int64()), ("place", pa.int32())]))
     if details:
-        schema += ["kept_text string", "factors array<struct<first:int,words:int,source:long>>"]
+        schema += ["kept_text string", "factors array<struct<first:int,words:int,source:long,place:int>>"]
         names += ["kept_text", "factors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +164,8 @@ def _results(frame: DataFrame, window: int, carried: list[str], details: bool) -
             for at in range(len(batch)):
                 raw = batch.column(k)[at].as_py()
                 words = raw.split() if raw else []
-                blocks = [(x["first"], x["last"], x["source"]) for x in batch.column(k + 1)[at].as_py() or ()]
-                windows = [(x["at"], x["source"]) for x in batch.column(k + 2)[at].as_py() or ()]
+                blocks = [(x["first"], x["last"], x["source"], x["place"]) for x in batch.column(k + 1)[at].as_py() or ()]
+                windows = [(x["at"], x["source"], x["place"]) for x in batch.column(k + 2)[at].as_py() or ()]
                 found = factors(blocks, windows, window, len(words)) if blocks or windows else []
                 stay = words
                 if found:
@@ -176,7 +177,7 @@ def _results(frame: DataFrame, window: int, carried: list[str], details: bool) -
                 digests.append(hashlib.sha256(kept).hexdigest())
                 if details:
                     texts.append(kept if found else None)
-                    parses.append([{"first": a, "words": b, "source": c} for a, b, c in found])
+                    parses.append([{"first": a, "words": b, "source": c, "place": d} for a, b, c, d in found])
             made = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
             if details:
                 made += [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(parses, kind)]
@@ -187,16 +188,16 @@ def _results(frame: DataFrame, window: int, carried: list[str], details: bool) -
 
 def removals(docs: DataFrame, *, window: int = 50, gram: int = GRAM, details: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and with ``details`` kept_text where words were removed (else null) and the
-    factors (first word, words, the least document that has them)."""
+    factors (first word, words, the least document that has them and the place of the first in it)."""
     spark = docs.sparkSession
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text")
     segments = _segments(frame.where("doc_id is not null"), window, gram)
-    seen = segments.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most"), F.min("content").alias("c1"), F.max("content").alias("c2"))
-    shared = seen.where("source < most").select("anchor", "source", (F.col("c1") == F.col("c2")).alias("same")).checkpoint()
+    seen = segments.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.min_by("first", "doc_id").alias("place"), F.max("doc_id").alias("most"), F.min("content").alias("c1"), F.max("content").alias("c2"))
+    shared = seen.where("source < most").select("anchor", "source", "place", (F.col("c1") == F.col("c2")).alias("same")).checkpoint()
     release(spark)
     touched = segments.drop("content").join(shared, "anchor").where("not same or doc_id > source")
     lists = touched.groupBy("doc_id", "tkey").agg(
-        F.collect_set(F.when(F.col("same"), F.struct("first", "last", "source"))).alias("cut"),
+        F.collect_set(F.when(F.col("same"), F.struct("first", "last", "source", "place"))).alias("cut"),
         F.collect_set(F.when(~F.col("same"), F.struct("first", "last"))).alias("look"),
     )
     lists = lists.checkpoint()
@@ -205,9 +206,9 @@ def removals(docs: DataFrame, *, window: int = 50, gram: int = GRAM, details: bo
     release(spark)
     opened = affected.where(F.size("look") > 0).select("doc_id", "tkey", F.col("text").cast("string").alias("text"), "look").dropDuplicates(["doc_id", "tkey"])
     windows = _windows(opened, window)
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most")).where("source < most").drop("most").checkpoint()
+    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.min_by("at", "doc_id").alias("place"), F.max("doc_id").alias("most")).where("source < most").drop("most").checkpoint()
     release(spark)
-    hits = windows.join(first, ["h1", "h2"]).where("doc_id > source").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "source")).alias("hits"))
+    hits = windows.join(first, ["h1", "h2"]).where("doc_id > source").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("at", "source", "place")).alias("hits"))
     cut = affected.drop("look").join(hits, ["doc_id", "tkey"], "left").select("doc_id", "text", "cut", "hits")
     kinds = dict(cut.dtypes)
     rest = frame.select("doc_id", "tkey", F.col("text").cast("binary").alias("text"), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("cut", "hits")))

@@ -81,14 +81,25 @@ def test_factors_are_copies_of_their_source(spark, documents, prose):
             continue
         covered = set()
         for f in r.factors:
-            there = [tuple(words[f.source][at : at + 20]) for at in range(len(words[f.source]) - 19)]
-            assert f.source < r.doc_id and f.words >= 20 and all(tuple(own[at : at + 20]) in there for at in range(f.first, f.first + f.words - 19))
+            there = words[f.source][f.place : f.place + f.words]
+            assert f.source < r.doc_id and f.words >= 20 and own[f.first : f.first + f.words] == there
             covered |= set(range(f.first, f.first + f.words))
             seen += 1
         assert len(covered) == r.n_removed and (r.kept_text or "").split() == [w for at, w in enumerate(own) if covered and at not in covered]
     assert seen > 8
 
 
+def test_pieces_from_two_places_are_two_factors(spark, documents, prose):
+    """Windows that follow each other here, and stand apart in the source, are no factor of it."""
+    a = prose(51)
+    rows = [(1, " ".join([*prose(20), *a[:50], *prose(70), *a[1:], *prose(9)])), (2, " ".join([*prose(40), *a, *prose(30)]))]
+    df = documents([(i, t, "s") for i, t in rows])
+    (r,) = substrings.removals(df).where("doc_id = 2").collect()
+    assert [(f.first, f.words, f.source, f.place) for f in r.factors] == [(40, 50, 1, 20), (41, 50, 1, 140)] and r.n_removed == 51
+    assert ours(substrings.removals(df)) == brute(rows)
+
+
 def test_greedy_parse():
-    assert substrings.factors([(0, 3, 5)], [(4, 5), (5, 7), (9, 7)], 50, 80) == [(0, 54, 5), (5, 50, 7), (9, 50, 7)]
+    found = substrings.factors([(0, 3, 5, 10)], [(4, 5, 14), (5, 7, 0), (9, 7, 4), (10, 7, 5), (11, 7, 8)], 50, 80)
+    assert found == [(0, 54, 5, 10), (5, 50, 7, 0), (9, 51, 7, 4), (11, 50, 7, 8)]
     assert substrings.factors([], [], 50, 10) == []
