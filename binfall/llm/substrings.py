@@ -119,16 +119,15 @@ def _windows(frame: DataFrame, window: int) -> DataFrame:
     return frame.mapInArrow(run, "doc_id long, tkey long, at int, h1 long, h2 long")
 
 
-def factors(blocks: list[tuple[int, int, int, int]], windows: list[tuple[int, int, int]], window: int, n: int) -> list[tuple[int, int, int, int]]:
+def factors(blocks: np.ndarray, windows: np.ndarray, window: int, n: int) -> list[tuple[int, int, int, int]]:
     """The greedy parse of ``n`` words: (first word, words, source, place in the source) of every factor, from copied blocks (first and last window, source,
     place of the first) and copied windows (own place, source, its place). A factor grows while both places go on together in one source."""
     source, ahead = np.full(max(n - window + 1, 0), -1, np.int64), np.zeros(max(n - window + 1, 0), np.int64)
     copied = np.zeros(len(source), bool)
-    for first, last, s, place in blocks:
+    for first, last, s, place in np.asarray(blocks, np.int64).reshape(-1, 4).tolist():
         source[first : last + 1], ahead[first : last + 1], copied[first : last + 1] = s, place - first, True
-    if windows:
-        at, s, place = np.array(windows, np.int64).T
-        source[at], ahead[at], copied[at] = s, place - at, True
+    at, s, place = np.asarray(windows, np.int64).reshape(-1, 3).T
+    source[at], ahead[at], copied[at] = s, place - at, True
     begins = copied.copy()
     begins[1:] &= ~copied[:-1] | (source[1:] != source[:-1]) | (ahead[1:] != ahead[:-1])
     first = np.flatnonzero(begins)
@@ -147,6 +146,14 @@ def _kept(found: list[tuple[int, int, int, int]], n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) == 0
 
 
+def _rows_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a column of lists of structs as the rows of a matrix, and where each list's begin: numbers, never an object for each."""
+    flat = lists.flatten()
+    entries = np.stack([flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(flat.type.num_fields)], axis=1)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return entries, np.r_[0, np.cumsum(sizes)]
+
+
 def _results(frame: DataFrame, window: int, carried: list[str], details: bool) -> DataFrame:
     """``carried`` columns, then n_words, n_removed, kept text's digest, and with ``details`` the kept text, if words went, and the factors, from
     (carried..., text, cut, hits)."""
@@ -161,12 +168,12 @@ def _results(frame: DataFrame, window: int, carried: list[str], details: bool) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, digests, texts, parses = [], [], [], [], []
+            (cuts, c), (hits, h) = (_rows_of(batch.column(k + i)) for i in (1, 2))
             for at in range(len(batch)):
                 raw = batch.column(k)[at].as_py()
                 words = raw.split() if raw else []
-                blocks = [(x["first"], x["last"], x["source"], x["place"]) for x in batch.column(k + 1)[at].as_py() or ()]
-                windows = [(x["at"], x["source"], x["place"]) for x in batch.column(k + 2)[at].as_py() or ()]
-                found = factors(blocks, windows, window, len(words)) if blocks or windows else []
+                blocks, windows = cuts[c[at] : c[at + 1]], hits[h[at] : h[at + 1]]
+                found = factors(blocks, windows, window, len(words)) if len(blocks) or len(windows) else []
                 stay = words
                 if found:
                     mask = _kept(found, len(words))
