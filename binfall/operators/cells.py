@@ -14,8 +14,9 @@ from ..functions.bucketing import ARRAY_LIMIT, Config
 from ..functions.width import U64, CounterWidth
 
 
-def record(df: DataFrame, keys: list[str], value: Column, config: Config, *, weight: Column | None = None, width: CounterWidth = U64, invalid: str = "raise") -> DataFrame:
-    """Count values by bucket. Without ``weight`` every row counts one and ``cnt`` is a long; weights add up modulo the width.
+def record(df: DataFrame, keys: list[str], value: Column, config: Config, *, weight: Column | None = None, width: CounterWidth | None = U64, invalid: str = "raise") -> DataFrame:
+    """Count values by bucket. Without ``weight`` every row counts one and ``cnt`` is a long; weights add up modulo the width, with ``width=None``
+    to sums of up to 30 digits, beyond what a counter holds; a longer sum fails the query.
 
     Values beyond the range: ``invalid="raise"`` fails the query, ``"drop"`` leaves them out, ``"flag"`` puts them in rows with a null
     idx. Null values are left out. Sums are built before the shuffle, so a hot key moves at most one row per bucket and task.
@@ -33,7 +34,8 @@ def record(df: DataFrame, keys: list[str], value: Column, config: Config, *, wei
     rows = rows.withColumn("idx", index)
     if weight is None:
         return rows.groupBy(*keys, "idx").agg(F.count("*").alias("cnt"))
-    total = width.wrapped(F.sum(F.col("w").cast("decimal(20,0)")))
+    total = F.sum(F.col("w").cast("decimal(20,0)"))
+    total = total if width is None else width.wrapped(total)
     return rows.groupBy(*keys, "idx").agg(total.alias("cnt")).where("cnt <> 0")
 
 

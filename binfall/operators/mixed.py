@@ -25,7 +25,7 @@ def _checked(config: RowConfig) -> list[Column]:
     return [F.when(error.isNull(), F.col(c)).otherwise(F.raise_error(error).cast("int")).cast("tinyint").alias(a) for c, a in ((config.p, "p"), (config.n, "n"))]
 
 
-def record_mixed(df: DataFrame, keys: list[str], value: Column, config: RowConfig = RowConfig(), *, weight: Column | None = None, width: CounterWidth = U64, invalid: str = "raise") -> DataFrame:
+def record_mixed(df: DataFrame, keys: list[str], value: Column, config: RowConfig = RowConfig(), *, weight: Column | None = None, width: CounterWidth | None = U64, invalid: str = "raise") -> DataFrame:
     """(keys..., p, n, idx, cnt): values counted by the parameters of their own row. Parameters that are no configuration fail the query, values beyond
     a row's range as ``invalid`` says."""
     w = [] if weight is None else [weight.alias("w")]

@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from ..errors import InvalidPercentile, InvalidQuantile
 from ..functions.bucketing import Config
@@ -87,14 +88,24 @@ def totals(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mean(cells: DataFrame, keys: list[str], config: Config) -> DataFrame:
-    """(keys..., mean): count-weighted mean of bucket midpoints, null if nothing is counted. Sums are exact, of the counters' low and high
-    32 bits apart, and divided once, as doubles."""
+    """(keys..., mean): count-weighted mean of bucket midpoints, null if nothing is counted. Sums are exact, of the counters' pieces of 32 bits
+    apart, and divided once, as doubles. Counters are of 64 bits, or decimals of up to 30 digits."""
     ends = config.lower_of(F.col("idx")).cast("decimal(20,0)") + config.upper_of(F.col("idx")).cast("decimal(20,0)")
-    half, cnt = F.lit(1 << 32).cast("decimal(10,0)"), F.col("cnt").cast("decimal(20,0)")
-    low = F.pmod(cnt, half).cast("decimal(10,0)")
-    high = ((cnt - low) / half).cast("decimal(10,0)")
+    given = cells.schema["cnt"].dataType
+    long = isinstance(given, DecimalType) and given.precision > 20
+    kind = "decimal(30,0)" if long else "decimal(20,0)"
+    half, cnt = F.lit(1 << 32).cast("decimal(10,0)"), F.col("cnt").cast(kind)
+    pieces, rest = [], cnt
+    for _ in range(3 if long else 1):
+        low = F.pmod(rest, half).cast("decimal(10,0)")
+        pieces.append(low)
+        rest = ((rest - low) / half).cast(kind)
+    pieces.append(rest.cast("decimal(10,0)"))
     part = lambda x: F.sum((ends * x).cast("decimal(38,0)")).cast("double")
-    sums = _grouped(cells, keys).agg((part(high) * float(1 << 32) + part(low)).alias("_sum"), F.sum(cnt).alias("_count"))
+    total = part(pieces.pop())
+    while pieces:
+        total = total * float(1 << 32) + part(pieces.pop())
+    sums = _grouped(cells, keys).agg(total.alias("_sum"), F.sum(cnt).alias("_count"))
     return sums.select(*keys, F.when(F.col("_count") > 0, F.col("_sum") / 2 / F.col("_count").cast("double")).alias("mean"))
 
 

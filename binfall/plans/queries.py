@@ -415,7 +415,7 @@ def rollup_quantiles(spark, sf_dir):
 @query(f"SELECT l_returnflag, round(CAST(sum(CAST(lo + hi AS HUGEINT) * cnt) AS DOUBLE) / 2 / CAST(sum(cnt) AS DOUBLE), 3) AS mean FROM (SELECT l_returnflag, {_lower('idx', 7)} AS lo, {_upper('idx', 7)} AS hi, CAST(cnt AS HUGEINT) * 10000000000000000 AS cnt FROM ({PRICE_COUNTS})) GROUP BY 1")
 def mean_large_counts(spark, sf_dir):
     weight = F.lit("10000000000000000").cast("decimal(20,0)")
-    heavy = cells.record(prices(spark, sf_dir), ["l_returnflag"], F.col("v"), MONEY, weight=weight)
+    heavy = cells.record(prices(spark, sf_dir), ["l_returnflag"], F.col("v"), MONEY, weight=weight, width=None)
     return qt.mean(heavy, ["l_returnflag"], MONEY).select("l_returnflag", F.round("mean", 3).alias("mean"))
 
 

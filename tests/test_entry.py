@@ -48,3 +48,14 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(df.columns) == sorted(names)
     key = lambda r: repr([r[c] for c in sorted(names)])
     assert sorted(map(key, (r.asDict() for r in df.collect()))) == sorted(map(key, want))
+
+
+def test_mean_of_counts_beyond_a_counter_equals_its_sql(spark, tmp_path):
+    """More rows in a bucket than 64 bits hold of the weight."""
+    made = f"COPY (SELECT l_returnflag, CASE WHEN l_linenumber = 1 THEN 50.0 ELSE 1234.56 END AS l_extendedprice FROM '{SF}/lineitem.parquet', range(4)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)"
+    c = duckdb.connect()
+    c.execute(made)
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = c.execute(ORACLES["mean_large_counts"]).fetchall()
+    assert c.execute("SELECT min(n) FROM (SELECT max(n) AS n FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_extendedprice) GROUP BY l_returnflag)").fetchone()[0] * 10**16 > 2**64
+    assert sorted(tuple(r) for r in QUERIES["mean_large_counts"](spark, str(tmp_path)).collect()) == sorted(want)

@@ -183,6 +183,19 @@ def test_null_keys_and_large_counts(spark):
     assert mean(made(spark, {0: 10**18, 2: 10**18}), ["k"], C).first().mean == 1.0
 
 
+def test_mean_of_counts_beyond_a_counter(spark):
+    """Weights that add up to more than 64 bits hold: no bucket is wrapped, and the mean is that of the whole sums."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 == 0, 5_000_000).otherwise(7).alias("v"))
+    weight = F.lit(str(10**16)).cast("decimal(20,0)")
+    heavy = record(rows, [], F.col("v"), C, weight=weight, width=None)
+    assert got(heavy) == {7: 3000 * 10**16, C.index(5_000_000): 1000 * 10**16}
+    assert mean(heavy, [], C).first().mean == mean(record(rows, [], F.col("v"), C), [], C).first().mean
+    assert got(record(rows, [], F.col("v"), C, weight=weight))[7] == 3000 * 10**16 % 2**64
+    longest = [(0, Decimal(10**30 - 1)), (1, Decimal(2**96)), (4, Decimal(10**30 - 1)), (6, Decimal(3))]
+    wide = spark.createDataFrame(longest, "idx long, cnt decimal(30,0)")
+    assert mean(wide, [], C).first().mean == pytest.approx(sum(i * int(n) for i, n in longest) / sum(int(n) for _, n in longest), rel=1e-15)
+
+
 def test_overwriting_and_levels(spark):
     a = made(spark, {1: 6, 3: 12, 5: 7})
     assert got(overwrite(a, made(spark, {1: 0, 3: 4, 7: 9}), ["k"], C)) == {3: 4, 5: 7, 7: 9}
