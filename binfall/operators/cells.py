@@ -56,12 +56,20 @@ def filled(c: str, kind: str, total: Column) -> Column:
     return F.flatten(F.concat(F.transform(c, upto), F.array(F.array_repeat(zero, total.cast("int") - 1 - end))))
 
 
+def collected(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., c): each distribution's cells as an array of (idx, cnt), ascending; null indices are left out, and distributions that have no others. They are
+    left out of the list and not by a filter, which Spark would push below the recording: there it works out every row's index again, from all that
+    the index is made of, in a method too long to be compiled."""
+    rows = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "cnt")))).alias("c"))
+    return rows.where(F.size("c") > 0) if keys else rows
+
+
 def to_dense(cells: DataFrame, keys: list[str], config: Config) -> DataFrame:
     """One array of all counters per distribution, with its parameters: (keys..., p, n, counts). At most ``total_buckets`` values each. The
     gaps between a distribution's cells are filled in place; without keys, no cells are one distribution of zeros."""
     if config.total_buckets >= ARRAY_LIMIT:
         raise IncompatibleParameters("too many buckets for a dense form")
-    rows = cells.where("idx is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "cnt"))).alias("c"))
+    rows = collected(cells, keys)
     counts = filled("c", dict(cells.dtypes)["cnt"], F.lit(config.total_buckets))
     return rows.select(*keys, F.lit(config.p).cast("tinyint").alias("p"), F.lit(config.n).cast("tinyint").alias("n"), counts.alias("counts"))
 

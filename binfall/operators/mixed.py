@@ -14,7 +14,7 @@ from ..functions.bucketing import Config
 from ..functions.rowconfig import RowConfig
 from ..functions.width import U64, CounterWidth
 from .algebra import settled, subtract
-from .cells import filled, record
+from .cells import collected, filled, record
 
 PARAMETERS = ["p", "n"]
 
@@ -49,7 +49,7 @@ def dense_to_mixed(df: DataFrame, keys: list[str], counts: str = "counts", confi
 
 def mixed_to_dense(cells: DataFrame, keys: list[str], config: RowConfig = RowConfig()) -> DataFrame:
     """(keys..., p, n, counts): an array of all counters of each distribution, as long as its own parameters say."""
-    rows = cells.where("idx is not null").groupBy(*keys, *PARAMETERS).agg(F.sort_array(F.collect_list(F.struct("idx", "cnt"))).alias("c"))
+    rows = collected(cells, [*keys, *PARAMETERS])
     return rows.select(*keys, *PARAMETERS, filled("c", dict(cells.dtypes)["cnt"], config.total_buckets_of()).alias("counts"))
 
 

@@ -4,7 +4,8 @@ from itertools import product
 
 import pytest
 from binfall.functions import U32, Config, RowConfig
-from binfall.operators import add_mixed, align, buckets, dense_to_mixed, downsample_mixed, extremes, mean, mixed_to_dense, quantiles, record, record_mixed, same_configs, subtract_aligned
+from binfall.operators import add_mixed, align, buckets, dense_to_mixed, downsample_mixed, extremes, mean, mixed_to_dense, quantiles, record, record_mixed, same_configs, subtract_aligned, to_dense
+from binfall.plans.queries import QUERIES
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -118,6 +119,32 @@ def test_dense_arrays_of_different_lengths(spark):
         dense_to_mixed(bad, ["k"]).collect()
 
 
+@pytest.mark.parametrize("fixed", [True, False])
+def test_null_indices_have_no_place_in_arrays(spark, fixed):
+    df = spark.createDataFrame([("x", 1, 3, 6), ("x", 1, 3, 8), ("y", 1, 3, 9), (None, 1, 3, 1)], "k string, p int, n int, v long")
+    c = Config(1, 3)
+    if fixed:
+        dense = to_dense(record(df, ["k"], F.col("v"), c, invalid="flag"), ["k"], c)
+    else:
+        dense = mixed_to_dense(record_mixed(df, ["k"], F.col("v"), invalid="flag"), ["k"])
+    assert {(r.k, r.p, r.n, tuple(r.counts)) for r in dense.collect()} == {("x", 1, 3, (0, 0, 0, 0, 0, 1)), (None, 1, 3, (0, 1, 0, 0, 0, 0))}
+    none = to_dense(record(df.where("v > 7"), [], F.col("v"), c, invalid="flag"), [], c)
+    assert none.first().counts == [0] * 6
+
+
+def test_the_index_is_worked_out_once(spark):
+    """No filter on the index is pushed below the recording: the loop over the rows stays under the 8000 bytes that HotSpot compiles."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = QUERIES["mixed_dense_roundtrip"](spark, "/root/testdata/sf0.001")
+        parts = df._jdf.queryExecution().debug().codegenToSeq()
+        assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000
+        assert not [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x and "LOG2" in x]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_layouts_by_row(spark):
     from binfall.operators.footprint import layout, layouts, truncation_saving, truncation_saving_of
 
